@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, langid, mixing, near_dedup, quality
+from lodestack.llm import bpe, extraction, fingerprint, langid, licenses, mixing, near_dedup, quality, token_lengths, toxicity
 from lodestack.llm.common import held_out, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    doc_id = F.col("doc_id")
+    model = toxicity.fit_toxicity(docs, labels, allowed=~held_out(doc_id))
+    return toxicity.toxicity(docs, model, keep=[doc_id, held_out(doc_id).alias("held_out")])
+
+
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths.suffix_sums(token_lengths.length_histogram(table(spark, sf_dir, "documents")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -19,6 +34,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -34,8 +57,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_fingerprint": op2_fingerprint,
+    "op3_token_lengths": op3_token_lengths,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_licenses": op6_licenses,
+    "op7_extraction": op7_extraction,
     "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
