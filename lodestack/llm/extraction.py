@@ -52,6 +52,10 @@ _PHRASES = {
 }
 
 
+#: Blocks up to this length are looked at for phrases of notices.
+NOTICE_CHARS = 600
+
+
 @dataclass
 class Block:
     text: str
@@ -164,12 +168,13 @@ for _name in (
 def features(blocks: list[Block]) -> list[list[int]]:
     out = []
     for i, b in enumerate(blocks):
-        low = b.text.lower()
-        n = len(b.text.split())
+        n = b.text.count(" ") + 1
         density = b.linked / max(1, len(b.text))
         names = ["bias", f"words{min(6, n.bit_length() - 1)}", "link0" if density < 0.1 else "link1" if density < 0.6 else "link2"]
         names += [f"tag={t}" for t in set(b.path) & _TAGS] + [f"hint={h}" for h in b.hints & _HINTS.keys()]
-        names += [f"says={k}" for k, s in _PHRASES.items() if s in low]
+        if len(b.text) <= NOTICE_CHARS:
+            low = b.text.lower()
+            names += [f"says={k}" for k, s in _PHRASES.items() if s in low]
         if b.path and b.path[-1] in _TAGS:
             names.append(f"leaf={b.path[-1]}")
         for name, holds in (("first", i == 0), ("last", i == len(blocks) - 1), ("ends", b.text[-1] in ".!?。"), ("comma", "," in b.text), ("hidden", "hidden" in b.hints), ("heading", b.path[-1:] and re.fullmatch(r"h[1-6]", b.path[-1]))):
@@ -224,10 +229,10 @@ def viterbi(model: Crf, feats: list[list[int]]) -> list[int]:
     """The likeliest labels; boilerplate on ties."""
     if not feats:
         return []
-    w, ((bb, bm), (mb, mm)) = model.weights, model.moves.tolist()
-    b, m, steps = 0.0, float(w[feats[0]].sum()), []
+    weigh, ((bb, bm), (mb, mm)) = model.weights.tolist().__getitem__, model.moves.tolist()
+    b, m, steps = 0.0, sum(map(weigh, feats[0])), []
     for f in feats[1:]:
-        e = float(w[f].sum())
+        e = sum(map(weigh, f))
         from_b, from_m = m + mb > b + bb, m + mm > b + bm
         steps.append((from_b, from_m))
         b, m = max(b + bb, m + mb), max(b + bm, m + mm) + e
