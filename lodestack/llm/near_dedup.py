@@ -3,7 +3,9 @@
 1. Each text becomes the set of its hashed word shingles and a signature: the low byte of each of ``bands * 6`` minima,
    packed six to a long, so that one long is one band. Texts of equal sets form a class and go on as one.
 2. Bands meet in a join on the band's hash. A bucket first yields only the pairs of its members with its smallest member,
-   so a bucket of n gives n pairs; later rounds add the pairs of a bucket that lie in different components.
+   so a bucket of n gives n pairs. Of the others only pairs in different components can still matter: buckets that hold
+   several components are compared inside tasks, in blocks of ``BLOCK`` members, on finer signatures, and only pairs
+   that may be links come out.
 3. The packed signatures of a pair give its collision-corrected similarity. Pairs that fall five standard errors under
    the threshold are left; the others are confirmed on the sets of both whole texts.
 4. Confirmed links are contracted to components by pointer jumping. A pair inside a component needs no check, which
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import apply_struct, cut, fresh
 
 ROWS = 6
+#: Minima of the finer signatures, and members of a block of a bucket.
+FINE = 1024
+BLOCK = 512
 _LOW = 0x0101010101010101
 
 
@@ -58,23 +63,37 @@ def shingles(text: str | None, width: int, known: dict) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def signature(hashes: np.ndarray, multiply: np.ndarray, flip: np.ndarray) -> np.ndarray:
-    """The low byte of each rehashed minimum, six to a long."""
+def family(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and masks of ``k`` hash functions."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
+
+
+def low_bytes(hashes: np.ndarray, multiply: np.ndarray, flip: np.ndarray) -> np.ndarray:
+    """The low byte of each rehashed minimum."""
     small = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(multiply), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(small), 512):
         np.minimum(least, ((small[i : i + 512, None] ^ flip) * multiply).min(0), out=least)
     least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     least ^= least >> np.uint32(13)
+    return (least & np.uint32(0xFF)).astype(np.uint8)
+
+
+def signature(hashes: np.ndarray, multiply: np.ndarray, flip: np.ndarray) -> np.ndarray:
+    """Low bytes of the minima, six to a long."""
     packed = np.zeros((len(multiply) // ROWS, 8), np.uint8)
-    packed[:, :ROWS] = (least & np.uint32(0xFF)).reshape(-1, ROWS)
+    packed[:, :ROWS] = low_bytes(hashes, multiply, flip).reshape(-1, ROWS)
     return packed.view("<i8").ravel()
 
 
-def _sketcher(width: int, bands: int, seed: int = 1):
-    rng = np.random.default_rng(seed)
-    multiply = rng.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32) | np.uint32(1)
-    flip = rng.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32)
+def floor_of(threshold: float, k: int) -> float:
+    """Five standard errors of ``k`` minima under the threshold."""
+    return threshold - 5 * math.sqrt(threshold * (1 - threshold) / k)
+
+
+def _sketcher(width: int, bands: int):
+    multiply, flip = family(bands * ROWS, 1)
 
     @F.pandas_udf("n_shingles long, digest binary, sig array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -89,6 +108,63 @@ def _sketcher(width: int, bands: int, seed: int = 1):
     return sketch
 
 
+def _fine(width: int):
+    multiply, flip = family(FINE, 2)
+
+    @F.pandas_udf("binary")
+    def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _WordHashes()
+        for texts in batches:
+            yield pd.Series([low_bytes(shingles(t, width, known), multiply, flip).tobytes() for t in texts], dtype=object)
+
+    return fine
+
+
+def _compare_blocks(bands: int, coarse: float, fine: float):
+    """For mapInPandas over rows sorted by (key, left, right): pairs of a block pair in different components that may be links.
+
+    A pair that meets in several buckets comes out of the bucket of its first common band only.
+    """
+    per_match = 256 / 255
+
+    def pairs_of(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        left, right, pos = rows["left"].iloc[0], rows["right"].iloc[0], rows["pos"].iloc[0]
+        sig = np.array(rows["sig"].tolist(), np.int64)
+        lanes = sig.view(np.uint8).reshape(len(sig), -1, 8)[:, :, :ROWS].reshape(len(sig), -1)
+        close = np.frombuffer(b"".join(rows["fine"]), np.uint8).reshape(len(sig), -1)
+        rep, root, block = (rows[c].to_numpy() for c in ("rep", "root", "block"))
+        out = []
+        for i in np.flatnonzero(block == left):
+            others = np.flatnonzero((block == right) & (root != root[i]) & ((rep > rep[i]) if left == right else True))
+            if not len(others):
+                continue
+            others = others[(sig[others] == sig[i]).argmax(1) == pos]
+            likely = ((lanes[others] == lanes[i]).mean(1) - 1 / 256) * per_match >= coarse
+            others = others[likely]
+            others = others[((close[others] == close[i]).mean(1) - 1 / 256) * per_match >= fine]
+            out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in others]
+        return out
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []  # the last run of a batch may go on in the next
+        for batch in batches:
+            runs = [g for _, g in batch.groupby(["key", "left", "right"], sort=False)]
+            if kept and len(runs):
+                same = all(kept[0][c].iloc[0] == runs[0][c].iloc[0] for c in ("key", "left", "right"))
+                if same:
+                    kept.append(runs.pop(0))
+                if runs or not same:
+                    yield pd.DataFrame(pairs_of(pd.concat(kept)), columns=["a", "b"])
+                    kept = []
+            if runs:
+                kept = [runs.pop()]
+            yield pd.DataFrame([p for r in runs if len(r) > 1 for p in pairs_of(r)], columns=["a", "b"])
+        if kept:
+            yield pd.DataFrame(pairs_of(pd.concat(kept)), columns=["a", "b"])
+
+    return compare
+
+
 def _verifier(width: int, percent: int):
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -177,14 +253,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     threshold = percent / 100
     bands = band_count(threshold)
     k = bands * ROWS
-    floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / k)
+    floor = floor_of(threshold, k)
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = cut(apply_struct(rows, _sketcher(width, bands), [F.col("text")], [F.col("doc_id")]))
     classes = sketched.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     sigs = classes.select("rep", "sig")
-    slots = sigs.select("rep", F.posexplode("sig")).select(F.xxhash64("pos", "col").alias("key"), "rep")
+    slots = sigs.select("rep", F.posexplode("sig")).select(F.xxhash64("pos", "col").alias("key"), "pos", "rep")
     full = slots.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").select("key", "hub")
-    met = cut(slots.join(full, "key").select("key", "hub", "rep"))  # buckets of two or more
+    met = cut(slots.join(full, "key").select("key", "pos", "hub", "rep"))  # buckets of two or more
     pairs = met.filter("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -194,20 +271,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return p.select("a", "b", equal.alias("likeness")).filter(F.col("likeness") >= floor)
 
     stars = cut(likely(pairs))
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-
     def texts_of(ids: DataFrame) -> DataFrame:
         return cut(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
-    near = texts_of(wanted)
+    near = texts_of(met.select(F.col("rep").alias("doc_id")).distinct())
 
-    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        a, b = (near.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         p = pairs.select("a", "b").join(b, "b").join(a, "a")
         return p.filter(_verifier(width, percent)("a", "b", "text_a", "text_b")).select("a", "b")
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a"))
-    links = cut(confirmed(best, near))
+    links = cut(confirmed(best))
     tree = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
 
     def across(pairs: DataFrame, tree: DataFrame) -> DataFrame:
@@ -216,20 +291,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return _relabel(_relabel(p, tree, "ra"), tree, "rb").filter("ra <> rb")
 
     rest = across(stars.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), tree)
-    more = cut(confirmed(rest, near))
+    more = cut(confirmed(rest))
     tree = _grow(tree, more)
 
-    open_ = _relabel(met.select("key", "rep", F.col("rep").alias("root")), tree, "root")
-    split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    members = cut(open_.join(split, "key"))
-    x = members.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
-    y = members.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    crossing = x.join(y, "key").filter("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    crossing = cut(likely(crossing))
-    if not crossing.isEmpty():
-        ids = crossing.select(F.col("a").alias("doc_id")).union(crossing.select("b")).distinct()
-        missing = texts_of(ids.join(near.select("doc_id"), "doc_id", "left_anti"))
-        tree = _grow(tree, cut(confirmed(crossing, near.union(missing))))
+    open_ = _relabel(met.select("key", "pos", "rep", F.col("rep").alias("root")), tree, "root")
+    split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    members = cut(open_.join(split.select("key", "n"), "key"))
+    if not members.isEmpty():
+        ids = members.select(F.col("rep").alias("doc_id")).distinct()
+        fine = near.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), _fine(width)("text").alias("fine"))
+        blocks = F.ceil(F.col("n") / BLOCK)
+        placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "pos", "rep", "root")
+        placed = placed.join(fine.join(sigs, "rep"), "rep")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sorted_ = placed.repartition(n, "key", "left", "right").sortWithinPartitions("key", "left", "right")
+        crossing = sorted_.mapInPandas(_compare_blocks(bands, floor, floor_of(threshold, FINE)), "a long, b long")
+        tree = _grow(tree, cut(confirmed(cut(crossing.distinct()).join(stars.select("a", "b"), ["a", "b"], "left_anti"))))
 
     named = _relabel(classes.select("digest", F.col("rep").alias("component_id")), tree, "component_id")
     out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
