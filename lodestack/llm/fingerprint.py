@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import apply_struct
+from lodestack.llm.common import apply_struct, cut
 
 EQUAL, LIKE, RUN = 32, 256, 3
 _WORD_LIMIT = 400_000
@@ -151,7 +151,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_b
     rows = rows.select("doc_id", "text", block.alias("block"))
     order = Window.partitionBy("block").orderBy("doc_id", "text")
     placed = rows.withColumn("next_text", F.lead("text").over(order))
-    heads = rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select("block", F.col("text").alias("head"))
+    heads = cut(rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select("block", F.col("text").alias("head")))
     upper = heads.withColumn("upper", F.floor(F.col("block") / F.lit(per_block)))
     inner = Window.partitionBy("upper").orderBy("block")
     upper = upper.withColumn("after", F.lead("head").over(inner))
