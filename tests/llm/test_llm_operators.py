@@ -248,7 +248,7 @@ def test_toxicity_learns_words(spark, odd, none):
         text = list(rng.choice(words, int(rng.integers(10, 60))))
         if toxic := i % 4 == 0:
             text[int(rng.integers(0, len(text)))] = str(rng.choice(["badone", "badtwo"]))
-        rows.append((i, " ".join(text), "en" if i % 2 else "de"))
+        rows.append((i, " ".join(text), "en" if i % 3 else "de"))
         labels.append((i, int(toxic)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, marks, allowed=~held_out(F.col("doc_id")))
