@@ -12,6 +12,7 @@ inserting or deleting one is an addition or subtraction. The vector has two part
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import apply_struct, cut
 
 EQUAL, LIKE, RUN = 32, 256, 3
-_WORD_LIMIT = 400_000
+_WORD_LIMIT = 100_000
 
 
 class _Hashes(dict):
@@ -101,19 +102,27 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(np.clip(2 * (x @ y) / size, 0, 1)) if size else 0.0
 
 
+def edited_text(text: str, following: str) -> str:
+    """``text`` with its last half (rounded down) replaced by as many characters from the start of ``following``."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
 def _digests():
-    @F.pandas_udf("fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    @F.pandas_udf("edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     def digests(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
-        for texts, edited, following in batches:
+        last: tuple = (None, None)  # a row's next text is often the next row's text
+        for texts, following in batches:
             rows = []
-            last: tuple = (None, None)
-            for t, e, n in zip(texts, edited, following):
-                v = last[1] if last[1] is not None and last[0] == t else vector(t, known)  # often the row before's next
-                x, y = vector(e, known), vector(n, known)
-                rows.append((to_hex(v), to_hex(x), likeness(v, x), likeness(v, y)))
+            for t, n in zip(texts, following):
+                edited = edited_text(t, n)
+                v = last[1] if last[0] == t else vector(t, known)
+                x, y = vector(edited, known), vector(n, known)
+                sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((sha, to_hex(v), to_hex(x), likeness(v, x), likeness(v, y)))
                 last = (n, y)
-            yield pd.DataFrame(rows, columns=["fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pd.DataFrame(rows, columns=["edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return digests
 
@@ -170,8 +179,4 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     document, or all of that if it is shorter. A lone document is its own next one.
     """
     rows = with_next(docs, doc_id, text)
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text")
-    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    return apply_struct(rows, _digests(), [F.col("text"), F.col("edited"), F.col("next_text")], [F.col("doc_id"), F.col("n_chars"), sha])
+    return apply_struct(rows, _digests(), [F.col("text"), F.col("next_text")], [F.col("doc_id"), F.length("text").cast("long").alias("n_chars")])
