@@ -21,6 +21,8 @@ from lodestack.llm.common import WORD, cut, fresh
 #: Source weights, repeating over the sources in code-point order (null last).
 WEIGHTS = (3, 1, 2)
 SLOTS = 4096
+#: One row a source is broadcast up to this many sources; beyond it, adaptive execution splits the skewed join.
+BROADCAST_SOURCES = 20_000
 FILL_PASSES = 3
 
 
@@ -61,7 +63,12 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def _first_words(pool: DataFrame, goals: DataFrame) -> DataFrame:
+def _small(per_source: DataFrame, few: bool) -> DataFrame:
+    """The per-source side of a join, broadcast when its counted rows allow it."""
+    return F.broadcast(per_source) if few else per_source
+
+
+def _first_words(pool: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
     """The documents of ``pool`` (doc_id, source, size, key in [0, 1)) in order of key until each source's ``goal`` words.
 
     The document at which the goal is passed is taken if that ends nearer to the goal.
@@ -73,7 +80,7 @@ def _first_words(pool: DataFrame, goals: DataFrame) -> DataFrame:
     edge = sums.join(goals.withColumnRenamed("source", "s"), _same(F.col("source"), F.col("s"))).drop("s")
     edge = edge.filter("before < goal").groupBy("source").agg(F.max(F.struct("slot", "before", "goal")).alias("e"))
     edge = edge.select(F.col("source").alias("s"), F.col("e.slot").alias("edge"), F.col("e.before").alias("before"), F.col("e.goal").alias("goal"))
-    near = slotted.join(edge, _same(F.col("source"), F.col("s"))).drop("s")
+    near = slotted.join(_small(edge, few), _same(F.col("source"), F.col("s"))).drop("s")
     whole = near.filter("slot < edge").select("doc_id", "source", "size")
     order = Window.partitionBy("source").orderBy("key", "size", "doc_id")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -86,11 +93,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """One row per document: doc_id, size, source_size, target, copies, taken (copies times size).
 
     Null texts have size 0, and so have empty ones; they are in the mix when all documents of their source are. Rows that
-    repeat a doc_id have one decision for all, taken for the sum of their sizes. Null is a source of its own. An empty
+    repeat a doc_id in one source have one decision for all, taken for the sum of their sizes. Null is a source of its own. An empty
     table gives no rows. Reruns agree, as the only randomness is a hash of the id.
     """
     rows = cut(sizes(docs, doc_id, text, source))
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), factor, most, weights))
+    few = goals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
@@ -101,26 +109,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     odds = odds.select(F.col("source").alias("s"), (F.col("rest") / F.col("mass")).alias("c"))
     p = F.least(F.lit(0.999999), F.greatest(F.lit(1e-9), F.col("c") * F.pow("size", F.lit(-tilt))))
     q = F.col("u") / (1 - F.col("u")) * (1 - p) / p
-    pool = base.join(odds, _same(F.col("source"), F.col("s"))).select("doc_id", "source", "size", (q / (1 + q)).alias("key"))
+    pool = base.join(_small(odds, few), _same(F.col("source"), F.col("s"))).select("doc_id", "source", "size", (q / (1 + q)).alias("key"))
     pool = cut(pool)
     wanted = goals.filter("rest > 0").select("source", F.col("rest").alias("goal"))
-    chosen = cut(_first_words(pool, wanted))
+    chosen = cut(_first_words(pool, wanted, few))
     for _ in range(FILL_PASSES):
         got = chosen.groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "g")
         gaps = wanted.join(got, _same(F.col("source"), F.col("g")), "left").select("source", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal"))
         gaps = cut(gaps.filter("goal >= 1"))
         if gaps.isEmpty():
             break
-        left = pool.join(chosen.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "size", "key")
-        left = left.join(gaps.select(F.col("source").alias("f"), F.col("goal").alias("room")), _same(F.col("source"), F.col("f"))).filter("size <= room")
-        more = cut(_first_words(left.select("doc_id", "source", "size", "key"), gaps))
+        have = chosen.select(F.col("doc_id").alias("i"), F.col("source").alias("o"))
+        left = pool.join(have, _same(F.col("doc_id"), F.col("i")) & _same(F.col("source"), F.col("o")), "left_anti")
+        left = left.join(_small(gaps.select(F.col("source").alias("f"), F.col("goal").alias("room")), few), _same(F.col("source"), F.col("f"))).filter("size <= room")
+        more = cut(_first_words(left.select("doc_id", "source", "size", "key"), gaps, few))
         if more.isEmpty():
             break
         chosen = chosen.union(more)
 
-    extra = chosen.select(F.col("doc_id").alias("id"), F.lit(1).alias("extra"))
+    extra = chosen.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.lit(1).alias("extra"))
     known = goals.select(F.col("source").alias("s"), "source_size", "target", "whole")
-    out = rows.join(known, _same(F.col("source"), F.col("s"))).join(extra, _same(F.col("doc_id"), F.col("id")), "left")
+    out = rows.join(_small(known, few), _same(F.col("source"), F.col("s"))).join(extra, _same(F.col("doc_id"), F.col("id")) & _same(F.col("source"), F.col("of")), "left")
     copies = F.col("whole") + F.when(F.col("source_size") == 0, 0).otherwise(F.coalesce("extra", F.lit(0)))
     return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
