@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -107,12 +107,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def dedupe_keep_order(values: Column) -> Column:
-    """Trimmed values without nulls, blanks and case-insensitive repeats, first spelling and order kept."""
+def first_of_key(values: Column, key: Callable[[Column], Column], kind: str = "string", limit: int = 1 << 30) -> Column:
+    """The first value of each key, in order, ``limit`` at most: one pass, the array is evaluated once."""
+    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast(f"array<{kind}>").alias("values"))
+
+    def take(s: Column, v: Column) -> Column:
+        new = ~F.array_contains(s["keys"], key(v)) & (F.size(s["keys"]) < limit)
+        more = F.struct(F.array_append(s["keys"], key(v)).alias("keys"), F.array_append(s["values"], v).alias("values"))
+        return F.when(new, more).otherwise(s)
+
+    return F.aggregate(values, start, take, lambda s: s["values"])
+
+
+def dedupe_keep_order(values: Column, limit: int = 1 << 30) -> Column:
+    """Folded values without nulls, blanks and case-insensitive repeats, first spelling and order kept."""
     clean = F.filter(F.transform(values, fold_ws), lambda v: v.isNotNull() & (v != ""))
-    keys = F.transform(clean, F.lower)
-    first = F.filter(F.transform(clean, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: F.array_position(keys, F.lower(s["v"])) == s["i"] + 1)
-    return F.transform(first, lambda s: s["v"])
+    return first_of_key(clean, F.lower, limit=limit)
 
 
 def norm_scalar(value: Column) -> Column:

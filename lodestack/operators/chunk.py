@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import chunk_summary, norm_scalar, strip
+from lodestack.functions.text import chunk_summary, first_of_key, norm_scalar, strip
 
 # Sizes by document type (child size and overlap, parent size and overlap, least size) and rule words.
 PROFILES = {
@@ -152,9 +152,7 @@ def topic_keywords(seeds: list[Column], path: Column, content: Column) -> Column
         F.regexp_extract_all(F.substring(content, 1, 160), F.lit(KEYWORD), F.lit(0)),
     )
     words = F.filter(F.transform(words, strip), lambda w: F.length(w) >= 2)
-    low = F.transform(words, F.lower)
-    first = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_position(low, F.lower(s["w"])) == s["i"] + 1)
-    return F.slice(F.transform(first, lambda s: s["w"]), 1, 8)
+    return first_of_key(words, F.lower, limit=8)
 
 
 def chunk_flags(chunks: DataFrame) -> DataFrame:

@@ -74,8 +74,12 @@ def bench_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_index(spark: SparkSession, chunks: DataFrame, key: str = "chunk_id") -> search.Bm25Index:
+    return search.bm25_index(chunks, key).stored(shared_folder(spark))
+
+
 def bm25_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return search.bm25_search(bench_questions(spark, sf_dir), search.bm25_index(doc_chunks(spark, sf_dir)), k)
+    return search.bm25_search(bench_questions(spark, sf_dir), stored_index(spark, doc_chunks(spark, sf_dir)), k)
 
 
 def rich_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -280,7 +284,7 @@ def sparse_vector_topk(spark, sf_dir):
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits, and as a second retriever the hits by number of distinct shared tokens."""
     q, c = bench_questions(spark, sf_dir), doc_chunks(spark, sf_dir)
-    bm25 = search.bm25_search(q, search.bm25_index(c), 10).withColumn("retriever", F.lit("sparse"))
+    bm25 = search.bm25_search(q, stored_index(spark, c), 10).withColumn("retriever", F.lit("sparse"))
     words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(T.tokenize(F.col(text)))).alias("token"))
     shared = words(q, "query_id", "question").join(words(c, "chunk_id", "content"), "token").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     return bm25.unionByName(search.top_k(shared, 10).withColumn("retriever", F.lit("dense")))
@@ -334,7 +338,7 @@ def expand_parents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     docs = d.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit("t").alias("title"), F.col("text").alias("content"), F.lit("text").alias("doc_type"), F.lit("text/plain").alias("mime_type"))
     chunks = chunk.build_chunks(docs)
-    hits = search.bm25_search(bench_questions(spark, sf_dir), search.bm25_index(search.searchable(chunks)), 10)
+    hits = search.bm25_search(bench_questions(spark, sf_dir), stored_index(spark, search.searchable(chunks)), 10)
     out = fuse.expand_parents(hits, chunks, ("source", "doc_id"))
     return out.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "matched_child_chunk_ids", "matched_child_count", "doc_id")
 
@@ -466,8 +470,8 @@ def query_plans(spark, sf_dir):
     s = understand.apply_guardrail(understand.confidence(understand.strategy_signals(user_turns(spark, sf_dir))))
     s = understand.clarify(s.withColumn("has_history", F.size("history") > 0))
     plans = understand.query_plan(understand.resolve_followup(s))
-    routes = search.route_top_k(search.prune_routes(search.build_routes(plans), plans))
-    return routes.join(plans.select("query_id", "query_scene", "analysis_confidence", "need_clarify"), "query_id")
+    routes = search.route_top_k(search.prune_routes(search.build_routes(plans.select("query_id", "question", "resolved_query", "rewritten_query", "keyword_queries", "sub_queries", "hyde_query", "top_k_profile", "preferred_retriever"))))
+    return routes
 
 
 @query("alias_matches", """
@@ -511,7 +515,7 @@ def budget_prompts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
     picked = budget.select_turns(budget.score_turns(turns, asked))
     chunks = doc_chunks(spark, sf_dir)
-    hits = search.bm25_search(asked, search.bm25_index(chunks), 6)
+    hits = search.bm25_search(asked, stored_index(spark, chunks), 6)
     ev = hits.join(chunks, "chunk_id").select("query_id", "chunk_id", "title", "source", "section", "content", (F.col("score") / (F.col("score") + 1.5)).alias("retrieval_score"), govern.authority_rank(F.col("authority_level")).alias("authority_level"), F.lit(1).alias("freshness_level"))
     best = budget.select_evidence(budget.score_evidence(ev, asked))
     q = asked.withColumns({"resolved_query": F.lit(""), "governance_notice": F.lit("")})

@@ -217,11 +217,11 @@ def test_parents_and_boost(spark):
 
 def test_routes(spark):
     p = rows(spark, [(1, "Q", "", "q2", ["k1", "k2", "k3"], ["s1", "s2"], "h", "precise", "sparse"), (2, "Q", "r", "Q", [], [], "h", "broad", "dense")], "query_id int, question string, resolved_query string, rewritten_query string, keyword_queries array<string>, sub_queries array<string>, hyde_query string, top_k_profile string, preferred_retriever string")
-    got = search.route_top_k(search.prune_routes(search.build_routes(p), p)).collect()
+    got = search.route_top_k(search.prune_routes(search.build_routes(p))).collect()
     one_, two = [[(r.route_kind, r.use_sparse, r.use_dense) for r in sorted(got, key=lambda r: r.route_order) if r.query_id == i] for i in (1, 2)]
     assert one_ == [("original_query", True, True), ("rewritten_query", True, False), ("keyword", True, False), ("keyword", True, False)]
     assert two == [("original_query", True, True), ("resolved_query", True, True), ("hyde", False, True)]
-    small = search.route_top_k(search.prune_routes(search.build_routes(p.filter("query_id = 1")), p), sparse_k=5).orderBy("route_order").first()
+    small = search.route_top_k(search.prune_routes(search.build_routes(p.filter("query_id = 1"))), sparse_k=5).orderBy("route_order").first()
     assert small.sparse_k == 4
 
 
