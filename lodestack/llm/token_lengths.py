@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import cut
 from lodestack.llm.quality import _byte_encoder, default_paths
 
 #: Lengths in one block of the two-level suffix sums.
@@ -42,6 +43,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     one row for each ``BLOCK`` lengths, are summed in one task.
     """
     rows = histogram.groupBy("length").agg(F.sum("docs").alias("docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    rows = cut(rows)  # one row a length: the texts are encoded once, not again for the block totals
     totals = rows.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("length")).alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -57,9 +59,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     rows = rows.join(totals, "block")
     rows = rows.withColumn("docs_from", F.sum("docs").over(inside) + F.col("d_above"))
     rows = rows.withColumn("tokens_from", F.sum(F.col("docs") * F.col("length")).over(inside) + F.col("t_above"))
-    cut = F.col("tokens_all") - F.col("tokens_from") + F.col("docs_from") * F.col("length")
+    capped = F.col("tokens_all") - F.col("tokens_from") + F.col("docs_from") * F.col("length")
     share = (F.col("docs_all") - F.col("docs_from") + F.col("docs")) / F.col("docs_all")
-    return rows.select("length", "docs", "docs_from", "tokens_from", "docs_all", "tokens_all", cut.alias("truncated_total"), share.alias("share_upto"))
+    return rows.select("length", "docs", "docs_from", "tokens_from", "docs_all", "tokens_all", capped.alias("truncated_total"), share.alias("share_upto"))
 
 
 def truncated_totals(sums: DataFrame, limits: DataFrame) -> DataFrame:
