@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +20,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Counts and ranks that SQL engines return as 64-bit integers.
+WIDE = ("rank", "n_keywords", "n_tokens", "n_chars", "matched_route_count", "age")
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("long") for c, kind in out.dtypes if c in WIDE and kind == "int"})
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f
