@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word as the quality, mixing and near-duplicate contracts define it: no ASCII white space.
@@ -47,16 +47,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def sample_by_class(rows: DataFrame, label: str, key: Column, per_class: int, max_classes: int) -> DataFrame:
-    """At most about ``per_class`` rows of each of the ``max_classes`` most frequent labels, chosen by a hash of ``key``.
+def sample_by_class(rows: DataFrame, label: str, text: str, per_class: int, max_rows: int) -> DataFrame:
+    """(label, text) of at most ``per_class`` distinct texts of each label, and of all of a label that has no more.
 
-    One narrow counting job gives each label its hash threshold; the sample itself is then a plain filter, so no
-    label is gathered into one task however frequent it is.
+    With more than ``max_rows / per_class`` labels each gets an equal share of ``max_rows``, one text at least. Copies of a
+    text count once, however many there are. A narrow job estimates the distinct texts of each label for a hash threshold
+    that leaves half as many again as wanted; the few texts under it are made distinct and cut, so no label is gathered into
+    one task however frequent it is.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
-    share = {r[0]: min(1.0, per_class / r[1]) for r in counts}
-    u = (F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)) / float(1 << 40)).cast("double")
-    wanted = F.lit(False)
-    for value, p in share.items():
-        wanted = wanted | ((F.col(label) == F.lit(value)) & (u < F.lit(p)))
-    return rows.filter(wanted)
+    hashed = rows.select(F.col(label).alias("_label"), F.col(text).alias("_text"), F.xxhash64(F.col(text), F.lit(17)).alias("_hash"))
+    counts = hashed.groupBy("_label").agg(F.approx_count_distinct("_hash")).collect()
+    wanted = max(1, min(per_class, max_rows // max(1, len(counts))))
+    shares = [(r[0], min(1.0, (1.5 * wanted + 50) / max(1, r[1]))) for r in counts]
+    kind = hashed.schema["_label"].dataType.simpleString()
+    drawn = hashed.join(F.broadcast(rows.sparkSession.createDataFrame(shares, f"_label {kind}, _share double")), "_label")
+    drawn = drawn.filter(F.pmod("_hash", F.lit(1 << 40)) / float(1 << 40) < F.col("_share"))
+    distinct = drawn.groupBy("_label", "_hash").agg(F.min("_text").alias("_text"))
+    nth = F.row_number().over(Window.partitionBy("_label").orderBy(F.pmod("_hash", F.lit(1 << 40)), "_hash"))
+    return distinct.withColumn("_nth", nth).filter(F.col("_nth") <= wanted).select(F.col("_label").alias(label), F.col("_text").alias(text))

@@ -131,14 +131,14 @@ def identifier(model: LanguageModel, min_gap: float = 0.02):
     return identify
 
 
-def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 64, max_chars: int = 20_000) -> LanguageModel:
-    """Fit on a bounded sample: ``per_language`` texts of 1 to ``max_chars`` characters of each language (expected
-    number), of the ``max_languages`` most frequent languages. Rows without text or language teach nothing; without any
-    usable row the model knows no language and calls every text ``und``.
+def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, max_rows: int = 25_600, max_chars: int = 20_000) -> LanguageModel:
+    """Fit on a bounded sample: at most ``per_language`` distinct texts of each language that occurs, all of them if it has
+    no more, and fewer of each where languages are so many that ``max_rows`` would be passed. Longer texts teach by their
+    first ``max_chars`` characters. Rows without text or language teach nothing; without any usable row the model knows no
+    language and calls every text ``und``.
     """
-    usable = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and length(text) > 0")
-    usable = usable.filter(F.length("text") <= max_chars)
-    got = sample_by_class(usable, "lang", F.col("text"), per_language, max_languages).collect()
+    usable = rows.select(F.substring(F.col(text), 1, max_chars).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and length(text) > 0")
+    got = sample_by_class(usable, "lang", "text", per_language, max_rows).collect()
     got.sort(key=lambda r: (r["lang"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, extraction, fingerprint, langid, licenses, mixing, near_dedup, quality, token_lengths, toxicity
-from lodestack.llm.common import held_out
+from lodestack.llm.common import held_out, sample_by_class
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "a", "\n\n \n", "  two  words ", "<|endoftext|> mark", "日本語のテキスト 👩‍👩‍👧 é", "x" * 5000, "ab ab ab ab ab ab ab ab ab ab ab ab", " \x1c\x85 odd\x0bblank\x0c"]
@@ -72,6 +72,20 @@ def test_language_id(spark, odd, none):
     assert langid.reject_unreadable(docs, model).count() == len(rows)
 
 
+def test_languages_of_few_texts_and_many_copies_are_learnt(spark):
+    """No language is missed for its copies or for the number of languages, and copies don't pass the bound."""
+    few = [(f"l{k}", f"text {k} {j} {'abcdefghijkl'[k] * 9}") for k in range(12) for j in range(3)]
+    many = [("hot", "one hot text")] * 3000 + [("hot", f"cold text number {i}") for i in range(900)] + [("long", "lang " * 5000)]
+    docs = spark.createDataFrame(few * 700 + many, "lang string, text string").repartition(4)
+    got = sample_by_class(docs, "lang", "text", 400, 25_600).collect()
+    size = Counter(r.lang for r in got)
+    assert len({tuple(r) for r in got}) == len(got) and size["hot"] == 400 and {size[f"l{k}"] for k in range(12)} == {3}
+    assert langid.fit_languages(docs).languages == sorted({r[0] for r in few + many})
+    names = [f"n{i:03}" for i in range(90)]
+    assert langid.fit_languages(spark.createDataFrame([(n, f"{n} words {i}") for n in names for i in range(3)], "lang string, text string")).languages == names
+    assert set(Counter(r.lang for r in sample_by_class(docs, "lang", "text", 400, 28).collect()).values()) <= {1, 2}
+
+
 def test_codewords_are_distinct():
     for n in (2, 4, 6, 20):
         code = langid.codewords(n)
