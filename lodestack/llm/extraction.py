@@ -52,10 +52,6 @@ _PHRASES = {
 }
 
 
-#: Blocks up to this length are looked at for phrases of notices.
-NOTICE_CHARS = 600
-
-
 @dataclass
 class Block:
     text: str
@@ -172,9 +168,8 @@ def features(blocks: list[Block]) -> list[list[int]]:
         density = b.linked / max(1, len(b.text))
         names = ["bias", f"words{min(6, n.bit_length() - 1)}", "link0" if density < 0.1 else "link1" if density < 0.6 else "link2"]
         names += [f"tag={t}" for t in set(b.path) & _TAGS] + [f"hint={h}" for h in b.hints & _HINTS.keys()]
-        if len(b.text) <= NOTICE_CHARS:
-            low = b.text.lower()
-            names += [f"says={k}" for k, s in _PHRASES.items() if s in low]
+        low = b.text.lower()
+        names += [f"says={k}" for k, s in _PHRASES.items() if s in low]
         if b.path and b.path[-1] in _TAGS:
             names.append(f"leaf={b.path[-1]}")
         for name, holds in (("first", i == 0), ("last", i == len(blocks) - 1), ("ends", b.text[-1] in ".!?。"), ("comma", "," in b.text), ("hidden", "hidden" in b.hints), ("heading", b.path[-1:] and re.fullmatch(r"h[1-6]", b.path[-1]))):
@@ -259,10 +254,26 @@ def sample_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
     def sentence() -> str:
         return words(int(rng.integers(4, 14))).capitalize() + pick(".", ".", ".", "!", "?")
 
-    def prose() -> str:
-        text = " ".join(sentence() for _ in range(int(rng.integers(1, 6))))
+    def prose(most: int = 5) -> str:
+        text = " ".join(sentence() for _ in range(int(rng.integers(1, most + 1))))
         return text.replace(" ", ", ", 1) if chance(0.7) else text
 
+    def notice() -> str:
+        """A notice of one sentence to some 2,000 characters, told by its phrases only."""
+        said = pick(
+            ("We use cookies.", "Our partners share them with advertisers."), ("© The owner.", "All rights reserved."), ("Subscribe to our newsletter.", "Sign in if you have an account."),
+            ("Advertisement.", "Read more."), ("Sign in to go on.", "Leave a comment."), ("Share this page.", "Read more."),
+        )
+        said = said if chance(0.7) else [pick(*said)]
+        long = chance(0.6)
+        parts = [x for s in said for x in (s, prose(20 if long else 2))]
+        return " ".join(parts if chance(0.5) else parts[::-1])
+
+    def paragraph() -> str:
+        """Article text, now and then of over 600 characters; a few times it holds a word that notices have."""
+        text = prose(30) if chance(0.25) else prose()
+        return f"{text} {words(3).capitalize()} {pick('cookie', 'comment', 'share', 'subscribe', 'advertising', 'sign in')} {sentence()}" if chance(0.015) else text
+
     link = lambda: f'<a href="/{words(1)}">{words(int(rng.integers(1, 4)))}</a>'
     links = lambda k: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(k)) + "</ul>"
     box = lambda tag, kind, inner: f'<{tag}{f" class={chr(34)}{kind}{chr(34)}" if kind else ""}>{inner}</{tag}>'
@@ -278,6 +289,7 @@ def sample_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
             lambda: box("div", pick("cookie-notice", "consent", "notice", "newsletter"), f"<p>{pick('We use cookies. ', 'Subscribe: ', '')}{prose()}</p><button>{words(1)}</button>"),
             lambda: box("form", pick("", "search", "login"), f"<label>{words(1)}</label><input name=q><button>{words(1)}</button>" + (f"<p>{sentence()}</p>" if chance(0.4) else "")),
             lambda: box("div", pick("share", "social", "tags"), " ".join(link() for _ in range(k))),
+            lambda: box(pick("p", "div"), "", notice()) if chance(0.5) else box("div", "", f"<p>{notice()}</p>"),
             lambda: f"<script>var x = '<p>{words(2)}</p>';</script><style>p {{margin: 0}}</style>",
         )()
 
@@ -307,7 +319,7 @@ def sample_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
                 a, b, c = sentence(), words(2), sentence()
                 keep(f"{a} {b} {c}")
                 return f'<p>{a} <a href="/x">{b}</a> {c}</p>'
-            return f"<p>{keep(prose())}" + pick("</p>", "</p>", "")
+            return f"<p>{keep(paragraph())}" + pick("</p>", "</p>", "")
 
         title = lambda: f"<h1>{keep(words(int(rng.integers(2, 10))).capitalize() + pick('', '', '.'))}</h1>" if chance(0.85) else ""
         story = title() + "".join(body_block() + (boiler() if chance(0.06) else "") for _ in range(int(rng.integers(1, 14))))

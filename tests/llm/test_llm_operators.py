@@ -284,6 +284,26 @@ def test_extraction(spark):
     assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == "" and got[6].text == ""
 
 
+def test_long_notices_are_no_main_text():
+    """Blocks of over 600 characters that only their phrases tell from an article, and as long paragraphs that stay."""
+    plain = "The river rises in the northern hills, runs past three old mills and meets the sea near the harbour of the town. "
+    notices = [
+        "We use cookies to keep this site running. " + "These small files remember what you chose, and they help us see which pages are read most often by visitors. " * 7,
+        "This work and all of its parts belong to the owner named above, who grants no licence by showing it here in public. " * 6 + "All rights reserved.",
+        "Our offers change each week, and those who hold an account hear of them first by letter or by telephone call. " * 6 + "Subscribe today.",
+    ]
+    for notice in notices:
+        paragraphs = [(plain * n).strip() for n in (6, 3, 9)]
+        assert len(notice.strip()) > 600 and len(paragraphs[0]) > 600
+        page = "<body><div><h1>On rivers</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs) + f"</div><div><p>{notice}</p></div></body>"
+        says = [x for x in extraction._PHRASES if extraction.FEATURES[f"says={x}"] in extraction.features(extraction.leaf_blocks(page))[-1]]
+        assert says and extraction.main_text(extraction.default_model(), page) == "\n".join(["On rivers", *paragraphs])
+    sizes = [len(b.text) for page, _ in extraction.sample_pages(200, seed=11) for b in extraction.leaf_blocks(page)]
+    assert sum(x > 600 for x in sizes) > 50
+    kept = [len(x) for _, main in extraction.sample_pages(200, seed=11) for x in main]
+    assert sum(x > 600 for x in kept) > 50
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
