@@ -437,3 +437,20 @@ def test_entry_point_has_every_oracle(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["query_id", "chunk_id", "score", "rank"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_approximate_search_reaches_its_recall(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = e.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = {(r.query_id, r.chunk_id) for r in search.dense_search(q, e, 10).collect()}
+    got = [(r.query_id, r.chunk_id) for r in search.dense_search_approx(q, e, 10).collect()]
+    assert len(got) == len(set(got)) == 10 * q.count() and len(exact & set(got)) >= 0.9 * len(exact)
+
+
+def test_approximate_search_answers_questions_without_neighbours(spark):
+    """A question opposite to all chunks shares no bucket with them, and still gets its k."""
+    c = spark.createDataFrame([(i, [1.0] + [0.0] * 15) for i in range(30)], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0] + [0.0] * 15), (2, [-1.0] + [0.0] * 15)], "query_id long, embedding array<double>")
+    got = search.dense_search_approx(q, c, 5).collect()
+    assert {(r.query_id, r.chunk_id, r["rank"], r.score) for r in got} == {(i, k, k + 1, s) for i, s in ((1, 1.0), (2, -1.0)) for k in range(5)}
