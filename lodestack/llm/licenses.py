@@ -30,7 +30,10 @@ NOTICES = {
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "apache license": "apache",
+    "apache license version 2": "apache",
     "licensed under the apache license": "apache",
+    "mit license": "mit",
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person": "mit",
     "redistribution and use in source and binary forms": "bsd",

@@ -204,6 +204,15 @@ def test_licenses_exact_and_fuzzy(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
 
 
+@pytest.mark.parametrize("text,label", [
+    ("Apache Licence, Version 2.0", "apache"), ("License: Apache Licnse", "apache"), ("Apache Licence Versoin 2.0", "apache"), ("The MIT Licence", "mit"), ("MIT Lisense", "mit"), ("License: MIT Licence (see file)", "mit"), ("GNU General Public Licence", "gpl"),
+])
+def test_base_phrases_with_an_edit_and_no_lead_in(text, label):
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.CHARS_PER_EDIT)
+    _, n_base, _, _, base, labels, score, _ = scanner.scan(text)
+    assert (n_base, base, labels) == (0, "", label) and 0.85 < score < 1
+
+
 def test_license_seeds_lose_no_match():
     """Any text within the edit bound holds an unchanged piece, so the scan finds it."""
     scanner, rng = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.CHARS_PER_EDIT), np.random.default_rng(1)
