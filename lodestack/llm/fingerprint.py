@@ -6,8 +6,9 @@ inserting or deleting one is an addition or subtraction. The vector has two part
 
 - ``EQUAL`` lanes of 32 bits, uniform from the paragraph's 1024-bit hash: equal multisets, and in practice only those,
   agree in all of them.
-- ``LIKE`` lanes of 16 bits, in which each run of three words of the paragraph adds +1 or -1 to one lane. As these
-  stay small, the lanes estimate how large two multisets and their difference are.
+- ``LIKE`` lanes of 32 bits, read as signed numbers, in which each run of three words of the paragraph adds +1 or -1 to
+  one lane. They estimate how large two multisets and their difference are. A lane wraps only when its runs of one
+  sign outweigh the others by 2^31, so no text of under four billion characters can wrap one.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import apply_struct, cut
+from lodestack.llm.common import apply_struct
 
 EQUAL, LIKE, RUN = 32, 256, 3
 _WORD_LIMIT = 100_000
+#: Characters of a block of neighbouring documents (in the mean), blocks of a task, and rows of a result batch.
+BLOCK_CHARS, BLOCKS_PER_TASK, OUT_ROWS = 1 << 21, 8, 1024
 
 
 class _Hashes(dict):
@@ -71,20 +74,20 @@ def vector(text: str | None, known: dict | None = None) -> tuple[np.ndarray, np.
     for p in parts:
         equal += _wide(p)
     if not parts:
-        return equal, np.zeros(LIKE, np.uint16)
+        return equal, np.zeros(LIKE, np.uint32)
     h = _runs(parts, known)
     sign = np.where((h >> np.uint64(20)) & np.uint64(1), 1, -1)
     lanes = np.bincount((h & np.uint64(LIKE - 1)).astype(np.int64), sign, LIKE)
-    return equal, lanes.astype(np.int64).astype(np.uint16)
+    return equal, lanes.astype(np.int64).astype(np.uint32)
 
 
 def to_hex(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return v[0].astype("<u4").tobytes().hex() + v[1].astype("<u2").tobytes().hex()
+    return v[0].astype("<u4").tobytes().hex() + v[1].astype("<u4").tobytes().hex()
 
 
 def from_hex(s: str) -> tuple[np.ndarray, np.ndarray]:
     b = bytes.fromhex(s)
-    return np.frombuffer(b[: 4 * EQUAL], "<u4"), np.frombuffer(b[4 * EQUAL :], "<u2")
+    return np.frombuffer(b[: 4 * EQUAL], "<u4"), np.frombuffer(b[4 * EQUAL :], "<u4")
 
 
 def change(fingerprint: str, inserted: str = "", deleted: str = "") -> str:
@@ -97,7 +100,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """0 to 1: 1 for equal fingerprints, else twice the estimated inner product over the sum of squares."""
     if np.array_equal(a[0], b[0]):
         return 1.0
-    x, y = (v[1].astype(np.uint16).view(np.int16).astype(float) for v in (a, b))
+    x, y = (v[1].astype(np.uint32).view(np.int32).astype(float) for v in (a, b))
     size = x @ x + y @ y
     return float(np.clip(2 * (x @ y) / size, 0, 1)) if size else 0.0
 
@@ -109,6 +112,8 @@ def edited_text(text: str, following: str) -> str:
 
 
 def _digests():
+    names = ["edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
     @F.pandas_udf("edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     def digests(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
@@ -122,7 +127,10 @@ def _digests():
                 sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((sha, to_hex(v), to_hex(x), likeness(v, x), likeness(v, y)))
                 last = (n, y)
-            yield pd.DataFrame(rows, columns=["edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                if len(rows) == OUT_ROWS:  # results are wide, so they leave in small parts
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return digests
 
@@ -144,32 +152,39 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", keep: list[Column
     return docs.select(*(keep or [F.col("doc_id")]), fingerprints()(F.col(text)).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_block: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text (null: empty) and next_text, the text of the next document by ascending id; the first follows the last.
 
-    Ids fall in blocks of about ``per_block`` documents. Inside a block a window gives the next text; the last row of a block
-    takes the first row of the next block that has any. Only the blocks' first rows, two levels up, meet in one task:
-    one row for each ``per_block`` squared documents. Rows of one id come in order of their texts; null ids come first.
+    Null ids come first, rows of one id in the order of a hash of their text. A row begins a block with a probability of its
+    length over ``block_chars``, drawn from a hash of its place in that order: blocks hold about as many characters
+    whatever the ids are (clustered, far apart, null, repeated), and rows of one id may lie in several. Only copies
+    of one row, id and text, stay together. The driver keeps the places of the blocks' first rows, three numbers for each
+    ``block_chars`` characters of text; each row finds its block by binary search. A copy of each first row closes the
+    block before, so that a window inside blocks gives every row its next text.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    blocks = max(1, -(-n // per_block))
-    width = max(1, -(-(high - low + 1) // blocks))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = rows.select("doc_id", "text", block.alias("block"))
-    order = Window.partitionBy("block").orderBy("doc_id", "text")
-    placed = rows.withColumn("next_text", F.lead("text").over(order))
-    heads = cut(rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select("block", F.col("text").alias("head")))
-    upper = heads.withColumn("upper", F.floor(F.col("block") / F.lit(per_block)))
-    inner = Window.partitionBy("upper").orderBy("block")
-    upper = upper.withColumn("after", F.lead("head").over(inner))
-    tops = upper.groupBy("upper").agg(F.min_by("head", "block").alias("top"))
-    everything = Window.orderBy("upper")
-    first = F.first("top").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = tops.select("upper", F.coalesce(F.lead("top").over(everything), first).alias("beyond"))
-    after = upper.join(tops, "upper").select("block", F.coalesce("after", "beyond").alias("after"))
-    return placed.join(after, "block").select("doc_id", "text", F.coalesce("next_text", "after").alias("next_text"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    known = F.col("doc_id").isNotNull().cast("int").alias("known")
+    rows = rows.withColumn("place", F.struct(known, F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")))
+    drawn = F.pmod(F.xxhash64("place", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
+    begins = drawn < F.length("text") / float(block_chars)
+    ends = rows.agg(F.min("place").alias("first"), F.array_sort(F.collect_set(F.when(begins, F.col("place")))).alias("begins")).first()
+    bounds = [tuple(b) for b in ends["begins"]]
+    place = "struct<known:int,id:bigint,hash:bigint>"
+    search = F.broadcast(spark.createDataFrame([(bounds, tuple(ends["first"] or (0, 0, 0)))], f"bounds array<{place}>, first {place}"))  # one row
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(bounds).bit_length())))])
+    upto = lambda n: F.coalesce(F.try_element_at("bounds", n) <= F.col("place"), F.lit(False))
+    block = F.aggregate(steps, F.lit(0), lambda at, step: F.when(upto(at + step), at + step).otherwise(at))
+    placed = rows.crossJoin(search).withColumn("block", block)
+    # the first row of a block closes the block before, the first of all the last one
+    closed = F.array_compact(F.array(F.when(begins, F.col("block") - 1), F.when(F.col("place") == F.col("first"), len(bounds))))
+    closing = placed.filter(F.size(closed) > 0).select(F.explode(closed).alias("block"), "place", "text").groupBy("block").agg(F.min(F.struct("place", "text")).alias("c"))
+    closing = closing.select("block", F.col("c.place").alias("place"), F.col("c.text").alias("text"), F.lit(True).alias("closes"))
+    all_rows = placed.select("block", "place", "text", F.lit(False).alias("closes")).union(closing)
+    tasks = max(1, -(-len(bounds) // BLOCKS_PER_TASK), min(len(bounds), spark.sparkContext.defaultParallelism))
+    order = Window.partitionBy("block").orderBy("closes", "place", "text")
+    out = all_rows.repartition(tasks, "block").withColumn("next_text", F.lead("text").over(order)).filter("not closes")
+    return out.select(F.when(F.col("place.known") == 1, F.col("place.id")).alias("doc_id"), "text", "next_text")
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -234,8 +234,8 @@ def test_fingerprints_are_homomorphic(spark, odd, none):
     assert f(f"{a}\n{a}") != f(a) and f(None) == f(" \n ")
     rows = [(i * 3, t) for i, t in enumerate(t or "" for t in ODD)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for per_block in (2, 4096):
-        nexts = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, per_block=per_block).collect()}
+    for block_chars in (5, 1 << 21):
+        nexts = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, block_chars=block_chars).collect()}
         assert nexts == {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
     got = {r.doc_id: r for r in fingerprint.compare_with_edits(docs).collect()}
     for k, (i, t) in enumerate(rows):
@@ -246,6 +246,43 @@ def test_fingerprints_are_homomorphic(spark, odd, none):
     assert fingerprint.compare_with_edits(odd).count() == odd.count() and fingerprint.compare_with_edits(none).count() == 0
 
 
+def test_next_documents_of_any_ids(spark):
+    """Ids at both ends of the range, clustered, repeated and null: blocks stay small, and the order is one circle."""
+    rng = np.random.default_rng(9)
+    ids = [-(1 << 63), (1 << 63) - 1, 0, -5, *range(1000, 1400), *range(1 << 62, (1 << 62) + 400), *[7] * 200, *[None] * 200]
+    docs = spark.createDataFrame([(i, f"text {k} " + "x" * int(rng.integers(0, 60))) for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = fingerprint.with_next(docs, block_chars=2000).collect()
+    after = {r.text: r for r in rows}
+    assert len(after) == len(rows) == len(ids)
+    at, seen = rows[0].text, []
+    for _ in rows:
+        seen.append(after[at].doc_id)
+        at = after[at].next_text
+    assert at == rows[0].text
+    start = next(k for k in range(len(seen)) if seen[k] is None and seen[k - 1] is not None)
+    turned = seen[start:] + seen[:start]
+    assert turned == [None] * 200 + sorted(i for i in ids if i is not None)
+    for one in ([], [(3, "only")], [(3, "only"), (3, "only")]):
+        few = spark.createDataFrame(one, "doc_id long, text string")
+        assert [(r.text, r.next_text) for r in fingerprint.with_next(few, block_chars=1).collect()] == [("only", "only")] * len(one)
+
+
+def test_likeness_counts_runs_of_very_long_texts():
+    short, long = "ab " * 100_000, "ab " * 3_400_000  # ten million characters
+    x, y = fingerprint.vector(short), fingerprint.vector(long)
+    n, m = 100_000 - 2, 3_400_000 - 2
+    assert abs(fingerprint.likeness(x, y) - 2 * n * m / (n * n + m * m)) < 1e-9
+    assert abs(fingerprint.likeness(fingerprint.vector("ab " * 40_000), fingerprint.vector("ab " * 30_000)) - 0.96) < 1e-3
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(4000)]
+    for share in (0.0, 0.3, 0.6, 0.9):  # the estimate against the runs counted one by one
+        a = [str(w) for w in rng.choice(words, 3000)]
+        b = a[: int(3000 * share)] + [str(w) for w in rng.choice(words, 3000 - int(3000 * share))]
+        runs = [Counter(zip(t, t[1:], t[2:])) for t in (a, b)]
+        want = 2 * sum(n * runs[1][r] for r, n in runs[0].items()) / sum(n * n for c in runs for n in c.values())
+        assert abs(fingerprint.likeness(fingerprint.vector(" ".join(a)), fingerprint.vector(" ".join(b))) - want) < 0.2
+
+
 def test_length_suffix_sums(spark, odd, none):
     rng = np.random.default_rng(3)
     lengths = [*map(int, rng.integers(0, 5000, 300)), 0, 0, 7, 7, 1023, 1024, 1025]
