@@ -226,6 +226,45 @@ def test_license_seeds_lose_no_match():
             assert label in scanner.scan("xx yy " + "".join(text) + " zz")[5].split(",")
 
 
+def test_license_scan_equals_a_search_of_the_whole_text():
+    """Random insertions, deletions and substitutions: the same pattern over the whole text finds nothing that the scan misses."""
+    import regex
+
+    scanner, rng = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.CHARS_PER_EDIT), np.random.default_rng(2)
+    letters = "abcdefghijklmnop q"
+    whole = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, special_only=True, literal_spaces=True)}){{e<={k}}}(?![^ ])") for n, _, k in scanner.notices]
+    matches = 0
+    for trial in range(150):
+        notice, _, k = scanner.notices[trial % len(scanner.notices)]
+        text = list(notice)
+        for _ in range(int(rng.integers(0, k + 2))):
+            at, kind, c = int(rng.integers(0, len(text))), int(rng.integers(3)), letters[int(rng.integers(len(letters)))]
+            text[at : at + (kind > 0)] = [c] if kind < 2 else []
+        around = [" ".join("".join(letters[int(x)] for x in rng.integers(0, 16, 4)) for _ in range(int(rng.integers(0, 3)))) for _ in range(2)]
+        joined = " " + " ".join(f"{around[0]}{' ' * (rng.random() < 0.8)}{''.join(text)} {around[1]}".split()) + " "
+        found = scanner.fuzzy(joined)
+        for (n, label, _), pattern in zip(scanner.notices, whole):
+            m = pattern.search(joined)
+            if m and m[0].strip():
+                matches += 1
+                assert min(f[5] * len(n) for f in found if f[0] == label) <= sum(m.fuzzy_counts) + 1e-9, (n, joined)
+        for label, first, last, _, matched, _ in found:
+            assert " ".join(joined.split()[first : last + 1]) == matched
+    assert matches > 80
+
+
+def test_license_scan_is_linear():
+    from time import time
+
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.CHARS_PER_EDIT)
+    for unit in ("mit license ", "mit licence ", "gnu general public license apache license cc by "):
+        began = time()
+        n_words, n_base, _, _, _, labels, _, spans = scanner.scan(unit * (500_000 // len(unit)))
+        assert time() - began < 10 and labels and len(spans) >= n_words // 8
+    # places of all exact phrases in a text that holds nothing else
+    assert scanner.scan("cc by " * 50_000)[:4] == (100_000, 50_000, 0, 99_998)
+
+
 def test_fingerprints_are_homomorphic(spark, odd, none):
     a, b, c = "first paragraph here", "second one of words", "a third line of more words"
     f = lambda t: fingerprint.to_hex(fingerprint.vector(t))
