@@ -3,15 +3,18 @@
 1. Each text becomes the set of its hashed word shingles and a signature: the low byte of each of ``bands * 6`` minima,
    packed six to a long, so that one long is one band. Texts of equal sets form a class and go on as one.
 2. Bands meet in a join on the band's hash. A bucket first yields only the pairs of its members with its smallest member,
-   so a bucket of n gives n pairs. Of the others only pairs in different components can still matter: buckets that hold
-   several components are compared inside tasks, in blocks of ``BLOCK`` members, on finer signatures, and only pairs
-   that may be links come out.
+   so a bucket of n gives n pairs. Of the others only pairs in different components can still matter. Buckets of up to
+   ``WIDE`` members that hold several components are compared inside tasks, in blocks of ``BLOCK`` members, on finer
+   signatures, and only pairs that may be links come out. Members of wider ones (pages of one template, say) meet under
+   finer keys instead: the rarest shingles of each, so many that two sets over the threshold must share one. This is
+   exact, and what many texts have in common is not among the rarest.
 3. The packed signatures of a pair give its collision-corrected similarity. Pairs that fall five standard errors under
    the threshold are left; the others are confirmed on the sets of both whole texts.
 4. Confirmed links are contracted to components by pointer jumping. A pair inside a component needs no check, which
    keeps a group of thousands of near copies from being expanded into its pairs.
 
-A true link is missed when no band meets (under one in a million at the threshold, fewer above it).
+A true link is missed when no band meets (under one in a million at the threshold, fewer above it) or when an estimate
+falls five standard errors short (under one in a million, too).
 """
 
 from __future__ import annotations
@@ -29,9 +32,12 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import apply_struct, cut, fresh
 
 ROWS = 6
-#: Minima of the finer signatures, and members of a block of a bucket.
+#: Minima of the finer signatures, members of a block of a bucket, and members from which a bucket gets finer keys.
 FINE = 1024
 BLOCK = 512
+WIDE = 2048
+#: Slots in which shingles of wide buckets are counted: a bound of 8 MB for what tasks share.
+SLOT_BITS = 20
 _LOW = 0x0101010101010101
 
 
@@ -123,12 +129,14 @@ def _fine(width: int):
 def _compare_blocks(bands: int, coarse: float, fine: float):
     """For mapInPandas over rows sorted by (key, left, right): pairs of a block pair in different components that may be links.
 
-    A pair that meets in several buckets comes out of the bucket of its first common band only.
+    A pair that meets in several buckets comes out of the bucket of its first common band only; ``pos`` is that band, or -1
+    where the key is none, and then ``begins`` tells the sets that may be a pair's smaller one under this key.
     """
     per_match = 256 / 255
 
     def pairs_of(rows: pd.DataFrame) -> list[tuple[int, int]]:
         left, right, pos = rows["left"].iloc[0], rows["right"].iloc[0], rows["pos"].iloc[0]
+        begins = rows["begins"].to_numpy(bool)
         sig = np.array(rows["sig"].tolist(), np.int64)
         lanes = sig.view(np.uint8).reshape(len(sig), -1, 8)[:, :, :ROWS].reshape(len(sig), -1)
         close = np.frombuffer(b"".join(rows["fine"]), np.uint8).reshape(len(sig), -1)
@@ -138,7 +146,7 @@ def _compare_blocks(bands: int, coarse: float, fine: float):
             others = np.flatnonzero((block == right) & (root != root[i]) & ((rep > rep[i]) if left == right else True))
             if not len(others):
                 continue
-            others = others[(sig[others] == sig[i]).argmax(1) == pos]
+            others = others[(sig[others] == sig[i]).argmax(1) == pos] if pos >= 0 else others[begins[others] | begins[i]]
             likely = ((lanes[others] == lanes[i]).mean(1) - 1 / 256) * per_match >= coarse
             others = others[likely]
             others = others[((close[others] == close[i]).mean(1) - 1 / 256) * per_match >= fine]
@@ -170,7 +178,8 @@ def _verifier(width: int, percent: int):
     def linked(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         known, recent = _WordHashes(), OrderedDict()
 
-        def of(key: int, text: str) -> np.ndarray:
+        def of(doc: int, text: str) -> np.ndarray:
+            key = doc, hash(text)  # a repeated id may have several texts
             if key not in recent:
                 recent[key] = shingles(text, width, known)
                 if len(recent) > 64:
@@ -189,6 +198,63 @@ def _verifier(width: int, percent: int):
     return linked
 
 
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slots(width: int):
+    """For mapInPandas over texts: (slot, n) of the task's shingles."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, total, waiting, size = _WordHashes(), np.zeros(1 << SLOT_BITS, np.int64), [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                waiting.append(slots_of(shingles(text, width, known)))
+                size += len(waiting[-1])
+                if size > 1 << SLOT_BITS:
+                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                    waiting, size = [], 0
+        if size:
+            total += np.bincount(np.concatenate(waiting), minlength=len(total))
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+    return count
+
+
+def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How often shingles occur, by the first ``SLOT_BITS`` bits of their hash: 2^SLOT_BITS numbers, however many texts there are."""
+    counts = texts.select("text").mapInPandas(_slots(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    pack = lambda g: pd.DataFrame({"part": [g["slot"].iloc[0] >> 10], "slots": [g["slot"].to_numpy(np.int32).tobytes()], "n": [g["n"].to_numpy(np.int64).tobytes()]})
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in counts.groupBy(F.shiftright("slot", 10)).applyInPandas(pack, "part long, slots binary, n binary").collect():
+        out[np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    return out
+
+
+def _rarest(width: int, percent: int, counts):
+    """For mapInPandas over (rep, root, text): a row (key, begins, rep, root) for each of the set's rarest shingles.
+
+    In any common order two sets of sizes a <= b with 100 * |A & B| >= percent * |A | B| share one of the first
+    a - ceil(2 p a / (100 + p)) + 1 of the smaller and the first b - ceil(p b / 100) + 1 of the larger; ``begins`` marks
+    the former.
+    """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, n_of = _WordHashes(), counts.value
+        for batch in batches:
+            parts = []
+            for rep, root, text in zip(batch["rep"], batch["root"], batch["text"]):
+                s = shingles(text, width, known)
+                n = len(s)
+                first = s[np.lexsort((s, n_of[slots_of(s)]))][: n - -(-percent * n // 100) + 1]
+                small = n - -(-2 * percent * n // (100 + percent)) + 1
+                parts.append(pd.DataFrame({"key": first.view(np.int64), "begins": np.arange(len(first)) < small, "rep": rep, "root": root}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"key": [], "begins": [], "rep": [], "root": []})
+
+    return keys
+
+
 def _equal_minima(x: str, y: str, bands: int):
     """Minima that agree, by bit counts over the packed signatures."""
 
@@ -242,13 +308,13 @@ def _jump(done: DataFrame, tree: DataFrame) -> DataFrame:
     return moved.union(tree.join(done.select("node"), "node", "left_anti").select("node", "root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, wide: int = WIDE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` over their distinct ``width``-word shingles;
     component_id is the smallest doc_id that links reach. Null and empty texts have no shingles and no links. Rows that
-    repeat a doc_id are one node, each keeps its row; a row without doc_id gets no component unless its text has one.
-    Columns other than the two named are ignored.
+    repeat a doc_id are one node with the links of all their texts, each keeps its row; a row without doc_id gets no
+    component unless its text has one. Columns other than the two named are ignored.
     """
     threshold = percent / 100
     bands = band_count(threshold)
@@ -257,7 +323,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = cut(apply_struct(rows, _sketcher(width, bands), [F.col("text")], [F.col("doc_id")]))
-    classes = sketched.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    usable = sketched.filter("digest is not null and doc_id is not null")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    # a doc_id that has several texts links the classes of all of them
+    several = usable.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one < other").select("doc_id")
+    named = usable.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest")
+    same = named.filter("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
     sigs = classes.select("rep", "sig")
     slots = sigs.select("rep", F.posexplode("sig")).select(F.xxhash64("pos", "col").alias("key"), "pos", "rep")
     full = slots.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").select("key", "hub")
@@ -271,8 +343,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return p.select("a", "b", equal.alias("likeness")).filter(F.col("likeness") >= floor)
 
     stars = cut(likely(pairs))
+
     def texts_of(ids: DataFrame) -> DataFrame:
-        return cut(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+        """(doc_id, text), each text of an id once."""
+        return cut(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.min("text").alias("text")).drop("_hash"))
 
     near = texts_of(met.select(F.col("rep").alias("doc_id")).distinct())
 
@@ -283,7 +357,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a"))
     links = cut(confirmed(best))
-    tree = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    tree = roots(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
 
     def across(pairs: DataFrame, tree: DataFrame) -> DataFrame:
         """Pairs of different components, with the roots."""
@@ -291,18 +365,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return _relabel(_relabel(p, tree, "ra"), tree, "rb").filter("ra <> rb")
 
     rest = across(stars.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), tree)
-    more = cut(confirmed(rest))
+    more = cut(confirmed(rest).union(same))
     tree = _grow(tree, more)
 
     open_ = _relabel(met.select("key", "pos", "rep", F.col("rep").alias("root")), tree, "root")
     split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     members = cut(open_.join(split.select("key", "n"), "key"))
     if not members.isEmpty():
-        ids = members.select(F.col("rep").alias("doc_id")).distinct()
+        buckets = members.filter(F.col("n") <= wide).select("key", F.lit(True).alias("begins"), "pos", "rep", "root", "n")
+        many = members.filter(F.col("n") > wide)
+        if not many.isEmpty():
+            ids = many.select(F.col("rep").alias("doc_id"), "root").distinct()
+            texts = cut(near.join(ids, "doc_id").select(F.col("doc_id").alias("rep"), "root", "text"))
+            counts = spark.sparkContext.broadcast(shingle_counts(texts, width))
+            finer = cut(texts.mapInPandas(_rarest(width, percent, counts), "key long, begins boolean, rep long, root long"))
+            open_keys = finer.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("begins").alias("any"), F.count("*").alias("n")).filter("lo < hi and any")
+            finer = finer.join(open_keys.select("key", "n"), "key").select("key", "begins", F.lit(-1).alias("pos"), "rep", "root", "n")
+            buckets = cut(buckets.unionByName(finer))
+        ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
         fine = near.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), _fine(width)("text").alias("fine"))
         blocks = F.ceil(F.col("n") / BLOCK)
-        placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        placed = placed.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "pos", "rep", "root")
+        placed = buckets.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "pos", "begins", "rep", "root")
         placed = placed.join(fine.join(sigs, "rep"), "rep")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         sorted_ = placed.repartition(n, "key", "left", "right").sortWithinPartitions("key", "left", "right")

@@ -152,6 +152,72 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join(base), " ".join([*base, "more"])
+    rows = [(1, "aaa bbb ccc ddd eee fff"), (1, near), (2, other), (5, "x y z u v w"), (9, "x y z u v w"), (9, "k l m n o p"), (7, "k l m n o p"), (11, "alone and apart from all of it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (5, 5), (9, 5), (7, 5), (11, 11)} and len(got) == len(rows)
+
+
+def test_planted_pairs_at_the_threshold_are_all_found(spark):
+    """400 pairs of a similarity of 0.85 to 0.9 each: none is lost."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows, want = [], {}
+    for k in range(400):
+        base = [str(w) for w in rng.choice(words, 120)]
+        while True:
+            copy = list(base)
+            for j in rng.choice(len(copy), int(rng.integers(2, 4)), replace=False):
+                copy[j] = str(rng.choice(words))
+            a, b = (set(zip(t, t[1:], t[2:])) for t in (base, copy))
+            if 0.85 <= len(a & b) / len(a | b) <= 0.9:
+                break
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_estimates_miss_no_pair_at_the_threshold():
+    """The estimate's error is the one that the floors allow five times, so that under one true pair in a million is left."""
+    rng = np.random.default_rng(13)
+    for k, (multiply, flip) in ((180, near_dedup.family(180, 1)), (1024, near_dedup.family(1024, 2))):
+        found = []
+        for _ in range(600):
+            hashes = rng.integers(0, 1 << 63, 460, dtype=np.uint64) * np.uint64(2)
+            a, b = hashes[:430], hashes[30:]  # 400 of 460
+            x, y = (near_dedup.low_bytes(h, multiply, flip) for h in (a, b))
+            found.append(((x == y).mean() - 1 / 256) * 256 / 255)
+        true = 400 / 460
+        error = np.sqrt(true * (1 - true) / k)
+        assert abs(np.mean(found) - true) < error / 3 and np.std(found) < 1.15 * error and min(found) > near_dedup.floor_of(true, k)
+
+
+def test_pages_of_one_template_are_not_compared_in_pairs(spark):
+    """Wide buckets of pages that share a template: links as by brute force, and no finer key holds pages of several groups."""
+    rng = np.random.default_rng(14)
+    frame = [f"frame{i}" for i in range(140)]
+    rows = []
+    for k in range(300):
+        own = [f"own{k}-{i}" for i in range(int(rng.integers(16, 40)))]
+        rows.append((10 * k, " ".join([*own, *frame])))
+        if k % 10 == 0:
+            rows += [(10 * k + 1 + j, " ".join([*own[:-1], f"edit{k}-{j}", *frame])) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 5, 80)
+    for wide in (32, 1 << 20):
+        got = near_dedup.near_duplicates(docs, wide=wide).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 100
+    texts = spark.createDataFrame([(i, want[i][1], t) for i, t in rows if want[i][0] < 170], "rep long, root long, text string")
+    counts = near_dedup.shingle_counts(texts, 5)
+    sets = [near_dedup.shingles(t, 5, near_dedup._WordHashes()) for _, t in rows if want[_][0] < 170]
+    assert counts.sum() == sum(map(len, sets))
+
+
 def test_near_duplicates_odd_rows(odd, none):
     assert near_dedup.near_duplicates(odd).count() == odd.count()
     assert near_dedup.near_duplicates(none).count() == 0
