@@ -3,9 +3,11 @@
 A source that is to give ``target`` words of its ``source_size`` words takes ``floor(target / source_size)`` whole copies of
 every document; these are certain. The rest of the target is a sample without replacement in which document i has the
 inclusion probability ``p_i``: equal expected words would favour short texts fully, equal probabilities would leave the
-sum to chance, so ``p_i`` is ``rest`` tilted by ``size ** -tilt``. Documents are ranked by their random odds divided by
-their inclusion odds, ``u / (1 - u) * (1 - p) / p``, and taken in that order until the words are reached. What the first
-pass leaves open is filled from the documents further down the order that still fit.
+sum to chance, so ``p_i`` is ``rest`` tilted by ``size ** -tilt``. Documents whose probability would pass one are certain;
+what they don't use is spread over the others, so that the expected words are the rest exactly. Documents are ranked by
+their random odds divided by their inclusion odds, ``u / (1 - u) * (1 - p) / p`` (0 for certain ones), and taken in that
+order until the words are reached. What a pass leaves open is filled from the documents further down the order that still
+fit, until none does: a source ends within the words of its smallest document left.
 
 No source is sorted as a whole. Ranks fall in ``SLOTS`` slots of known sums; only the documents of the one slot in which the
 target is reached are put in order.
@@ -23,11 +25,10 @@ WEIGHTS = (3, 1, 2)
 SLOTS = 4096
 #: One row a source is broadcast up to this many sources; beyond it, adaptive execution splits the skewed join.
 BROADCAST_SOURCES = 20_000
-FILL_PASSES = 3
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the whole text, null: 0) and u, a uniform number of (0, 1) from the id and text length."""
+    """doc_id, source, size (words of the whole text, null: 0) and u, a uniform number of (0, 1) from a hash of the id."""
     word_count = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     digest = F.md5(F.concat_ws("|", F.lit("mix"), F.col(doc_id).cast("string")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
@@ -89,8 +90,26 @@ def _first_words(pool: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
     return whole.union(last.filter(fits).select("doc_id", "source", "size"))
 
 
+def _levels(base: DataFrame, goals: DataFrame, tilt: float) -> DataFrame:
+    """(source, c) such that ``min(1, c * size ** -tilt)`` over the documents of a source expects ``rest`` words.
+
+    The probability falls with the size, so the certain documents are those of the smallest sizes: up to the last size s for
+    which what the smaller ones leave, shared by tilt over s and beyond, still gives s a probability of one. Sizes are
+    counted first, so the window runs over the distinct sizes of a source, not over its documents.
+    """
+    by_size = base.groupBy("source", "size").agg(F.sum("size").alias("words"), F.sum(F.pow("size", F.lit(1 - tilt))).alias("mass"))
+    rows = by_size.join(goals.select(F.col("source").alias("s"), "rest"), _same(F.col("source"), F.col("s"))).drop("s")
+    order = Window.partitionBy("source").orderBy("size")
+    smaller = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    beyond = F.sum("mass").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("c", (F.col("rest") - smaller) / beyond)
+    open_ = F.col("c") * F.pow("size", F.lit(-tilt)) < 1
+    found = rows.groupBy("source").agg(F.min_by("c", F.when(open_, F.col("size"))).alias("c"), F.max(F.pow("size", F.lit(tilt))).alias("all"))
+    return found.select("source", F.coalesce("c", "all").alias("c"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", factor: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, tilt: float = 0.25) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken (copies times size).
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (copies times size).
 
     Null texts have size 0, and so have empty ones; they are in the mix when all documents of their source are. Rows that
     repeat a doc_id in one source have one decision for all, taken for the sum of their sizes. Null is a source of its own. An empty
@@ -103,17 +122,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     goals = goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
     base = rows.groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.min("u").alias("u")).filter("size > 0")
-    # p = c * size^-tilt with c such that the expected words are the rest
-    mass = base.groupBy("source").agg(F.sum(F.pow("size", F.lit(1 - tilt))).alias("mass"))
-    odds = goals.join(mass.withColumnRenamed("source", "m"), _same(F.col("source"), F.col("m"))).drop("m").filter("rest > 0")
-    odds = odds.select(F.col("source").alias("s"), (F.col("rest") / F.col("mass")).alias("c"))
-    p = F.least(F.lit(0.999999), F.greatest(F.lit(1e-9), F.col("c") * F.pow("size", F.lit(-tilt))))
+    odds = _levels(base, goals.filter("rest > 0").select("source", "rest"), tilt).select(F.col("source").alias("s"), "c")
+    p = F.least(F.lit(1.0), F.greatest(F.lit(1e-9), F.col("c") * F.pow("size", F.lit(-tilt))))
     q = F.col("u") / (1 - F.col("u")) * (1 - p) / p
     pool = base.join(_small(odds, few), _same(F.col("source"), F.col("s"))).select("doc_id", "source", "size", (q / (1 + q)).alias("key"))
     pool = cut(pool)
     wanted = goals.filter("rest > 0").select("source", F.col("rest").alias("goal"))
     chosen = cut(_first_words(pool, wanted, few))
-    for _ in range(FILL_PASSES):
+    while True:
         got = chosen.groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "g")
         gaps = wanted.join(got, _same(F.col("source"), F.col("g")), "left").select("source", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal"))
         gaps = cut(gaps.filter("goal >= 1"))
@@ -131,13 +147,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     known = goals.select(F.col("source").alias("s"), "source_size", "target", "whole")
     out = rows.join(_small(known, few), _same(F.col("source"), F.col("s"))).join(extra, _same(F.col("doc_id"), F.col("id")) & _same(F.col("source"), F.col("of")), "left")
     copies = F.col("whole") + F.when(F.col("source_size") == 0, 0).otherwise(F.coalesce("extra", F.lit(0)))
-    return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with their own columns, each row as often as the mix takes it."""
-    share = mix(docs, doc_id, **how).groupBy("doc_id").agg(F.max("copies").alias("n"))
-    key, n = fresh(docs, "_mix_id"), fresh(docs, "_mix_n")
-    share = share.select(F.col("doc_id").alias(key), F.col("n").alias(n))
-    out = docs.join(share, docs[doc_id].eqNullSafe(share[key])).filter(F.col(n) > 0)
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """``docs`` with their own columns, each row as often as the mix takes its id in its source."""
+    share = mix(docs, doc_id, source=source, **how).groupBy("doc_id", "source").agg(F.max("copies").alias("n"))
+    key, of, n = fresh(docs, "_mix_id"), fresh(docs, "_mix_source"), fresh(docs, "_mix_n")
+    share = share.select(F.col("doc_id").alias(key), F.col("source").alias(of), F.col("n").alias(n))
+    out = docs.join(share, docs[doc_id].eqNullSafe(share[key]) & docs[source].eqNullSafe(share[of])).filter(F.col(n) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

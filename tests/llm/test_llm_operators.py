@@ -283,18 +283,45 @@ def test_mixing_meets_targets(spark, odd, none):
         if not over:
             break
         full |= over
-    source, taken = {i: s for i, _, s in rows}, Counter()
+    source, taken, copied = {i: s for i, _, s in rows}, Counter(), {r.doc_id: r.copies for r in got}
     for r in got:
         assert abs(r.target - want[source[r.doc_id]]) < 1e-6 * goal and r.source_size == size[source[r.doc_id]]
         assert r.taken == r.copies * r["size"] <= 2 * r["size"]
         taken[source[r.doc_id]] += r.taken
     assert all(abs(taken[s] - want[s]) <= 80 for s in names)
+    for s in names:  # nothing that still fits is left
+        left = [len(WORD.findall(t or "")) for i, t, of in rows if of == s and copied[i] < 2 and len(WORD.findall(t or "")) * 2 < want[s] * 2 and copied[i] == min(copied[j] for j, _, o in rows if o == s)]
+        assert not left or min(left) == 0 or want[s] - taken[s] < max(1, min(left)) or want[s] >= 2 * size[s]
     assert sorted(got) == sorted(mixing.mix(docs).collect())
     copies = Counter(r.doc_id for r in mixing.mixed(docs).collect())
     assert all(copies[r.doc_id] == r.copies for r in got)
     assert mixing.mix(none).count() == 0 and mixing.mix(odd).count() == odd.count()
 
 
+def test_inclusion_probabilities_expect_the_rest():
+    """Certain documents and the level of the others, against a solution by bisection."""
+    from pyspark.sql import SparkSession
+
+    spark, rng = SparkSession.getActiveSession(), np.random.default_rng(8)
+    rows = [(i, f"s{i % 3}", int(rng.integers(1, 2000 if i % 3 else 12))) for i in range(600)]
+    rest = {f"s{k}": share * sum(r[2] for r in rows if r[1] == f"s{k}") for k, share in enumerate((0.9, 0.97, 0.4))}
+    base = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = {r.source: r.c for r in mixing._levels(base, spark.createDataFrame(list(rest.items()), "source string, rest double"), 0.25).collect()}
+    for s, want in rest.items():
+        sizes = np.array([r[2] for r in rows if r[1] == s], float)
+        words = lambda c: (np.minimum(1, c * sizes**-0.25) * sizes).sum()  # noqa: E731, B023
+        assert abs(words(got[s]) - want) < 1e-6 * want
+    assert (np.array([r[2] for r in rows if r[1] == "s1"]) ** -0.25 * got["s1"] > 1).any()
+
+
+def test_an_id_in_two_sources_keeps_each_one_s_copies(spark):
+    rows = [(1, "one two three four", "a"), (2, "five six", "a"), (1, "one two three four", "b"), (3, " ".join("abcdefghij" * 2), "c"), (4, "x y", None), (None, "no id", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit(7), "copies": F.lit("x"), "taken": F.lit(0)})
+    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
+    assert Counter((r.doc_id, r.source) for r in mixing.mixed(docs).collect()) == Counter({k: n for k, n in copies.items() if n})
+    assert mixing.mixed(docs).columns == docs.columns
+
+
 def test_licenses_exact_and_fuzzy(spark, odd, none):
     texts = ["GNU General Public License; cc by and CC-BY", "released under teh MIT Licence", "All right reserved.", "nothing here", "mit license mit license"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
