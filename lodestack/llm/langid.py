@@ -15,6 +15,8 @@ from lodestack.llm.common import apply_struct, fresh, sample_by_class
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
+#: The mean bit loss by which the nearest codeword must beat the next one, else a text is ambiguous.
+MIN_GAP = 0.02
 _FIELDS = "lang_pred string, score double, ambiguous boolean, gap double, bit_loss double, n_letters long"
 
 
@@ -109,7 +111,7 @@ def decode(model: LanguageModel, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return losses, share / share.sum()
 
 
-def identifier(model: LanguageModel, min_gap: float = 0.02):
+def identifier(model: LanguageModel, min_gap: float = MIN_GAP):
     """A vectorised UDF text -> struct of ``_FIELDS``."""
 
     @F.pandas_udf(_FIELDS)
@@ -152,14 +154,17 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     return apply_struct(docs, identifier(model), [F.col(text)], keep or [F.col("doc_id")])
 
 
-def reject_unreadable(docs: DataFrame, model: LanguageModel, text: str = "text", min_letters: int = 200) -> DataFrame:
+def reject_unreadable(docs: DataFrame, model: LanguageModel, text: str = "text", settled: int = 200) -> DataFrame:
     """``docs`` with their own columns, less those of no language.
 
-    Rejected are ``und`` texts and texts of ``min_letters`` letters whose nearest codeword is no better than chance
-    (a mean bit loss over log 2) or that is flagged ambiguous.
+    Rejected are ``und`` texts, and texts whose nearest codeword is no better than chance (a mean bit loss over log 2) or
+    is hardly nearer than the next one. Every text is tested; as few letters say less, chance is given one part in
+    the root of the letters more, and the gap that a text must show grows with its letters towards the full one, of
+    which ``settled`` letters ask for half.
     """
     made = fresh(docs, "_language")
     out = docs.withColumn(made, identifier(model)(F.col(text)))
     r = lambda f: F.col(made)[f]
-    chance = (r("bit_loss") > float(np.log(2))) | r("ambiguous")
-    return out.filter((r("lang_pred") != UNDETERMINED) & ~((r("n_letters") >= min_letters) & chance)).drop(made)
+    chance = r("bit_loss") > float(np.log(2)) * (1 + 1 / F.sqrt(F.greatest(r("n_letters"), F.lit(1))))
+    close = r("gap") < MIN_GAP * r("n_letters") / (r("n_letters") + settled)
+    return out.filter((r("lang_pred") != UNDETERMINED) & ~(chance | close)).drop(made)

@@ -122,6 +122,47 @@ def test_languages_of_few_texts_and_many_copies_are_learnt(spark):
     assert set(Counter(r.lang for r in sample_by_class(docs, "lang", "text", 400, 28).collect()).values()) <= {1, 2}
 
 
+@pytest.mark.parametrize("n", [2, 6, 9])
+def test_decoding_equals_brute_force_for_exhaustive_and_random_codes(n):
+    """Up to six languages have the exhaustive code, more a random one: both end to end, with held-out texts."""
+    rng = np.random.default_rng(n)
+    vocabularies = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 7)))) for _ in range(40)] for _ in range(n)]
+    say = lambda k, m: " ".join(rng.choice(vocabularies[k], m))
+    texts, langs = zip(*[(say(k, 40), f"l{k}") for k in range(n) for _ in range(12)])
+    model = langid.train(list(texts), list(langs))
+    right = 0
+    for k in range(n):
+        text = say(k, 25)
+        m = langid.margins(model, text)
+        losses, share = langid.decode(model, m)
+        for row, loss in zip(model.codes, losses):  # each bit's logistic loss, weighed by how sure the bit is
+            sure = [0.25 + abs(np.tanh(x)) for x in m]
+            assert abs(loss - sum(w * np.log1p(np.exp(-c * x)) for w, c, x in zip(sure, row, m)) / sum(sure)) < 1e-6
+        assert abs(share.sum() - 1) < 1e-9 and share.argmax() == losses.argmin()
+        right += model.languages[int(losses.argmin())] == f"l{k}"
+    assert right == n
+
+
+def test_ties_and_ambiguous_texts(spark):
+    """Two languages of the same texts: the first by name wins, with a gap of nothing and the flag."""
+    texts = ["one two three four five six seven", "eight nine ten eleven twelve"]
+    same = langid.train(texts + texts, ["bb", "bb", "aa", "aa"])
+    docs = spark.createDataFrame([(1, texts[0] * 9), (2, texts[1] * 9), (3, texts[0] * 9)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in langid.identify_languages(docs, same).collect()}
+    assert all(r.lang_pred == "aa" and r.ambiguous and r.gap < 1e-9 and abs(r.score - 0.5) < 1e-6 for r in rows.values())
+    assert rows[1][1:] == rows[3][1:] and langid.reject_unreadable(docs, same).count() == 0
+
+
+def test_short_texts_are_tested_too(spark):
+    words = {"en": "the of and to in that was with", "de": "der und die nicht ein zu von mit"}
+    rng = np.random.default_rng(0)
+    rows = [(" ".join(rng.choice(words[k].split(), 30)), k) for k in list(words) * 40]
+    model = langid.train(*map(list, zip(*rows)))
+    short = ["the of and to in", "und die nicht", "was with that", "1 2 3", "", None]
+    docs = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    assert {r.doc_id for r in langid.reject_unreadable(docs, model).collect()} == {0, 1, 2}
+
+
 def test_codewords_are_distinct():
     for n in (2, 4, 6, 20):
         code = langid.codewords(n)
