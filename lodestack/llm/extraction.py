@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,7 +30,7 @@ _RAW = frozenset("script style noscript template iframe object svg math canvas t
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|$)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>])*+)(?:>|$)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Words in class, id and role, and what they hint at. Fixed values.
 _HINTS = {
@@ -52,21 +53,67 @@ _PHRASES = {
 }
 
 
+#: Open tags that a new tag of the kind ends, and the tags beyond which it ends none. Fixed values.
+_ENDS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+_BOUNDS = ("ul", "ol", "table", "dl")
+
+
 @dataclass
 class Block:
+    """A block's text, the block-level tags and hints around it, the innermost such tag, and its linked characters."""
+
     text: str
-    path: tuple[str, ...]
+    tags: frozenset
     hints: frozenset
+    leaf: str
     linked: int
 
 
+class _Open:
+    """The open tags. What stands around a place is counted as tags open and close, so no step depends on the depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[str] = []
+        self.tags: Counter = Counter()
+        self.hints: Counter = Counter()
+
+    def push(self, tag: str, hints: frozenset) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, hints))
+        if tag not in _INLINE:
+            self.blocks.append(tag)
+            self.hints.update(hints)
+            if tag in _TAGS:
+                self.tags[tag] += 1
+
+    def close(self, depth: int) -> None:
+        """Close all tags from ``depth`` on."""
+        while len(self.stack) > depth:
+            tag, hints = self.stack.pop()
+            self.at[tag].pop()
+            if tag not in _INLINE:
+                self.blocks.pop()
+                self.hints.subtract(hints)
+                if tag in _TAGS:
+                    self.tags[tag] -= 1
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost of ``tags`` stands, -1 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order. White space in a block is one blank; blocks without text are none."""
+    """The text blocks of a page in order. White space in a block is one blank; blocks without text are none.
+
+    The work grows with the page, not with how deep its tags nest or how many are left open.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    open_ = _Open()
     parts: list[str] = []
-    linked = links = 0
-    skip = ""
+    unclosed: set[str] = set()  # raw tags without an end in the rest of the page
+    linked = 0
     page = page or ""
 
     def flush() -> None:
@@ -74,24 +121,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            blocks = [s for s in stack if s[0] not in _INLINE]
-            out.append(Block(text, tuple(s[0] for s in blocks), frozenset().union(*(s[1] for s in blocks)), linked))
+            present = lambda counts: frozenset(k for k, n in counts.items() if n)
+            out.append(Block(text, present(open_.tags), present(open_.hints), open_.blocks[-1] if open_.blocks else "", linked))
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if skip or not raw:
+        if not raw:
             return
         text = html.unescape(raw)
-        if links:
+        if open_.at.get("a"):
             linked += len("".join(text.split()))
         parts.append(text)
 
-    def close(upto: int) -> None:
-        nonlocal links
-        links -= sum(s[0] == "a" for s in stack[upto:])
-        del stack[upto:]
-
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -100,17 +142,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
         say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if not skip and m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA["):
                 say(m[0][9:].removesuffix("]]>"))
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _RAW or tag in ("head", "title"):
-            if not closing and not m[3].rstrip().endswith("/"):
+            if not closing and not m[3].rstrip().endswith("/") and tag not in unclosed:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
                 if end is not None:
                     at = end.end()
                 elif tag not in ("head", "option", "select"):
                     at = len(page)
+                else:
+                    unclosed.add(tag)
             if tag not in ("option", "svg", "math", "object"):
                 parts.append(" ")
             continue
@@ -123,19 +167,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag not in _INLINE:
             flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
+            if (depth := open_.last(tag)) >= 0:
+                open_.close(depth)
             continue
-        ends = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, ())
-        if tag not in _INLINE and (depth := next((i for i, s in enumerate(stack) if s[0] == "p"), None)) is not None:
-            close(depth)  # a block-level tag ends an open paragraph
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ends:
-                close(i)
-                break
-            if stack[i][0] in ("ul", "ol", "table", "dl"):
-                break
+        if tag not in _INLINE and open_.at.get("p"):
+            open_.close(open_.at["p"][0])  # a block-level tag ends an open paragraph
+        if (depth := open_.last(*_ENDS.get(tag, ()))) > open_.last(*_BOUNDS):
+            open_.close(depth)
         hints = set()
         for name, value in _ATTR.findall(m[3]):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -145,8 +183,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if token in _HINT_OF:
                     hints.add(_HINT_OF[token])
         if not m[3].rstrip().endswith("/"):
-            stack.append((tag, frozenset(hints)))
-            links += tag == "a"
+            open_.push(tag, frozenset(hints))
     say(page[at:])
     flush()
     return out
@@ -167,12 +204,12 @@ def features(blocks: list[Block]) -> list[list[int]]:
         n = b.text.count(" ") + 1
         density = b.linked / max(1, len(b.text))
         names = ["bias", f"words{min(6, n.bit_length() - 1)}", "link0" if density < 0.1 else "link1" if density < 0.6 else "link2"]
-        names += [f"tag={t}" for t in set(b.path) & _TAGS] + [f"hint={h}" for h in b.hints & _HINTS.keys()]
+        names += [f"tag={t}" for t in b.tags] + [f"hint={h}" for h in b.hints & _HINTS.keys()]
         low = b.text.lower()
         names += [f"says={k}" for k, s in _PHRASES.items() if s in low]
-        if b.path and b.path[-1] in _TAGS:
-            names.append(f"leaf={b.path[-1]}")
-        for name, holds in (("first", i == 0), ("last", i == len(blocks) - 1), ("ends", b.text[-1] in ".!?。"), ("comma", "," in b.text), ("hidden", "hidden" in b.hints), ("heading", b.path[-1:] and re.fullmatch(r"h[1-6]", b.path[-1]))):
+        if b.leaf in _TAGS:
+            names.append(f"leaf={b.leaf}")
+        for name, holds in (("first", i == 0), ("last", i == len(blocks) - 1), ("ends", b.text[-1] in ".!?。"), ("comma", "," in b.text), ("hidden", "hidden" in b.hints), ("heading", re.fullmatch(r"h[1-6]", b.leaf))):
             if holds:
                 names.append(name)
         out.append([FEATURES[x] for x in names])
@@ -187,32 +224,41 @@ class Crf:
     moves: np.ndarray
 
 
+def loss_and_gradients(w: np.ndarray, t: np.ndarray, feats: list[list[int]], labels: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log likelihood of a page's labels, and its gradients, by forward and backward sums."""
+    n = len(feats)
+    e = np.array([[0.0, w[f].sum()] for f in feats])
+    fore, back = np.zeros((n, 2)), np.zeros((n, 2))
+    fore[0] = e[0]
+    for i in range(1, n):
+        fore[i] = np.logaddexp.reduce(fore[i - 1][:, None] + t, axis=0) + e[i]
+    for i in range(n - 2, -1, -1):
+        back[i] = np.logaddexp.reduce(t + (e[i + 1] + back[i + 1])[None], axis=1)
+    z = np.logaddexp.reduce(fore[-1])
+    main = np.exp(fore + back - z)[:, 1]
+    dw, dt, total = np.zeros_like(w), np.zeros_like(t), -z
+    for i, (f, y, p) in enumerate(zip(feats, labels, main)):
+        np.add.at(dw, f, y - p)
+        total += e[i, y]
+    for i in range(1, n):
+        total += t[labels[i - 1], labels[i]]
+        dt[labels[i - 1], labels[i]] += 1
+        dt -= np.exp(fore[i - 1][:, None] + t + (e[i] + back[i])[None] - z)
+    return float(total), dw, dt
+
+
 def train(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 12, rate: float = 0.1, decay: float = 1e-3, seed: int = 5) -> Crf:
-    """Stochastic gradient ascent (Adagrad) on the conditional log likelihood, by forward and backward sums."""
+    """Stochastic gradient ascent (Adagrad) on the conditional log likelihood."""
     rng = np.random.default_rng(seed)
     w, t = np.zeros(len(FEATURES)), np.zeros((2, 2))
     gw, gt = np.full_like(w, 1e-2), np.full_like(t, 1e-2)
     for _ in range(epochs):
         for k in rng.permutation(len(pages)):
             feats, labels = pages[k]
-            n = len(feats)
-            if not n:
+            if not feats:
                 continue
-            e = np.array([[0.0, w[f].sum()] for f in feats])
-            fore, back = np.zeros((n, 2)), np.zeros((n, 2))
-            fore[0] = e[0]
-            for i in range(1, n):
-                fore[i] = np.logaddexp.reduce(fore[i - 1][:, None] + t, axis=0) + e[i]
-            for i in range(n - 2, -1, -1):
-                back[i] = np.logaddexp.reduce(t + (e[i + 1] + back[i + 1])[None], axis=1)
-            z = np.logaddexp.reduce(fore[-1])
-            main = np.exp(fore + back - z)[:, 1]
-            dw, dt = -decay * w, -decay * t
-            for f, y, p in zip(feats, labels, main):
-                dw[f] += y - p
-            for i in range(1, n):
-                dt[labels[i - 1], labels[i]] += 1
-                dt -= np.exp(fore[i - 1][:, None] + t + (e[i] + back[i])[None] - z)
+            _, dw, dt = loss_and_gradients(w, t, feats, labels)
+            dw, dt = dw - decay * w, dt - decay * t
             gw += dw * dw
             gt += dt * dt
             w += rate * dw / np.sqrt(gw)
