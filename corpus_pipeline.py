@@ -6,13 +6,11 @@ stage's ``docs``. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, langid, mixing, near_dedup, quality
-from lodestack.llm.common import held_out, table
+from lodestack.llm.common import held_out, shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +42,15 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Tokenisers, trained classifiers and sketches have no SQL; tests/llm compares every stage with brute force.
+#: Tokenisers and trained classifiers have no SQL. tests/llm compares every stage with a version in plain Python, on what
+#: the stage before it kept.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written below the shared checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    shared = shared_folder(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{shared}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}-{k}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
