@@ -76,51 +76,60 @@ def length_pieces(text: Column, size: Column, overlap: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(packed)
 
 
+#: Where a heading line begins: blanks, one to six marks, blanks, text.
+_BLANK = r"[\s&&[^\n]]"
+HEADING_START = rf"(?mdU)(?=^{_BLANK}*#{{1,6}}{_BLANK}+\S)"
+
+
 def heading_sections(text: Column) -> Column:
-    """Array of (title, path, level, body): lines between ``#`` headings, the path from the open headings above."""
-    section = "struct<title:string,path:string,level:int,body:string>"
-    heads = "array<struct<level:int,title:string>>"
-    start = F.struct(
-        F.array().cast(f"array<{section}>").alias("done"), F.array().cast(heads).alias("heads"), F.lit("").alias("title"), F.lit("").alias("path"), F.lit(1).alias("level"), F.array().cast("array<string>").alias("lines")
-    )
+    """Array of (title, level, body) of the parts that begin at ``#`` headings; what stands before the first has no title, level 1."""
 
-    def close(s: Column) -> Column:
-        body = strip(F.array_join(s["lines"], "\n"))
-        made = F.struct(s["title"].alias("title"), s["path"].alias("path"), s["level"].alias("level"), body.alias("body"))
-        return F.when(F.size(s["lines"]) > 0, F.concat(s["done"], F.array(made))).otherwise(s["done"])
+    def made(part: Column) -> Column:
+        line = strip(F.substring_index(part, "\n", 1))
+        is_head = line.rlike(HEADING)
+        rest = F.when(F.contains(part, F.lit("\n")), F.regexp_replace(part, r"\A[^\n]*\n", "")).otherwise("")
+        title = F.when(is_head, strip(F.regexp_extract(line, HEADING, 2))).otherwise("")
+        level = F.when(is_head, F.length(F.regexp_extract(line, HEADING, 1)).cast("int")).otherwise(1)
+        return F.struct(title.alias("title"), level.alias("level"), F.when(is_head, strip(rest)).otherwise(strip(part)).alias("body"), is_head.alias("is_head"))
 
-    def take(s: Column, line: Column) -> Column:
-        trimmed = strip(line)
-        is_head = trimmed.rlike(HEADING)
-        level = F.length(F.regexp_extract(trimmed, HEADING, 1)).cast("int")
-        title = strip(F.regexp_extract(trimmed, HEADING, 2))
-        above = F.concat(F.filter(s["heads"], lambda h: h["level"] < level), F.array(F.struct(level.alias("level"), title.alias("title"))))
-        path = F.array_join(F.transform(above, lambda h: h["title"]), " / ")
-        plain = F.struct(s["done"].alias("done"), s["heads"].alias("heads"), s["title"].alias("title"), s["path"].alias("path"), s["level"].alias("level"), F.concat(s["lines"], F.array(line)).alias("lines"))
-        turned = F.struct(close(s).alias("done"), above.alias("heads"), title.alias("title"), path.alias("path"), level.alias("level"), F.array().cast("array<string>").alias("lines"))
-        return F.when(is_head, turned).otherwise(plain)
+    return F.transform(F.split(text, HEADING_START), made)
 
-    return F.aggregate(F.split(text, "\n"), start, take, close)
+
+def heading_paths(sections: DataFrame) -> Column:
+    """The open headings down to a section's own, over rows (doc_id, section_no, section, section_level, is_head) of documents.
+
+    A heading is open until one of its own level or a higher one comes; so a level's last heading is open where it stands
+    behind the last one of every level above it. One window for each of the six levels, whatever number of sections.
+    """
+    upto = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("is_head") & (F.col("section_level") == n), F.struct("section_no", "section")), ignorenulls=True).over(upto) for n in range(1, 7)]
+    none = F.lit(-1)
+    at = [F.coalesce(x["section_no"], none) for x in last]
+    above = [none, *[F.greatest(none, none, *at[:n]) for n in range(1, 6)]]
+    open_ = [F.when(F.col("is_head") & (F.lit(n + 1) <= F.col("section_level")) & (at[n] > above[n]), last[n]["section"]) for n in range(6)]
+    return F.array_join(F.array_compact(F.array(*open_)), " / ")
 
 
 def page_sections(text: Column) -> Column:
-    """Array of (title, path, level, body) of the parts that begin with a page mark; empty without marks."""
+    """Array of (title, level, body, is_head) of the parts that begin with a page mark; empty without marks."""
     parts = F.filter(F.split(text, r"(?=<!--\s*page:\d+\s*-->)"), lambda p: p.rlike(r"^<!--\s*page:\d+\s*-->"))
 
     def made(part: Column) -> Column:
         title = F.concat(F.lit("第"), F.regexp_extract(part, PAGE_MARK, 1), F.lit("页"))
-        return F.struct(title.alias("title"), title.alias("path"), F.lit(1).alias("level"), strip(part).alias("body"))
+        return F.struct(title.alias("title"), F.lit(1).alias("level"), strip(part).alias("body"), F.lit(True).alias("is_head"))
 
     return F.transform(parts, made)
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
-    """One row per section of ``docs`` (content, by_page): section_no, section, section_path, section_level, body."""
+    """One row per section of ``docs`` (doc_id, content, by_page): section_no, section, section_path, section_level, body."""
     text = F.coalesce("content", F.lit(""))
     pages = page_sections(text)
     sections = F.when(F.col("by_page") & (F.size(pages) > 0), pages).otherwise(heading_sections(text))
-    out = docs.filter(strip(text) != "").select("*", F.posexplode(sections).alias("section_no", "_s"))
-    return out.select("*", F.col("_s.title").alias("section"), F.col("_s.path").alias("section_path"), F.col("_s.level").alias("section_level"), F.col("_s.body").alias("body")).drop("_s")
+    kept = [c for c in docs.columns if c != "content"]  # a section doesn't carry its whole document
+    out = docs.filter(strip(text) != "").select(*kept, F.posexplode(sections).alias("section_no", "_s"))
+    out = out.select("*", F.col("_s.title").alias("section"), F.col("_s.level").alias("section_level"), F.col("_s.body").alias("body"), F.col("_s.is_head").alias("is_head"))
+    return out.withColumn("section_path", heading_paths(out)).drop("_s", "is_head")
 
 
 def chunk_id(prefix: str, doc_id: Column, idx: Column, content: Column) -> Column:
@@ -183,7 +192,7 @@ def build_chunks(docs: DataFrame) -> DataFrame:
     along. One window per document numbers the pieces, so a document, not the corpus, is what meets in a task.
     """
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.col("source"), 256))
-    sections = split_sections(chunk_profile(docs.withColumn("doc_id", doc_id))).drop("content")
+    sections = split_sections(chunk_profile(docs.withColumn("doc_id", doc_id)))
     pieces = sections.select("*", F.posexplode(length_pieces(F.col("body"), F.col("parent_max"), F.col("parent_overlap"))).alias("parent_no", "content")).drop("body")
     pieces = pieces.withColumn("content", strip(F.col("content")))
     pieces = pieces.filter(F.col("content") != "").filter(~((F.length("content") < F.col("min_chars")) & (F.col("section") != "")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 from lodestack.operators import budget, chunk, context, decide, evaluate, filters, fuse, govern, index, metadata, risk, search, trainsets, understand
-from lodestack.sources import files
+from lodestack.sources import files, shared
 from lodestack.streaming import audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; an own one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/lodestack-{uuid.uuid4()}"
+    """A new folder below the one that the cluster shares."""
+    return f"{shared.shared_folder(spark)}/lodestack-{uuid.uuid4()}"
 
 
 # Derived inputs: documents as chunks, benchmark items as questions.
@@ -84,12 +83,26 @@ def bench_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_index(spark: SparkSession, chunks: DataFrame, key: str = "chunk_id") -> search.Bm25Index:
-    return search.bm25_index(chunks, key).stored(shared_folder(spark))
+#: Folders of the indexes that a session has stored, by application, tables and kind.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, kind: str, chunks: Callable[[], DataFrame]) -> search.Bm25Index:
+    """The lexical index of ``chunks``, built once a session and kept in the shared folder for all its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORED:
+        folder = shared_folder(spark)
+        search.bm25_index(chunks()).stored(folder)
+        _STORED[key] = folder
+    return search.Bm25Index.load(spark, _STORED[key])
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> search.Bm25Index:
+    return stored_index(spark, sf_dir, "documents", lambda: doc_chunks(spark, sf_dir))
 
 
 def bm25_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return search.bm25_search(bench_questions(spark, sf_dir), stored_index(spark, doc_chunks(spark, sf_dir)), k)
+    return search.bm25_search(bench_questions(spark, sf_dir), doc_index(spark, sf_dir), k)
 
 
 def rich_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -154,10 +167,14 @@ def text_measures(spark, sf_dir):
     return d.select("doc_id", F.size(T.tokenize(t)).alias("n_tokens"), T.estimate_tokens(t).alias("budget_tokens"), F.size(T.keyword_set(t)).alias("n_keywords"), T.chunk_summary(t).alias("summary"), T.normalize_question(t).alias("question_key"))
 
 
-@query("first_sentences")
+@query("first_sentences", rf"""
+WITH k AS (SELECT doc_id, text, {FOLD.format("coalesce(text, '')")} AS f FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(f, '[。！？.!?]\s') THEN regexp_extract(f, '^(.*?[。！？.!?])\s', 1) ELSE f END AS first,
+  len(list_filter(regexp_extract_all(f, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$'), lambda s: trim(s) <> ''))::INTEGER AS n_sentences,
+  trim(f, ' ?？!！。.,，;；:：') AS query, CASE WHEN length(text) > 50 THEN rtrim(text[1:49]) || '…' ELSE text END AS short FROM k""")
 def first_sentences(spark, sf_dir):
     d, t = table(spark, sf_dir, "documents"), F.col("text")
-    return d.select("doc_id", T.first_sentence(t).alias("first"), F.size(T.split_sentences(t)).alias("n_sentences"), T.normalize_query(F.substring(t, 1, 200)).alias("query"), T.truncate_text(t, 50).alias("short"))
+    return d.select("doc_id", T.first_sentence(t).alias("first"), F.size(T.split_sentences(t)).alias("n_sentences"), T.normalize_query(t).alias("query"), T.truncate_text(t, 50).alias("short"))
 
 
 @query("window_chunks", """
@@ -173,11 +190,67 @@ def window_chunks(spark, sf_dir):
     return pieces.select("doc_id", "idx", F.length("piece").alias("n_chars"), chunk.chunk_id("c", F.col("doc_id").cast("string"), F.col("idx"), F.col("piece")).alias("chunk_id"))
 
 
-@query("build_chunks")
-def build_chunks(spark, sf_dir):
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+
+
+def _windows(x: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"CASE WHEN length({x}) <= {size} THEN [{x}] ELSE list_transform(range(greatest(1, ceil((length({x}) - {overlap}) / {step}.0))::BIGINT), lambda i: ({x})[i * {step} + 1 : i * {step} + {size}]) END"
+
+
+def _packed(columns: str, source: str, size: int, overlap: int) -> str:
+    """SQL: ``columns`` and ``pieces`` of the rows of ``source``, whose ``body`` is packed paragraph by paragraph."""
+    two = "chr(10) || chr(10)"
+    fits = f"length(a.open) + length(x.open) + 2 <= {size}"
+    small = f"length(x.open) <= {size}"
+    closed = f"CASE WHEN a.open = '' THEN a.done ELSE list_concat(a.done, {_windows('a.open', size, overlap)}) END"
+    step = f"""{{'done': CASE WHEN {fits} THEN a.done WHEN {small} THEN {closed} ELSE list_concat({closed}, {_windows('x.open', size, overlap)}) END,
+      'open': CASE WHEN {fits} THEN CASE WHEN a.open = '' THEN x.open ELSE a.open || {two} || x.open END WHEN {small} THEN x.open ELSE '' END}}"""
+    return f"""SELECT {columns}, CASE WHEN body = '' THEN [] WHEN length(body) <= {size} THEN [body] WHEN r.open = '' THEN r.done ELSE list_concat(r.done, {_windows('r.open', size, overlap)}) END AS pieces FROM (
+    SELECT *, list_reduce(list_concat([{{'done': []::VARCHAR[], 'open': ''}}], list_transform(list_filter(list_transform(regexp_split_to_array(body, '\\n\\n+'), lambda p: {_strip('p')}), lambda p: p <> ''), lambda p: {{'done': []::VARCHAR[], 'open': p}})),
+      lambda a, x: {step}) AS r FROM {source})"""
+
+
+#: Chunks of documents whose sections are known: an intro, Part A, Part B below it, a short Part C. Each line is a paragraph.
+CHUNKS = f"""
+src AS (SELECT doc_id::VARCHAR AS d, source, lang, replace(text, chr(10), chr(10) || chr(10)) AS p FROM documents),
+sec AS (SELECT d, source, lang, unnest([{{'no': 0, 'title': '', 'path': '', 'level': 1, 'body': 'intro of ' || d}}, {{'no': 1, 'title': 'Part A', 'path': 'Part A', 'level': 1, 'body': p}},
+  {{'no': 2, 'title': 'Part B', 'path': 'Part A / Part B', 'level': 2, 'body': '操作 steps' || chr(10) || '1. 联系人 ' || d || chr(10) || chr(10) || p || '|'}}, {{'no': 3, 'title': 'Part C', 'path': 'Part C', 'level': 1, 'body': 'short'}}], recursive := true) FROM src),
+body AS (SELECT d, source, lang, no, title, path, level, {_strip('body')} AS body FROM sec),
+par AS (SELECT d, source, lang, no, title, path, level, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pno FROM ({_packed('d, source, lang, no, title, path, level', 'body', 1800, 160)})),
+par2 AS (SELECT d, source, lang, title, path, level, {_strip('piece')} AS body, row_number() OVER (PARTITION BY d ORDER BY no, pno) - 1 AS idx FROM (SELECT * FROM par WHERE {_strip('piece')} <> '' AND NOT (length({_strip('piece')}) < 80 AND title <> ''))),
+par3 AS (SELECT *, 'p-' || left(d, 8) || '-' || idx || '-' || left(sha256('p:' || d || ':' || idx || ':' || left(body, 200)), 16) AS pid FROM par2),
+kid AS (SELECT d, source, lang, title, path, level, body AS whole, idx, pid, list_filter(list_transform(pieces, lambda c: {_strip('c')}), lambda c: c <> '' AND NOT (length(c) < 80 AND length(body) > 80)) AS ks FROM ({_packed('d, source, lang, title, path, level, body, idx, pid', 'par3', 1000, 100)})),
+kid2 AS (SELECT d, source, lang, title, path, level, idx, pid, unnest(CASE WHEN len(ks) > 0 THEN ks ELSE [whole] END) AS body, generate_subscripts(CASE WHEN len(ks) > 0 THEN ks ELSE [whole] END, 1) AS kno FROM kid),
+kid3 AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY idx, kno) - 1 AS k FROM kid2),
+chunks AS (SELECT d AS doc_id, pid AS chunk_id, pid AS parent_chunk_id, 'parent' AS chunk_level, idx AS chunk_idx, title, path, level, body, source, lang FROM par3 UNION ALL
+  SELECT d, 'c-' || left(d, 8) || '-' || k || '-' || left(sha256('c:' || d || ':' || k || ':' || left(pid || ':' || body, 200)), 16), pid, 'child', k, title, path, level, body, source, lang FROM kid3),
+words AS (SELECT chunk_id, w, n FROM (SELECT chunk_id, w, n, row_number() OVER (PARTITION BY chunk_id, lower(w) ORDER BY n) AS k FROM (SELECT chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM (
+  SELECT chunk_id, list_concat(['text'], regexp_extract_all(path, '[一-鿿A-Za-z0-9_/-]{{2,30}}'), regexp_extract_all(left(body, 160), '[一-鿿A-Za-z0-9_/-]{{2,30}}')) AS ws FROM chunks))) WHERE k = 1),
+topics AS (SELECT chunk_id, string_agg(w, ' ' ORDER BY n) AS topic_keywords FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY n) AS m FROM words) WHERE m <= 8 GROUP BY chunk_id)
+"""
+
+
+def sectioned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an intro, Part A, Part B below it and a short Part C; each line of the text is a paragraph."""
     d = table(spark, sf_dir, "documents")
-    docs = d.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit("t").alias("title"), F.col("text").alias("content"), F.lit("text").alias("doc_type"), F.lit("text/plain").alias("mime_type"), "lang")
-    return chunk.build_chunks(docs)
+    p, i = F.regexp_replace("text", "\n", "\n\n"), F.col("doc_id").cast("string")
+    content = F.concat(F.lit("intro of "), i, F.lit("\n# Part A\n"), p, F.lit("\n## Part B\n操作 steps\n1. 联系人 "), i, F.lit("\n\n"), p, F.lit("|\n# Part C\nshort"))
+    return d.select(i.alias("doc_id"), "source", F.lit("t").alias("title"), content.alias("content"), F.lit("text").alias("doc_type"), F.lit("text/plain").alias("mime_type"), "lang")
+
+
+@query("build_chunks", f"""
+WITH {CHUNKS} SELECT doc_id, chunk_id, parent_chunk_id, chunk_level, chunk_idx::INTEGER AS chunk_idx, nullif(title, '') AS section, path AS section_path, level AS section_level, body AS content, NULL::INTEGER AS page, source, lang, topic_keywords,
+  CASE WHEN regexp_matches(left(title || chr(10) || left(body, 200), 300), '操作') THEN 'procedure' ELSE 'general' END AS section_type, CASE WHEN length({FOLD.format('body')}) > 96 THEN rtrim(({FOLD.format('body')})[1:95]) || '…' ELSE {FOLD.format('body')} END AS chunk_summary,
+  contains(body, '|') OR contains(body, chr(9)) AS contains_table, regexp_matches(body, '(^|\n)\s*(\d+\.|[-*])\s+') AS contains_steps, regexp_matches(left(body, 500), '联系人') AS contains_contact, true AS contains_version_signal, false AS contains_risk_signal
+FROM chunks JOIN topics USING (chunk_id)""")
+def build_chunks(spark, sf_dir):
+    made = chunk.build_chunks(sectioned_documents(spark, sf_dir))
+    return made.select(
+        "doc_id", "chunk_id", "parent_chunk_id", "chunk_level", "chunk_idx", "section", "section_path", "section_level", "content", "page", "source", "lang", F.array_join("topic_keywords", " ").alias("topic_keywords"),
+        "section_type", "chunk_summary", "contains_table", "contains_steps", "contains_contact", "contains_version_signal", "contains_risk_signal",
+    )
 
 
 @query("html_text")
@@ -293,11 +366,11 @@ def sparse_vector_topk(spark, sf_dir):
 
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits, and as a second retriever the hits by number of distinct shared tokens."""
-    q, c = bench_questions(spark, sf_dir), doc_chunks(spark, sf_dir)
-    bm25 = search.bm25_search(q, stored_index(spark, c), 10).withColumn("retriever", F.lit("sparse"))
-    words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(T.tokenize(F.col(text)))).alias("token"))
-    shared = words(q, "query_id", "question").join(words(c, "chunk_id", "content"), "token").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    return bm25.unionByName(search.top_k(shared, 10).withColumn("retriever", F.lit("dense")))
+    q, stored = bench_questions(spark, sf_dir), doc_index(spark, sf_dir)
+    bm25 = search.bm25_search(q, stored, 10).withColumn("retriever", F.lit("sparse"))
+    asked = q.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("question")))).alias("token"))
+    both = asked.join(stored.postings, "token").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))  # a posting is a distinct token of a chunk
+    return bm25.unionByName(search.top_k(both, 10).withColumn("retriever", F.lit("dense")))
 
 
 TWO = f"""{BM25},
@@ -348,7 +421,7 @@ def expand_parents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     docs = d.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit("t").alias("title"), F.col("text").alias("content"), F.lit("text").alias("doc_type"), F.lit("text/plain").alias("mime_type"))
     chunks = chunk.build_chunks(docs)
-    hits = search.bm25_search(bench_questions(spark, sf_dir), stored_index(spark, search.searchable(chunks)), 10)
+    hits = search.bm25_search(bench_questions(spark, sf_dir), stored_index(spark, sf_dir, "children", lambda: search.searchable(chunks)), 10)
     out = fuse.expand_parents(hits, chunks, ("source", "doc_id"))
     return out.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "matched_child_chunk_ids", "matched_child_count", "doc_id")
 
@@ -389,15 +462,36 @@ def conflicts(spark, sf_dir):
     return found.select("query_id", "conflict_topic", "preferred_chunk_id", "conflict_detected", "answer_mode")
 
 
-@query("rerank")
+KEYWORDS = "list_distinct(regexp_extract_all(trim(regexp_replace({}, '\\s+', ' ', 'g')), '[A-Za-z0-9_./:-]+'))"
+
+
+@query("rerank", f"""
+WITH {BM25}, p AS (SELECT h.query_id, chunk_id, h.rank AS prior_rank, {KEYWORDS.format('question')} AS a, {KEYWORDS.format('text')} AS b FROM hits h JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id),
+s AS (SELECT query_id, chunk_id, prior_rank, round(len(list_intersect(a, b)) / greatest(1, len(a)), 6) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior_rank) AS rank FROM s)
+SELECT query_id, chunk_id, score, rank, prior_rank::INTEGER AS prior_rank FROM r WHERE rank <= 8""")
 def rerank(spark, sf_dir):
     hits = govern.rerank_candidates(rich_hits(spark, sf_dir))
     return govern.rerank(hits, bench_questions(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank", "prior_rank")
 
 
-@query("pack_contexts")
+#: Greedy packing step by step down the ranks; ``{doc}`` names the document of a hit, ``{sec}`` its section.
+PACKED = """h10 AS (SELECT hits.query_id, hits.rank, hits.chunk_id, {doc} AS d, {sec} AS s, length(text) AS n FROM hits JOIN documents ON doc_id = hits.chunk_id),
+pack AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, [] ::STRUCT(d BIGINT, s VARCHAR)[] AS kept, 0::BIGINT AS used, false AS ok FROM h10 UNION ALL
+  SELECT query_id, rank, CASE WHEN ok THEN list_append(kept, {{'d': d, 's': s}}) ELSE kept END, used + CASE WHEN ok THEN n + 160 ELSE 0 END, ok FROM (
+    SELECT p.query_id, h.rank, p.kept, p.used, h.d, h.s, h.n, NOT (len(list_filter(p.kept, lambda x: x.d = h.d)) = 0 AND len(list_distinct(list_transform(p.kept, lambda x: x.d))) >= 4)
+      AND len(list_filter(p.kept, lambda x: x.d = h.d)) < 2 AND NOT (h.s <> '' AND len(list_filter(p.kept, lambda x: x.d = h.d AND x.s = h.s)) > 0) AND NOT (len(p.kept) > 0 AND p.used + h.n + 160 > {most}) AS ok
+    FROM pack p JOIN h10 h ON h.query_id = p.query_id AND h.rank = p.rank + 1)),
+packed AS (SELECT h10.*, row_number() OVER (PARTITION BY h10.query_id ORDER BY h10.rank) AS pack_order FROM h10 JOIN pack USING (query_id, rank) WHERE pack.ok)"""
+
+
+@query("pack_contexts", f"""
+WITH RECURSIVE {BM25}, {PACKED.format(doc='doc_id % 6', sec="'part ' || (doc_id % 2)", most=20000)}
+SELECT query_id, rank, chunk_id, d::VARCHAR AS doc_id, pack_order::INTEGER AS pack_order FROM packed""")
 def pack_contexts(spark, sf_dir):
-    return context.pack_contexts(rich_hits(spark, sf_dir)).select("query_id", "rank", "chunk_id", "doc_id", "pack_order")
+    """Hits of six documents of two sections, so that every limit of the packing is met."""
+    hits = rich_hits(spark, sf_dir).withColumn("doc_id", (F.col("doc_id") % 6).cast("string"))
+    return context.pack_contexts(hits, max_chars=20_000).select("query_id", "rank", "chunk_id", "doc_id", "pack_order")
 
 
 @query("egress", f"""
@@ -431,24 +525,37 @@ def local_answers(spark, sf_dir):
     return a.select("query_id", "confidence", "grounding_ok", "refusal_reason", F.array_join("cited_chunk_ids", ",").alias("cited"), F.round(coverage, 6).alias("coverage"))
 
 
-@query("citations")
+@query("citations", f"""
+WITH {GOV} SELECT query_id, rank, chunk_id, title, {LEVEL} AS data_classification, round(score, 4) AS retrieval_score, round(score + bonus, 6) AS governance_rank_score, NULL::VARCHAR AS owner_department,
+  CASE WHEN chunk_id % 2 = 0 THEN '命中了 bm25 / title 检索路线；' ELSE '' END || CASE WHEN round(bonus, 6) > 0 THEN '治理排序提升；' ELSE '' END || '定位章节：part ' || (chunk_id % 2) AS selection_reason FROM gov""")
 def citations(spark, sf_dir):
-    hits = govern.governance_rank(rich_hits(spark, sf_dir))
-    cited = context.distinct_citations(context.citations(hits))
-    return cited.select("query_id", "rank", "citation.chunk_id", "citation.title", "citation.data_classification", "citation.retrieval_score", "citation.selection_reason")
-
-
-@query("prompts")
+    """Every hit cited twice, each chunk kept once."""
+    routes = F.when(F.col("chunk_id") % 2 == 0, F.array(F.lit("bm25"), F.lit("title")))
+    hits = govern.governance_rank(rich_hits(spark, sf_dir)).withColumns({"matched_routes": routes, "section_path": F.col("section")})
+    cited = context.distinct_citations(context.citations(hits.unionByName(hits.withColumn("rank", F.col("rank") + 100))))
+    c = lambda f: F.col(f"citation.{f}")
+    return cited.select("query_id", "rank", c("chunk_id"), c("title"), c("data_classification"), F.round(c("retrieval_score"), 4).alias("retrieval_score"), c("governance_rank_score").alias("governance_rank_score"), c("owner_department"), c("selection_reason"))
+
+
+@query("prompts", f"""
+WITH RECURSIVE {BM25}, {PACKED.format(doc='doc_id', sec="'part ' || (doc_id % 2)", most=3200)},
+b AS (SELECT query_id, string_agg('[CHUNK_ID:' || chunk_id || '] title=topic ' || (chunk_id % 5) || ' source=' || source || ' page= section=' || s || chr(10) || text || chr(10), chr(10) || chr(10) ORDER BY rank) AS c FROM packed JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+SELECT q.query_id, '问题：' || chr(10) || question || chr(10) || chr(10) || CASE WHEN q.query_id % 2 = 1 THEN '治理提示：' || chr(10) || 'note ' || q.query_id || chr(10) || chr(10) ELSE '' END || '上下文：' || chr(10) || coalesce(c, '') AS prompt FROM q LEFT JOIN b USING (query_id)""")
 def prompts(spark, sf_dir):
     packed = context.pack_contexts(rich_hits(spark, sf_dir))
-    q = bench_questions(spark, sf_dir).withColumn("conflict_summary", F.lit(""))
+    q = bench_questions(spark, sf_dir).withColumn("conflict_summary", F.when(F.col("query_id") % 2 == 1, F.concat(F.lit("note "), F.col("query_id"))).otherwise(""))
     return context.build_prompt(q, packed).select("query_id", "prompt")
 
 
-@query("generation_gate")
+@query("generation_gate", f"""
+WITH {BM25}, m AS (SELECT query_id, greatest(max(doc_id % 4), 1) AS o FROM hits JOIN documents ON doc_id = chunk_id WHERE query_id % 13 <> 0 GROUP BY query_id),
+s AS (SELECT item_id AS i, o, CASE WHEN o IS NULL THEN 'empty_context' WHEN item_id % 7 = 0 THEN 'bulk_sensitive_export_request' WHEN item_id % 11 = 0 THEN 'access_denied' WHEN item_id % 2 = 1 OR o = 3 THEN '' END AS r FROM benchmark LEFT JOIN m ON query_id = item_id)
+SELECT i AS query_id, r AS gate_reason, CASE WHEN r = '' THEN 'local_grounded_answer' WHEN r IS NULL THEN 'grounded_answer' ELSE 'refusal' END AS answer_mode, CASE WHEN r = '' THEN 0.62::DOUBLE WHEN r IS NOT NULL THEN 0.0::DOUBLE END AS confidence, coalesce(r <> '', false) AS refusal FROM s""")
 def generation_gate(spark, sf_dir):
-    hits = rich_hits(spark, sf_dir)
-    q = bench_questions(spark, sf_dir).join(filters.max_classification(hits), "query_id", "left")
+    """Some questions ask for bulk exports, some were denied, some have no hits."""
+    hits = rich_hits(spark, sf_dir).filter("query_id % 13 <> 0")
+    asked = bench_questions(spark, sf_dir).withColumns({"question": F.when(F.col("query_id") % 7 == 0, F.concat(F.lit(risk.BULK_EXPORT[0]), F.col("question"))).otherwise(F.col("question")), "refusal_reason": F.when(F.col("query_id") % 11 == 0, "access_denied").otherwise("")})
+    q = asked.join(filters.max_classification(hits), "query_id", "left")
     q = q.withColumn("model_route", filters.model_route(F.col("data_classification"), F.col("allow_external_llm")))
     q = risk.risk_decision(q).join(context.egress_decision(q).select("query_id", "egress_allowed"), "query_id")
     return decide.generation_gate(q, hits, context.pack_contexts(hits))
@@ -457,7 +564,7 @@ def generation_gate(spark, sf_dir):
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions with the turns before them as history."""
     c = table(spark, sf_dir, "conversations")
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)  # what the history window looks at
     h = c.withColumn("history", F.collect_list(F.struct("role", F.col("text").alias("content"))).over(before))
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return h.filter("role = 'user'").select(key.alias("query_id"), "conv_id", "turn", F.col("text").alias("question"), "history")
@@ -525,7 +632,7 @@ def budget_prompts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
     picked = budget.select_turns(budget.score_turns(turns, asked))
     chunks = doc_chunks(spark, sf_dir)
-    hits = search.bm25_search(asked, stored_index(spark, chunks), 6)
+    hits = search.bm25_search(asked, doc_index(spark, sf_dir), 6)
     ev = hits.join(chunks, "chunk_id").select("query_id", "chunk_id", "title", "source", "section", "content", (F.col("score") / (F.col("score") + 1.5)).alias("retrieval_score"), govern.authority_rank(F.col("authority_level")).alias("authority_level"), F.lit(1).alias("freshness_level"))
     best = budget.select_evidence(budget.score_evidence(ev, asked))
     q = asked.withColumns({"resolved_query": F.lit(""), "governance_notice": F.lit("")})
@@ -575,11 +682,15 @@ def feature_stats(spark, sf_dir):
     return risk.fit_stats(behaviour(spark, sf_dir), names).select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-@query("standardized_features")
+STANDARD = ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 1e-6 THEN stddev_pop({c}) OVER () ELSE 1 END, 4) AS {c}" for c in ("past_24h_query_count", "high_risk_ratio_7d", "failed_auth_count_7d", "query_interval_sec"))
+
+
+@query("standardized_features", f"WITH {EVENTS} SELECT event_id, user_id, {STANDARD} FROM b")
 def standardized_features(spark, sf_dir):
     names = ("past_24h_query_count", "high_risk_ratio_7d", "failed_auth_count_7d", "query_interval_sec")
     rows = behaviour(spark, sf_dir)
-    return risk.standardize(rows, risk.fit_stats(rows, names))
+    out = risk.standardize(rows, risk.fit_stats(rows, names))
+    return out.select("event_id", "user_id", *[F.round(c, 4).alias(c) for c in names])
 
 
 @query("retrieval_risk_features", f"""
@@ -645,7 +756,7 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return d.select(
-        i.alias("query_id"), F.substring("text", 1, 60).alias("question"), F.col("source").alias("scenario"), F.array("lang", F.concat(F.lit("t"), (i % 3).cast("string"))).alias("tags"), (F.col("toxic") == 1).alias("expected_refusal"), (i % 6 == 0).alias("refusal"),
+        i.alias("query_id"), F.col("text").alias("question"), F.col("source").alias("scenario"), F.array("lang", F.concat(F.lit("t"), (i % 3).cast("string"))).alias("tags"), (F.col("toxic") == 1).alias("expected_refusal"), (i % 6 == 0).alias("refusal"),
         F.when(i % 2 == 0, F.col("quality") == 0).alias("expected_conflict"), (i % 10 == 0).alias("conflict_detected"), F.element_at(F.array(F.lit("public"), F.lit("internal"), F.lit("sensitive"), F.lit("restricted")), (i % 4 + 1).cast("int")).alias("data_classification"), F.when(i % 4 == 3, "local_only").otherwise("external_allowed").alias("model_route"),
         F.when(i % 5 == 0, "heuristic_guardrail").when(i % 5 == 1, "llm_enhanced").otherwise("heuristic").alias("analysis_source"), ((i % 10) / 10.0).alias("analysis_confidence"), F.concat(F.lit("scene"), (i % 7).cast("string")).alias("query_scene"),
         (i % 3 == 0).alias("metadata_boosted"), (i % 9 == 0).alias("enterprise_entity_boosted"), (i % 2 == 0).alias("governance_boosted"), (i % 4).cast("int").alias("explainable_citation_count"),
@@ -653,7 +764,7 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ROWS = """r AS (SELECT doc_id AS i, left(text, 60) AS question, source AS scenario, lang, toxic, quality, doc_id % 6 = 0 AS refusal, doc_id % 10 = 0 AS conflict FROM documents JOIN labels USING (doc_id))"""
+ROWS = """r AS (SELECT doc_id AS i, text AS question, source AS scenario, lang, toxic, quality, doc_id % 6 = 0 AS refusal, doc_id % 10 = 0 AS conflict FROM documents JOIN labels USING (doc_id))"""
 
 
 @query("eval_summary", f"""
@@ -686,9 +797,11 @@ def top_values(spark, sf_dir):
     return evaluate.top_values(eval_rows(spark, sf_dir))
 
 
-@query("recommendations")
+@query("recommendations", f"""
+WITH {ROWS}, g AS (SELECT avg((i % 5 = 0)::INT) AS g, avg((i % 5 = 1)::INT) AS m, avg(((i % 10) / 10.0 < 0.6)::INT) AS low FROM r), l AS (SELECT list_filter([CASE WHEN g >= 0.2 THEN 'raise_rule_anchors' END, CASE WHEN m >= 0.3 THEN 'extend_rule_coverage' END, CASE WHEN low >= 0.3 THEN 'tune_confidence_weights' END], lambda x: x IS NOT NULL) AS l FROM g)
+SELECT CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'add_badcases' END AS recommendations FROM l""")
 def recommendations(spark, sf_dir):
-    return evaluate.recommendations(eval_rows(spark, sf_dir))
+    return evaluate.recommendations(eval_rows(spark, sf_dir)).select(F.array_join("recommendations", ",").alias("recommendations"))
 
 
 @query("badcases", f"""
@@ -699,26 +812,35 @@ def badcases(spark, sf_dir):
     return evaluate.badcases(eval_rows(spark, sf_dir)).select("query_id", F.col("priority").cast("int").alias("priority"), F.round("min_metric", 6).alias("min_metric"))
 
 
-@query("eval_signals")
+@query("eval_signals", f"""
+WITH {GOV}, s AS (SELECT query_id, list_sort(list_distinct(flatten(list([CASE WHEN chunk_id % 2 = 0 THEN 'bm25' ELSE 'title' END, 'all'])))) AS routes, bool_or(chunk_id % 9 = 0) AS boosted, bool_or(chunk_id % 10 = 0) AS entity, bool_or(round(bonus, 6) > 0) AS governed, count(*) AS n FROM gov WHERE query_id % 5 <> 0 GROUP BY query_id)
+SELECT item_id AS query_id, array_to_string(routes, ',') AS matched_routes, coalesce(boosted, false) AS metadata_boosted, coalesce(entity, false) AS enterprise_entity_boosted, CASE WHEN routes IS NOT NULL THEN CASE WHEN entity THEN 'plant' ELSE '' END END AS entities, coalesce(governed, false) AS governance_boosted, coalesce(n, 0) AS explainable_citation_count FROM benchmark LEFT JOIN s ON query_id = item_id""")
 def eval_signals(spark, sf_dir):
-    hits = govern.governance_rank(rich_hits(spark, sf_dir))
-    cited = context.citations(hits)
-    return evaluate.eval_signals(bench_questions(spark, sf_dir).select("query_id", "question"), hits, cited)
+    """Signals of hits with routes, boosts and entity groups; a fifth of the questions has none."""
+    i = F.col("chunk_id")
+    hits = govern.governance_rank(rich_hits(spark, sf_dir)).filter("query_id % 5 <> 0").withColumns({
+        "matched_routes": F.array(F.when(i % 2 == 0, "bm25").otherwise("title"), F.lit("all")), "metadata_boost": F.when(i % 9 == 0, 0.08).otherwise(0.0),
+        "enterprise_entity_matches": F.when(i % 10 == 0, F.array(F.lit("plant"))).otherwise(F.array().cast("array<string>")),
+    })
+    out = evaluate.eval_signals(bench_questions(spark, sf_dir).select("query_id"), hits, context.citations(hits))
+    return out.select("query_id", F.array_join("matched_routes", ",").alias("matched_routes"), "metadata_boosted", "enterprise_entity_boosted", F.array_join("enterprise_entity_matches", ",").alias("entities"), "governance_boosted", "explainable_citation_count")
 
 
 @query("rank_metrics", f"""
-WITH {BM25}, g AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60))), w AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
+WITH {BM25}, g AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), w AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
 f AS (SELECT query_id, min(rank) AS first, sum(1 / log2(1 + rank)) AS dcg FROM hits JOIN g USING (query_id, chunk_id) GROUP BY 1),
 q2 AS (SELECT w.*, f.first, f.dcg, list_sum(list_transform(range(1, least(n, 10) + 1), lambda x: 1 / log2(1 + x))) AS ideal FROM w LEFT JOIN f USING (query_id))
 SELECT count(*) AS n_queries, round(avg(coalesce(1 / first, 0)), 4) AS mrr_at_10, round(avg(coalesce(dcg / ideal, 0)), 4) AS ndcg_at_10, round(avg(coalesce((first <= 3)::INT, 0)), 4) AS hit_at_3, round(avg(coalesce((first <= 5)::INT, 0)), 4) AS hit_at_5 FROM q2""")
 def rank_metrics(spark, sf_dir):
-    """Truth: documents that hold an item's first 60 characters, found by an equi-join on all 60-character windows' start words."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    b = b.withColumn("first", F.regexp_extract("head", "^(\\S+)", 1))
+    """Truth: documents that hold an item's whole text, found by an equi-join on words; only ids meet before the test."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("\\S+"), F.lit(0)))
+    # the longest of an item's inner words, the last on ties: inner words stand whole in any text that holds the item
+    inner = F.slice(words("item"), 2, F.greatest(F.size(words("item")) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    keyed = d.withColumn("first", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)))))
-    # a head may start inside a longer run of non-blanks only at its first word; the whole text is tested after the join
-    truth = keyed.join(b, "first").filter(F.contains("text", F.col("head"))).select("query_id", "chunk_id")
+    may = d.select("chunk_id", F.explode(words("text")).alias("key")).join(b.select("query_id", key.alias("key")), "key").select("query_id", "chunk_id")
+    truth = may.join(b, "query_id").join(d, "chunk_id").filter(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
     s = evaluate.rank_metrics(bm25_hits(spark, sf_dir), truth)
     return s.select("n_queries", *[F.round(c, 4).alias(c) for c in s.columns if c != "n_queries"])
 
@@ -728,7 +850,7 @@ def report_and_dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     b = table(spark, sf_dir, "benchmark")
     words = F.array_join(F.slice(F.split(T.fold_ws(F.col("text")), " "), 1, 12), " ")
     dataset = b.select(F.col("item_id").alias("row_no"), words.alias("question"), F.col("text").alias("ground_truth"), F.array("text").alias("contexts"), F.lit("lookup").alias("scenario"), F.array(F.lit("bench")).alias("tags"))
-    hits = bm25_hits(spark, sf_dir, 3).join(doc_chunks(spark, sf_dir).select("chunk_id", F.substring("content", 1, 300).alias("content")), "chunk_id")
+    hits = bm25_hits(spark, sf_dir, 3).join(doc_chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     got = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c")).select(F.col("query_id").alias("row_no"), F.transform("c", lambda x: x["content"]).alias("contexts"))
     report = dataset.select("row_no", "question").join(got, "row_no", "left").withColumns({"refusal": F.col("row_no") % 8 == 0, "answer": F.lit(""), "conflict_detected": F.lit(False)})
     return report, dataset
@@ -787,12 +909,20 @@ def store_round_trip(spark, sf_dir):
 
 
 @query("csv_text", """
-SELECT r_name AS source, '## Row 1: ' || r_name || chr(10) || 'name: ' || r_name || chr(10) || 'key: ' || r_regionkey AS content, 1::BIGINT AS rows, 2 AS columns FROM region""")
+WITH r AS (SELECT c_nationkey || '-' || (c_custkey // 500) AS source, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 500 ORDER BY c_custkey) AS n, * FROM customer),
+t AS (SELECT source, n, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE '## Row ' || n || ': ' || c_name || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ' / ' || c_mktsegment END || chr(10) || 'key: ' || c_custkey || chr(10) || 'Name: ' || c_name
+  || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE chr(10) || 'title: ' || c_mktsegment END || chr(10) || 'column_4: x' END AS line FROM r)
+SELECT source, source AS title, coalesce(string_agg(line, chr(10) ORDER BY n), '## Header' || chr(10) || 'key' || chr(10) || 'Name' || chr(10) || 'title' || chr(10) || 'column_4') AS content, count(*) AS rows, 4 AS columns FROM t GROUP BY source""")
 def csv_text(spark, sf_dir):
-    r = table(spark, sf_dir, "region")
-    head = r.select(F.col("r_name").alias("source"), F.lit(0).alias("row_no"), F.array(F.lit("name"), F.lit("key")).alias("cells"))
-    body = r.select(F.col("r_name").alias("source"), F.lit(1).alias("row_no"), F.array("r_name", F.col("r_regionkey").cast("string")).alias("cells"))
-    return files.csv_rows_to_text(head.union(body)).select("source", "content", F.col("rows").cast("long").alias("rows"), "columns")
+    """Customers as the rows of a CSV for each nation and 500 keys: some blank, some without a segment, one header empty."""
+    c = table(spark, sf_dir, "customer")
+    source = F.concat_ws("-", F.col("c_nationkey").cast("string"), F.floor(F.col("c_custkey") / 500).cast("string"))
+    n = F.row_number().over(Window.partitionBy("source").orderBy("c_custkey"))
+    cells = F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_mktsegment")), F.lit("x"))
+    blank = F.array(*[F.lit(x) for x in ("", " ", "", "")])
+    body = c.withColumn("source", source).select("source", n.alias("row_no"), F.when(F.col("c_custkey") % 9 == 0, blank).otherwise(cells).alias("cells"))
+    head = body.select("source").distinct().select("source", F.lit(0).alias("row_no"), F.array(F.lit("key"), F.lit("Name"), F.lit("title"), F.lit("")).alias("cells"))
+    return files.csv_rows_to_text(head.union(body)).select("source", "title", "content", F.col("rows").cast("long").alias("rows"), "columns")
 
 
 def faq_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import clean_lines, clean_text, norm_scalar, strip
 from lodestack.operators.metadata import DOC_TYPES, file_stem
+from lodestack.sources.shared import cut
 
 #: Headers from which a CSV row takes its title, in order of preference. A fixed value.
 TITLE_HEADERS = ("code", "name", "title", "question", "doc_number", "system_name", "编号", "名称", "标题", "问题")
@@ -173,6 +174,7 @@ def get_chunks(chunks: DataFrame, ids: DataFrame) -> DataFrame:
 
 def write_snapshot(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
     """Chunks and vectors as one new snapshot; refused unless both have the same ids and the vectors one dimension."""
+    vectors = cut(vectors)  # encoded once, however often it is looked at
     sizes = vectors.agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
     n = chunks.count()
     unmatched = chunks.join(vectors, "chunk_id", "left_anti").limit(1).count()

@@ -84,9 +84,23 @@ def test_paragraph_packing(spark):
     assert one(spark, text, lambda c: chunk.length_pieces(c, F.lit(12), F.lit(2))) == ["aaaa\n\nbbbb", "c" * 12, "c" * 12, "c" * 5, "dd"]
 
 
+def sections_of(spark, text):
+    d = rows(spark, [("d", text, False)], "doc_id string, content string, by_page boolean")
+    return [(s.section, s.section_path, s.section_level, s.body) for s in chunk.split_sections(d).orderBy("section_no").collect()]
+
+
 def test_heading_sections(spark):
-    got = one(spark, "intro\n# A\none\n## B\ntwo\n# C\nthree", chunk.heading_sections)
-    assert [(s.title, s.path, s.level, s.body) for s in got] == [("", "", 1, "intro"), ("A", "A", 1, "one"), ("B", "A / B", 2, "two"), ("C", "C", 1, "three")]
+    assert sections_of(spark, "intro\n# A\none\n## B\ntwo\n# C\nthree") == [("", "", 1, "intro"), ("A", "A", 1, "one"), ("B", "A / B", 2, "two"), ("C", "C", 1, "three")]
+    got = sections_of(spark, "#none\n  ### A  \n####### no\n#### B\nb\n### C\n\nc\n# D\n##### E\ne")
+    assert [s[:3] for s in got] == [("", "", 1), ("A", "A", 3), ("B", "A / B", 4), ("C", "C", 3), ("D", "D", 1), ("E", "D / E", 5)]
+    assert [s[3] for s in got] == ["#none", "####### no", "b", "c", "", "e"]
+
+
+def test_a_document_of_many_lines(spark):
+    """100,000 lines, every tenth a heading: the work grows with the lines."""
+    lines = [f"## h{i}" if i % 10 == 0 else f"line {i} of the text" for i in range(100_000)]
+    got = sections_of(spark, "\n".join(lines))
+    assert len(got) == 10_000 and got[7][:3] == ("h70", "h70", 2) and got[-1][3].endswith("line 99999 of the text")
 
 
 def test_build_chunks_links_and_pages(spark):
