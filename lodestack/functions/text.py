@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Marks that end a question and are stripped from it. Fixed values.
 END_MARKS = " ?？!！。.,，;；:："
+#: Words that are no keywords. Fixed values.
 STOP_WORDS = ("的", "了", "呢", "吗", "是", "在", "和", "与", "及", "怎么", "如何", "一下", "一个", "这个", "那个", "请问", "帮我", "需要", "可以")
 CHUNK_SUMMARY_CHARS = 96
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_RELEVANCE, REFUSE_UNDER = -5.0, 0.35
+ASK_MORE = "请说明所指的对象和条件。"
 
 
 def generation_gate(queries: DataFrame, hits: DataFrame, packed: DataFrame) -> DataFrame:
@@ -60,9 +61,9 @@ def clarify_response(queries: DataFrame) -> DataFrame:
     text = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))
     return queries.filter("need_clarify").select(
         "query_id",
-        text("clarify_question", "当前问题信息不足，请补充更具体的对象、上下文或约束条件后再继续。").alias("answer"),
+        text("clarify_question", ASK_MORE).alias("answer"),
         F.lit(0.0).alias("confidence"),
-        text("clarify_reason", "问题缺少足够的检索锚点。").alias("reasoning_summary"),
+        text("clarify_reason", "no anchor").alias("reasoning_summary"),
         F.lit(True).alias("refusal"),
         F.lit("need_clarify").alias("refusal_reason"),
         F.lit(False).alias("grounding_ok"),

@@ -13,7 +13,6 @@ _HAN = "一-鿿"
 # Field patterns, label words and class words of the metadata vocabulary.
 FIELD_PATTERNS = {
     "doc_number": rf"(?:文号|文件编号|制度编号|文档编号|编号)\s*[:：]?\s*([A-Za-z0-9{_HAN}\-/()（）〔〕\[\]第号]{{2,64}})",
-    "group_company": r"(新疆能源（集团）有限责任公司|新疆能源集团)",
     "subsidiary": rf"([{_HAN}A-Za-z0-9_-]{{2,40}}(?:分公司|子公司|煤矿|电厂|选煤厂|事业部|运营公司|管理公司))",
     "plant": rf"([{_HAN}A-Za-z0-9_-]{{2,40}}(?:厂|矿|站|基地|园区|中心))",
     "department": rf"([{_HAN}A-Za-z0-9_-]{{2,30}}(?:车间|部门|班组|小组|中心|事业部|工段|科室|仓库|产线|号线|线))",
@@ -123,10 +122,14 @@ def ensure_identity(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc_id": ids, "title": F.coalesce(norm_scalar(F.col("title")), file_stem(F.col("source")))})
 
 
-def enrich(docs: DataFrame) -> DataFrame:
-    """All metadata fields of documents (source, title, content), as columns; non-blank columns that exist are kept."""
+def enrich(docs: DataFrame, group_company: str | None = None) -> DataFrame:
+    """All metadata fields of documents (source, title, content), as columns; non-blank columns that exist are kept.
+
+    ``group_company`` is a pattern of the parent company's names; without it that field stays null.
+    """
     text = head_text(F.col("title"), F.col("source"), F.col("content"))
     made = {name: first_match(text, p) for name, p in FIELD_PATTERNS.items()}
+    made["group_company"] = first_match(text, f"({group_company})") if group_company else F.lit(None).cast("string")
     made["version"] = normalize_version(made["version"])
     made |= {"owner_department": made["department"], "person": extract_person(text), "doc_type": doc_type(F.col("source")), "source_system": F.lit("local_file"), "doc_category": doc_category(text)}
     made |= {name: first_rule(text, rules, default) for name, (default, rules) in CLASS_RULES.items()}

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import fold_ws
 
 
+#: The assistant's text of refusal rows that have no answer of their own.
+REFUSED = "这条问题没有可用的依据，因此不作回答。"
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -39,6 +43,11 @@ def positives(rows: DataFrame) -> Column:
     return folded(F.concat(*[F.coalesce(p, _none()) for p in parts]))
 
 
+def seeded_number(seed: int, text: Column) -> Column:
+    """A number of 60 bits from a seed and a text, by SHA-256, so that any engine can draw the same."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), text), 256), 1, 15), 16, 10).cast("long")
+
+
 def negatives(rows: DataFrame, pool: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """``rows`` (row_id, question, contexts, positives) with ``negatives``: retrieved non-positives first, then pool texts.
 
@@ -48,7 +57,7 @@ def negatives(rows: DataFrame, pool: DataFrame, n: int = 3, seed: int = 42) -> D
     """
     texts = pool.select(fold_ws(F.col("text")).alias("text")).filter("text <> ''").distinct()
     count = max(1, texts.count())
-    bucketed = texts.withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    bucketed = texts.withColumn("h", seeded_number(seed, F.col("text")))
     # numbers by (bucket offset + place in bucket): no single task sorts the pool
     bucketed = bucketed.withColumn("b", F.pmod("h", F.lit(max(1, -(-count // 4096)))))
     sizes = bucketed.groupBy("b").agg(F.count("*").alias("size"))
@@ -59,7 +68,7 @@ def negatives(rows: DataFrame, pool: DataFrame, n: int = 3, seed: int = 42) -> D
     own = F.array_except(folded(F.col("contexts")), F.col("positives"))
     base = rows.withColumn("_own", F.slice(own, 1, n))
     need = F.when(F.size("_own") < n, F.least(F.lit(count), F.lit(n) + F.size("positives") + F.size("_own"))).otherwise(0)
-    start = F.pmod(F.xxhash64(F.lit(seed), "question"), F.lit(count))
+    start = F.pmod(seeded_number(seed, F.col("question")), F.lit(count))
     slots = base.filter(need > 0).select("row_id", F.posexplode(F.transform(F.sequence(F.lit(0), need - 1), lambda i: F.pmod(start + i, F.lit(count)))).alias("i", "slot"))
     drawn = slots.join(numbered, "slot").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("_d"))
     out = base.join(drawn, "row_id", "left")
@@ -91,8 +100,7 @@ def build_sft(report: DataFrame, dataset: DataFrame, system_prompt: str, include
     contexts = folded(F.col("contexts"))
     if "ref_contexts" in have:
         contexts = F.when(F.size(contexts) > 0, contexts).otherwise(folded(F.col("ref_contexts")))
-    sorry = "当前证据不足或不满足访问条件，无法回答该问题。"
-    refused = F.when(text("refusal_reason") != "", F.concat(F.lit(f"{sorry}原因："), text("refusal_reason"), F.lit("。"))).otherwise(sorry)
+    refused = F.when(text("refusal_reason") != "", F.concat(F.lit(f"{REFUSED} ("), text("refusal_reason"), F.lit(")"))).otherwise(REFUSED)
     answer = F.when(text("answer") != "", text("answer")).when(text("ref_ground_truth") != "", text("ref_ground_truth")).when(refusal, refused).otherwise("")
     lines = F.concat(F.array(F.lit("已检索证据：")), F.transform(contexts, lambda t, i: F.concat(F.lit("[文档"), (i + 1).cast("string"), F.lit("] "), t)), F.array(F.lit("")))
     notice = F.when(conflict & (text("conflict_summary") != ""), F.array(F.concat(F.lit("治理提示："), F.col("conflict_summary") if "conflict_summary" in have else F.lit("")), F.lit(""))).otherwise(_none())

@@ -846,47 +846,95 @@ def rank_metrics(spark, sf_dir):
 
 
 def report_and_dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as dataset rows, their BM25 hits as report contexts."""
+    """Benchmark items as dataset rows, their BM25 hits as report contexts; a context that the reference has for every other item."""
     b = table(spark, sf_dir, "benchmark")
     words = F.array_join(F.slice(F.split(T.fold_ws(F.col("text")), " "), 1, 12), " ")
     dataset = b.select(F.col("item_id").alias("row_no"), words.alias("question"), F.col("text").alias("ground_truth"), F.array("text").alias("contexts"), F.lit("lookup").alias("scenario"), F.array(F.lit("bench")).alias("tags"))
     hits = bm25_hits(spark, sf_dir, 3).join(doc_chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     got = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c")).select(F.col("query_id").alias("row_no"), F.transform("c", lambda x: x["content"]).alias("contexts"))
-    report = dataset.select("row_no", "question").join(got, "row_no", "left").withColumns({"refusal": F.col("row_no") % 8 == 0, "answer": F.lit(""), "conflict_detected": F.lit(False)})
+    i = F.col("row_no")
+    report = dataset.select("row_no", "question").join(got, "row_no", "left").withColumns({
+        "refusal": i % 8 == 0, "answer": F.when(i % 4 == 1, F.concat(F.lit("answer "), i)).otherwise(""), "conflict_detected": i % 5 == 0, "conflict_summary": F.concat(F.lit("two  versions of "), i),
+        "refusal_reason": F.when(i % 16 == 0, "access_denied").otherwise(""), "data_classification": F.lit("internal"),
+    })
     return report, dataset
 
 
-@query("triplets")
+TRIPLETS = f"""
+ctx AS (SELECT query_id AS i, list(text ORDER BY rank) AS cs FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY query_id),
+base AS (SELECT item_id AS i, q.question, text, list_filter(list_transform(list_concat([text], coalesce(cs, [])), lambda t: {FOLD.format('t')}), lambda t: t <> '') AS ps FROM benchmark JOIN q ON q.query_id = item_id LEFT JOIN ctx ON ctx.i = item_id WHERE item_id % 8 <> 0),
+pos AS (SELECT i, p, row_number() OVER (PARTITION BY i ORDER BY n) - 1 AS positive_no FROM (SELECT i, p, min(n) AS n FROM (SELECT i, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM base) GROUP BY i, p)),
+npos AS (SELECT i, count(*) AS k FROM pos GROUP BY i),
+pool AS (SELECT t, ('0x' || left(sha256('42:' || t), 15))::BIGINT AS h FROM (SELECT DISTINCT {FOLD.format('text')} AS t FROM benchmark) WHERE t <> ''),
+slots AS (SELECT t, row_number() OVER (ORDER BY h % greatest(1, ceil((SELECT count(*) FROM pool) / 4096.0)::BIGINT), h, t) - 1 AS slot, (SELECT count(*) FROM pool) AS n FROM pool),
+neg0 AS (SELECT base.i, s.t, (s.slot - ('0x' || left(sha256('42:' || question), 15))::BIGINT % s.n + s.n) % s.n AS k FROM base JOIN npos USING (i), slots s),
+neg1 AS (SELECT n.i, n.t, n.k FROM neg0 n JOIN npos USING (i) WHERE n.k < 3 + npos.k AND NOT EXISTS (SELECT 1 FROM pos WHERE pos.i = n.i AND pos.p = n.t)),
+neg AS (SELECT i, list(t ORDER BY k)[1:3] AS ns FROM neg1 GROUP BY i),
+tri AS (SELECT pos.i AS row_id, {FOLD.format('question')} AS query, positive_no, p AS positive, ns[1] AS negative, ns[2:] AS negatives, ns, 'lookup' AS scenario FROM pos JOIN base USING (i) JOIN neg USING (i))
+"""
+
+
+@query("triplets", f"WITH {BM25}, {TRIPLETS} SELECT row_id, query, positive_no::INTEGER AS positive_no, positive, negative, array_to_string(negatives, '|') AS negatives, scenario, 'bench' AS tags, 'eval_report' AS source FROM tri")
 def triplets(spark, sf_dir):
-    return trainsets.build_triplets(*report_and_dataset(spark, sf_dir))
+    made = trainsets.build_triplets(*report_and_dataset(spark, sf_dir))
+    return made.withColumns({"negatives": F.array_join("negatives", "|"), "tags": F.array_join("tags", "|")})
 
 
-@query("triplet_report")
+@query("triplet_report", f"""
+WITH {BM25}, {TRIPLETS} SELECT count(*) AS total_rows, count(*) AS valid_rows, 0::BIGINT AS invalid_rows, 0::BIGINT AS positive_is_negative_rows, count(*) - count(DISTINCT query || chr(1) || positive || chr(1) || array_to_string(list_sort(ns), chr(2))) AS duplicate_triplet_rows, count(DISTINCT query) AS unique_queries,
+  round(avg(length(query)), 2) AS avg_query_chars, round(avg(length(positive)), 2) AS avg_positive_chars, round(sum(list_sum(list_transform(ns, lambda t: length(t)))) / sum(len(ns)), 2) AS avg_negative_chars, count(*) AS rows_with_scenario, count(*) AS rows_with_tags, count(*) AS rows_with_source FROM tri""")
 def triplet_report(spark, sf_dir):
     return trainsets.triplet_report(trainsets.build_triplets(*report_and_dataset(spark, sf_dir)))
 
 
-@query("triplet_tops")
+@query("triplet_tops", f"""
+WITH {BM25}, {TRIPLETS}, u AS (SELECT 'query' AS kind, query AS value FROM tri UNION ALL SELECT 'scenario', scenario FROM tri UNION ALL SELECT 'source', 'eval_report' FROM tri UNION ALL SELECT 'negatives', len(ns)::VARCHAR FROM tri UNION ALL SELECT 'tag', 'bench' FROM tri), c AS (SELECT kind, value, count(*) AS n FROM u GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS rank FROM c QUALIFY rank <= 10""")
 def triplet_tops(spark, sf_dir):
     return trainsets.triplet_tops(trainsets.build_triplets(*report_and_dataset(spark, sf_dir)))
 
 
-@query("pairwise")
+@query("pairwise", f"WITH {BM25}, {TRIPLETS} SELECT query, positive AS text, 1 AS label FROM tri UNION ALL SELECT query, unnest(ns), 0 FROM tri")
 def pairwise(spark, sf_dir):
     return trainsets.pairwise(trainsets.build_triplets(*report_and_dataset(spark, sf_dir)))[0]
 
 
-@query("sft_rows")
+SFT = f"""
+ctx AS (SELECT query_id AS i, list(text ORDER BY rank) AS cs FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY query_id),
+s0 AS (SELECT item_id AS i, {FOLD.format('question')} AS question, {FOLD.format('text')} AS truth, list_filter(list_transform(coalesce(cs, []), lambda t: {FOLD.format('t')}), lambda t: t <> '') AS cs FROM benchmark JOIN q ON q.query_id = item_id LEFT JOIN ctx ON ctx.i = item_id),
+s1 AS (SELECT s0.* EXCLUDE (cs), CASE WHEN len(cs) = 0 THEN [truth] ELSE (SELECT list(c ORDER BY n) FROM (SELECT c, min(n) AS n FROM (SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS n) GROUP BY c)) END AS cs FROM s0),
+sft AS (SELECT i, question, CASE WHEN i % 4 = 1 THEN 'answer ' || i ELSE truth END AS answer, '已检索证据：' || chr(10) || array_to_string(list_transform(cs, lambda t, n: '[文档' || n || '] ' || t), chr(10)) || chr(10) || chr(10) || CASE WHEN i % 5 = 0 THEN '治理提示：two  versions of ' || i || chr(10) || chr(10) ELSE '' END || '用户问题：' || question AS said FROM s1)
+"""
+
+
+@query("sft_rows", f"""
+WITH {BM25}, {SFT} SELECT question, 'lookup' AS scenario, 'bench' AS tags, 'eval_report' AS source, i % 8 = 0 AS refusal, CASE WHEN i % 16 = 0 THEN 'access_denied' ELSE '' END AS refusal_reason, i % 5 = 0 AS conflict_detected, 'two versions of ' || i AS conflict_summary, 'internal' AS data_classification,
+  '<|system|>' || chr(10) || 'Answer from the evidence.' || chr(10) || '<|user|>' || chr(10) || said || chr(10) || '<|assistant|>' || chr(10) || answer AS rendered FROM sft WHERE i % 8 <> 0 OR i % 5 = 0""")
 def sft_rows(spark, sf_dir):
-    sft = trainsets.build_sft(*report_and_dataset(spark, sf_dir), "Answer from the evidence.")
-    return trainsets.normalize_messages(sft).withColumn("rendered", trainsets.render_chat(F.col("messages")))
+    """Chat rows with refusals only where a conflict was found, too."""
+    report, dataset = report_and_dataset(spark, sf_dir)
+    both = trainsets.build_sft(report.filter("conflict_detected"), dataset, "Answer from the evidence.").unionByName(trainsets.build_sft(report, dataset, "Answer from the evidence.", include_refusal=False, include_conflict=False))
+    rows = trainsets.normalize_messages(both).withColumn("rendered", trainsets.render_chat(F.col("messages")))
+    return rows.select("question", "scenario", F.array_join("tags", "|").alias("tags"), "source", "refusal", "refusal_reason", "conflict_detected", "conflict_summary", "data_classification", "rendered")
+
+
+@query("plain_messages", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<|user|>' || chr(10) || 'kept' WHEN doc_id % 3 = 1 THEN '<|user|>' || chr(10) || 'tell' || chr(10) || source || chr(10) || '<|assistant|>' || chr(10) || lang ELSE '<|user|>' || chr(10) || 'tell' || chr(10) || source END AS rendered FROM documents""")
+def plain_messages(spark, sf_dir):
+    """Rows of either layout: messages, or instruction, input and output."""
+    i = F.col("doc_id")
+    m = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    kind = "array<struct<role:string,content:string>>"
+    given = F.when(i % 3 == 0, F.array(m(" User", F.lit(" kept ")), m("assistant", F.lit(" ")))).otherwise(F.array().cast(kind))
+    rows = table(spark, sf_dir, "documents").select("doc_id", given.alias("messages"), F.lit("tell ").alias("instruction"), F.col("source").alias("input"), F.when(i % 3 == 1, F.col("lang")).alias("output"))
+    return trainsets.normalize_messages(rows).select("doc_id", trainsets.render_chat(F.col("messages")).alias("rendered"))
 
 
-@query("sft_report", """
-SELECT count(*) AS total_rows, round(avg((item_id % 8 = 0)::INT), 4) AS refusal_ratio, 0.0::DOUBLE AS conflict_ratio FROM benchmark""")
+@query("sft_report", f"""
+WITH {BM25}, {SFT} SELECT count(*) AS total_rows, count(*) AS valid_rows, count(*) - count(DISTINCT said || chr(1) || answer) AS duplicate_rows, 1.0::DOUBLE AS grounded_ratio, round(avg((i % 8 = 0)::INT), 4) AS refusal_ratio, round(avg((i % 5 = 0)::INT), 4) AS conflict_ratio,
+  round(avg(length({FOLD.format('said')})), 2) AS avg_user_chars, round(avg(length(answer)), 2) AS avg_assistant_chars FROM sft""")
 def sft_report(spark, sf_dir):
-    sft = trainsets.build_sft(*report_and_dataset(spark, sf_dir), "Answer from the evidence.")
-    return trainsets.sft_report(sft).select("total_rows", "refusal_ratio", "conflict_ratio")
+    return trainsets.sft_report(trainsets.build_sft(*report_and_dataset(spark, sf_dir), "Answer from the evidence."))
 
 
 @query("merge_chunks", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS lang FROM documents")
