@@ -63,16 +63,18 @@ def sample_by_class(rows: DataFrame, label: str, text: str, per_class: int, max_
 
     With more than ``max_rows / per_class`` labels each gets an equal share of ``max_rows``, one text at least. Copies of a
     text count once, however many there are. A narrow job estimates the distinct texts of each label for a hash threshold
-    that leaves half as many again as wanted; the few texts under it are made distinct and cut, so no label is gathered into
-    one task however frequent it is.
+    that leaves half as many again as wanted; the hashes under it are made distinct and cut, so no label is gathered into
+    one task however frequent it is. Texts come in at the end, by a join with the hashes that were chosen.
     """
-    hashed = rows.select(F.col(label).alias("_label"), F.col(text).alias("_text"), F.xxhash64(F.col(text), F.lit(17)).alias("_hash"))
+    pair = [F.col(label).alias("_label"), F.xxhash64(F.col(text), F.lit(17)).alias("_hash")]
+    hashed = rows.select(*pair)
     counts = hashed.groupBy("_label").agg(F.approx_count_distinct("_hash")).collect()
     wanted = max(1, min(per_class, max_rows // max(1, len(counts))))
     shares = [(r[0], min(1.0, (1.5 * wanted + 50) / max(1, r[1]))) for r in counts]
     kind = hashed.schema["_label"].dataType.simpleString()
     drawn = hashed.join(F.broadcast(rows.sparkSession.createDataFrame(shares, f"_label {kind}, _share double")), "_label")
-    drawn = drawn.filter(F.pmod("_hash", F.lit(1 << 40)) / float(1 << 40) < F.col("_share"))
-    distinct = drawn.groupBy("_label", "_hash").agg(F.min("_text").alias("_text"))
+    drawn = drawn.filter(F.pmod("_hash", F.lit(1 << 40)) / float(1 << 40) < F.col("_share")).select("_label", "_hash").distinct()
     nth = F.row_number().over(Window.partitionBy("_label").orderBy(F.pmod("_hash", F.lit(1 << 40)), "_hash"))
-    return distinct.withColumn("_nth", nth).filter(F.col("_nth") <= wanted).select(F.col("_label").alias(label), F.col("_text").alias(text))
+    chosen = drawn.withColumn("_nth", nth).filter(F.col("_nth") <= wanted).select("_label", "_hash")  # wanted rows a label, so it may be broadcast
+    texts = rows.select(*pair, F.col(text).alias("_text")).join(F.broadcast(chosen), ["_label", "_hash"])
+    return texts.groupBy("_label", "_hash").agg(F.min("_text").alias("_text")).select(F.col("_label").alias(label), F.col("_text").alias(text))
