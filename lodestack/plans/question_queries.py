@@ -1 +1,126 @@
-"""Driver queries of question understanding, chunks, budgets and training sets."""
+"""Driver queries of question understanding, clarification, plans, routes and prompt budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestack.operators import budget, search, understand
+from lodestack.plans.queries import FOLD, KEYWORDS, conversation_questions, query, table, user_turns
+
+#: What is put before the user turns, by (3 * conv_id + turn) % 12; the last but one stands alone.
+SAID = (
+    "", "今天谁值班 ", "请问报错怎么处理 ", "张三老师的电话 ", "白班和夜班的区别 ", "为什么版本1.2部署到生产 ", "那夜班呢 ", "3号线设备部门 检修流程 ", "ERR-1001 超时 ", "制度流程在哪 ", "这个", "“备件清单”以及维修 AB-12 ",
+)
+#: A vocabulary beside the default one: words of the invented languages, so that its rules are met.
+VOCAB = """{"policy_keywords": ["制度", "quean"], "meeting_keywords": [" ouch "], "department_aliases": {"d-one": ["ndr", "eaux"], "d-two": ["est", ""]}, "site_aliases": {"north": ["ung"]}, "system_aliases": {},
+ "business_domain_keywords": {"harbour": ["thth", "ique"]}, "blank": ["", "x"], "system_keywords": ["接口", "平台"]}"""
+
+
+def said_turns(spark, sf_dir):
+    """User turns with a phrase before them."""
+    k = (3 * F.col("conv_id") + F.col("turn")) % 12
+    phrase = F.element_at(F.array(*map(F.lit, SAID)), (k + 1).cast("int"))
+    return user_turns(spark, sf_dir).withColumn("question", F.when(k == 10, phrase).otherwise(F.concat(phrase, F.coalesce("question", F.lit("")))))
+
+
+_PHRASES = "[" + ", ".join(f"'{x}'" for x in SAID) + "]"
+_DEP = "(?:车间|部门|班组|小组|中心|事业部|工段|科室|仓库|产线|号线|线)"
+_DEPARTMENT = f"[一-鿿A-Za-z0-9_-]{{2,30}}{_DEP}"
+_TIME = r"(今天|明天|后天|昨天|本周|下周|本月|上月|本季度|今年|去年|\d{1,2}月\d{1,2}[日号]?|\d{1,2}[日号])"
+_ENV = "(?i)(生产|测试|预发|本地|线上|线下|docker|k8s|kubernetes|macos|linux|windows)"
+_DOC = r"[A-Za-z]{1,10}[-_/][A-Za-z0-9一-鿿\-_/]{2,32}"
+_EQUIPMENT = "(?:锅炉|汽轮机|发电机|输煤皮带|磨煤机|风机|泵|压缩机|变压器|阀门|机组)"
+_VERSION = r"(?i)(\b\d+\.\d+(\.\d+)?\b|版本|version)"
+_ERROR = r"(?i)\b(ERR|ERROR|E)[-_]?\d+\b"
+_PRECISE = r"""\b[A-Z][A-Z0-9._/-]{2,}\b|\b\d{3,}\b|`[^`]{2,40}`|“[^”]{2,40}”|"[^"]{2,40}\""""
+
+
+def _has(pattern: str, text: str = "q") -> str:
+    return f"regexp_matches({text}, '{pattern}')"
+
+
+def _any(words: tuple[str, ...], case: str = "(?i)") -> str:
+    return _has(f"{case}({'|'.join(words)})")
+
+
+def _alias(names: dict[str, list[str]]) -> str:
+    """The name with most aliases found, then the earliest, then the longest, then the last by name."""
+    one = lambda name, words: f"{{'n': {' + '.join(f'contains(q, {chr(39)}{w}{chr(39)})::INT' for w in words)}, 'at': -least({', '.join(f'CASE WHEN contains(q, {chr(39)}{w}{chr(39)}) THEN strpos(q, {chr(39)}{w}{chr(39)}) ELSE 1000000 END' for w in words)}, 1000000), 'size': greatest({', '.join(f'CASE WHEN contains(q, {chr(39)}{w}{chr(39)}) THEN {len(w)} ELSE 0 END' for w in words)}, 0), 'name': '{name}'}}"
+    return f"list_max(list_filter([{', '.join(one(k, v) for k, v in names.items())}], lambda x: x.n > 0)).name"
+
+
+SIGNALS = f"""
+u AS (SELECT conv_id, turn, conv_id || '-' || turn AS query_id, (3 * conv_id + turn) % 12 AS k, coalesce(text, '') AS t FROM conversations WHERE role = 'user'),
+w AS (SELECT conv_id, turn, query_id, CASE WHEN k = 10 THEN '这个' ELSE ({_PHRASES})[k + 1] || t END AS raw FROM u),
+q0 AS (SELECT *, {FOLD.format('raw')} AS q FROM w),
+a AS (SELECT *, {_has(_ERROR)} AS err, {_has(_TIME)} AS tim, {_has('(?i)' + _DEPARTMENT)} AS dep0, {_alias({'d-one': ['ndr', 'eaux'], 'd-two': ['est']})} AS dep, {_alias({'north': ['ung']})} AS site,
+  {_alias({'dispatch': ['调度', '值班', '排班', '交接班'], 'equipment_maintenance': ['巡检', '检修', '保养', '点检', '维修', '设备'], 'harbour': ['thth', 'ique'], 'it_ops': ['接口', '错误码', '数据库', '平台', '系统', '发布'], 'project_management': ['项目', '方案变更', '里程碑', '立项', '会议纪要']})} AS dom,
+  {_has('([一-鿿]{2,4})(老师|同事|主管|经理|负责人)')} AS per, {_has(_ENV)} AS env, {_has(_VERSION)} AS ver, {_any(('白班', '夜班', '早班', '中班', '晚班'))} AS shf, {_has(_DOC)} AS num, {_has('((?:[一-鿿A-Za-z0-9_-]{0,30})?' + _EQUIPMENT + ')')} AS equ, {_any(('和', '与', 'vs', '对比', '比较', '区别', '差异'))} AS cmp FROM q0),
+b AS (SELECT *, dep0 OR dep IS NOT NULL AS has_dep, err OR ver OR num OR {_has(_PRECISE)} OR dep0 AS pre, {_any(('谁', '哪位', '哪里', '在哪', '几点', '多少', '名单', '电话', '联系人', '值班', '排班', '班次', '部门', '负责人', '归属'))} OR (tim AND (dep0 OR dep IS NOT NULL OR per OR shf)) AS lookup,
+  cmp OR {_has('(以及|并且|同时|分别|先.*再|不仅.*还|原因.*处理)')} AS hop FROM a),
+c AS (SELECT *, {_has('^(?:那|那么|如果是|那如果|这个|那个|它|这条|这项|这类|这种|再|然后)')} OR (tim AND NOT has_dep AND {_has('(谁|值班|排班|安排|负责人|电话|在哪|哪里)')}) AS history,
+  CASE WHEN {_any(('制度', 'quean'))} THEN 'policy_lookup' WHEN {_any(('SOP', '流程', '步骤', '作业指导书', '操作手册', '巡检', '检修', '应急预案'))} THEN 'procedure_lookup' WHEN {_any(('ouch',))} THEN 'meeting_trace' WHEN {_any(('项目', '方案变更', '里程碑', '立项', '需求'))} THEN 'project_trace'
+    WHEN err THEN 'error_code_lookup' WHEN lookup THEN 'structured_fact_lookup' WHEN hop THEN 'comparison_analysis' ELSE 'general_lookup' END AS scene,
+  hop OR {_any(('原因', '排查', '处理', '解决', '方案', '架构', '设计', '步骤', '流程', '以及', '并且', '影响', '区别', '对比'))} AS subs, {_any(('为什么', '原因', '原理', '方案', '架构', '设计', '最佳实践', '适用场景', '思路'))} AND NOT lookup AND NOT pre AS hyde, pre OR lookup OR {_has('[A-Za-z0-9._/-]{3,}')} AS boost FROM b),
+s AS (SELECT *, CASE WHEN scene IN ('policy_lookup', 'error_code_lookup', 'structured_fact_lookup') THEN 'sparse' WHEN scene = 'meeting_trace' THEN 'dense' ELSE 'hybrid' END AS retriever,
+  CASE WHEN scene IN ('policy_lookup', 'error_code_lookup', 'structured_fact_lookup') THEN 'precise' WHEN scene IN ('meeting_trace', 'project_trace', 'comparison_analysis') THEN 'broad' ELSE 'balanced' END AS profile,
+  CASE scene WHEN 'policy_lookup' THEN 'policy' WHEN 'procedure_lookup' THEN 'procedure' WHEN 'meeting_trace' THEN 'meeting' END AS cat,
+  CASE WHEN {_any(('接口', '平台'))} THEN coalesce(dom1, 'it_ops') ELSE dom1 END AS domain FROM (SELECT *, CASE WHEN dom IS NOT NULL AND (d0 IS NULL OR d0 = 'equipment_maintenance') THEN dom ELSE d0 END AS dom1
+    FROM (SELECT *, CASE WHEN equ THEN CASE WHEN scene = 'project_trace' THEN 'project_management' ELSE coalesce(dom, 'equipment_maintenance') END WHEN scene = 'project_trace' THEN 'project_management' END AS d0 FROM c)))
+"""
+
+
+def signals(spark, sf_dir):
+    return understand.strategy_signals(said_turns(spark, sf_dir), understand.load_vocab(VOCAB))
+
+
+@query("vocabulary_signals", f"""
+WITH {SIGNALS} SELECT query_id, err AS has_error_code, tim AS has_time_constraint, has_dep AS has_department_constraint, per AS has_person_constraint, env AS has_environment_constraint, ver AS has_version_constraint, shf AS has_shift_constraint, num AS has_doc_number,
+  equ AS has_equipment_constraint, cmp AS is_comparison, pre AS has_precise_identifier, lookup AS likely_structured_lookup, hop AS is_multi_hop, history AS need_history_resolution, subs AS need_sub_queries, hyde AS need_hyde, boost AS need_keyword_boost, scene AS query_scene, retriever AS preferred_retriever, profile AS top_k_profile,
+  concat_ws(';', 'business_domain=' || domain, 'department=' || dep, 'doc_category=' || cat, 'plant=' || site) AS intent FROM s""")
+def vocabulary_signals(spark, sf_dir):
+    """All signals under a vocabulary of its own, with what the intent map names."""
+    s = signals(spark, sf_dir)
+    named = [F.concat(F.lit(f"{k}="), F.try_element_at("metadata_intent", F.lit(k))) for k in ("business_domain", "department", "doc_category", "plant")]
+    flags = ("has_error_code", "has_time_constraint", "has_department_constraint", "has_person_constraint", "has_environment_constraint", "has_version_constraint", "has_shift_constraint", "has_doc_number", "has_equipment_constraint")
+    needs = ("is_comparison", "has_precise_identifier", "likely_structured_lookup", "is_multi_hop", "need_history_resolution", "need_sub_queries", "need_hyde", "need_keyword_boost", "query_scene", "preferred_retriever", "top_k_profile")
+    return s.select("query_id", *flags, *needs, F.concat_ws(";", *named).alias("intent"))
+
+
+CONFIDENCE = """
+n AS (SELECT *, (domain IS NOT NULL)::INT + 2 * (dep IS NOT NULL)::INT + (cat IS NOT NULL)::INT + 2 * (site IS NOT NULL)::INT + num::INT + equ::INT + (equ AND scene = 'procedure_lookup')::INT AS keys,
+  scene IN ('policy_lookup', 'procedure_lookup', 'meeting_trace', 'error_code_lookup', 'structured_fact_lookup') AS strong FROM s),
+conf AS (SELECT *, round(greatest(0.18::DOUBLE, least(0.96::DOUBLE, 0.28::DOUBLE + CASE WHEN num THEN 0.26::DOUBLE ELSE 0 END + CASE WHEN err THEN 0.24::DOUBLE ELSE 0 END + CASE WHEN lookup THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN pre THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN equ THEN 0.08::DOUBLE ELSE 0 END
+  + CASE WHEN strong THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN cat IS NOT NULL THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN cmp THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN tim AND has_dep THEN 0.08::DOUBLE ELSE 0 END
+  - CASE WHEN length(q) >= 32 THEN 0.06::DOUBLE ELSE 0 END - CASE WHEN hop THEN 0.08::DOUBLE ELSE 0 END - CASE WHEN keys >= 3 THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN scene IN ('general_lookup', 'project_trace') AND NOT pre AND NOT lookup THEN 0.08::DOUBLE ELSE 0 END)), 4) AS conf FROM n),
+g AS (SELECT *, conf < 0.58 AS low, CASE WHEN conf < 0.58 AND NOT pre AND NOT lookup THEN 'general_lookup' ELSE scene END AS gscene FROM conf)
+"""
+
+
+@query("guarded_signals", f"""
+WITH {SIGNALS}, {CONFIDENCE} SELECT query_id, conf AS analysis_confidence, CASE WHEN num OR err OR lookup OR pre OR equ OR strong OR cat IS NOT NULL OR cmp OR (tim AND has_dep)
+    THEN concat_ws(',', CASE WHEN num THEN 'doc_number' END, CASE WHEN err THEN 'error_code' END, CASE WHEN lookup THEN 'fact_lookup' END, CASE WHEN pre THEN 'identifier' END, CASE WHEN equ THEN 'equipment' END, CASE WHEN strong THEN 'strong_scene' END, CASE WHEN cat IS NOT NULL THEN 'doc_category' END, CASE WHEN cmp THEN 'comparison' END, CASE WHEN tim AND has_dep THEN 'time_and_department' END)
+    ELSE 'none' END AS analysis_reason, CASE WHEN low THEN 'hybrid' ELSE retriever END AS preferred_retriever, CASE WHEN low THEN 'balanced' ELSE profile END AS top_k_profile, hyde AND NOT low AS need_hyde, gscene AS query_scene, CASE WHEN low THEN 'heuristic_guardrail' ELSE 'heuristic' END AS analysis_source FROM g""")
+def guarded_signals(spark, sf_dir):
+    s = understand.apply_guardrail(understand.confidence(signals(spark, sf_dir)))
+    return s.select("query_id", "analysis_confidence", "analysis_reason", "preferred_retriever", "top_k_profile", "need_hyde", "query_scene", "analysis_source")
+
+
+_ERROR_WORD, _SYMPTOM = "(报错|错误|异常|失败|问题|不生效|无法|不工作|故障)", "(卡住|超时|失败|报错|无法|异常|中断|不生效|没结果|没返回)"
+_DETAIL = r"(?i)(\b(ERR|ERROR|E)[-_]?\d+\b|traceback|exception|stack trace|[A-Za-z]+Error|[A-Za-z]+Exception)"
+_COMPARE, _DEICTIC = r"(和|与|vs\.?|VS\.?|对比|比较|区别|差异)", "^(这个|那个|它|这条|这项|这类|这种|那|那么|那如果|如果是)"
+_ROSTER, _CONTACT, _DEPLOY = "(谁值班|谁上班|排班|班次|值班表|安排表)", "(负责人|联系人|电话|归属谁|谁负责)", "(部署|安装|升级|兼容|接入)"
+
+
+@query("clarifications", f"""
+WITH {SIGNALS}, h AS (SELECT s.*, EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = s.conv_id AND c.turn < s.turn) AS hist FROM s),
+m AS (SELECT query_id, list_filter([CASE WHEN length(q) <= 4 THEN 'target_object' END, CASE WHEN {_has(_DEICTIC)} AND history AND NOT hist THEN 'runtime_context' END, CASE WHEN {_has(_DEICTIC)} AND length(q) <= 12 AND NOT hist THEN 'target_object' END,
+  CASE WHEN {_has(_COMPARE)} AND len(list_filter(regexp_split_to_array(q, '{_COMPARE}'), lambda x: trim(x) <> '')) < 2 THEN 'comparison_targets' END, CASE WHEN {_has(_ERROR_WORD)} AND NOT {_has(_DETAIL)} THEN 'symptom_description' END, CASE WHEN {_has(_ERROR_WORD)} AND NOT env THEN 'runtime_context' END,
+  CASE WHEN {_has(_ROSTER)} AND NOT tim THEN 'time_range' END, CASE WHEN {_has(_ROSTER)} AND NOT {_has(_DEPARTMENT)} AND NOT hist THEN 'department' END, CASE WHEN {_has(_ROSTER)} AND contains(q, '值班') AND NOT shf AND NOT hist THEN 'shift' END,
+  CASE WHEN {_has(_CONTACT)} AND NOT {_has(_DEPARTMENT)} AND NOT per THEN 'target_object' END, CASE WHEN {_has(_DEPLOY)} AND NOT ver THEN 'version' END, CASE WHEN {_has(_DEPLOY)} AND NOT env THEN 'environment' END,
+  CASE WHEN {_has('(怎么处理|怎么办|如何处理|如何解决)')} AND NOT {_has(_SYMPTOM)} THEN 'symptom_description' END], lambda x: x IS NOT NULL) AS l FROM h),
+d AS (SELECT query_id, (SELECT list(x ORDER BY n) FROM (SELECT x, min(n) AS n FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS n) GROUP BY x)) AS l FROM m)
+SELECT query_id, coalesce(array_to_string(l, ','), '') AS missing_slots, coalesce(len(l), 0) > 0 AS need_clarify, CASE WHEN len(l) > 0 THEN '还需要知道：' || array_to_string(list_transform(l, lambda x: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in understand.SLOT_LABELS.items())}}}[x]), '、') || '？' ELSE '' END AS clarify_question FROM d""")
+def clarifications(spark, sf_dir):
+    s = understand.clarify(signals(spark, sf_dir).withColumn("has_history", F.size("history") > 0))
+    return s.select("query_id", F.array_join("missing_slots", ",").alias("missing_slots"), "need_clarify", "clarify_question")
