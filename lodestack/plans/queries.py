@@ -240,7 +240,7 @@ def sectioned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.alias("doc_id"), "source", F.lit("t").alias("title"), content.alias("content"), F.lit("text").alias("doc_type"), F.lit("text/plain").alias("mime_type"), "lang")
 
 
-@query("build_chunks", f"""
+@query("build_chunks", rf"""
 WITH {CHUNKS} SELECT doc_id, chunk_id, parent_chunk_id, chunk_level, chunk_idx::INTEGER AS chunk_idx, nullif(title, '') AS section, path AS section_path, level AS section_level, body AS content, NULL::INTEGER AS page, source, lang, topic_keywords,
   CASE WHEN regexp_matches(left(title || chr(10) || left(body, 200), 300), '操作') THEN 'procedure' ELSE 'general' END AS section_type, CASE WHEN length({FOLD.format('body')}) > 96 THEN rtrim(({FOLD.format('body')})[1:95]) || '…' ELSE {FOLD.format('body')} END AS chunk_summary,
   contains(body, '|') OR contains(body, chr(9)) AS contains_table, regexp_matches(body, '(^|\n)\s*(\d+\.|[-*])\s+') AS contains_steps, regexp_matches(left(body, 500), '联系人') AS contains_contact, true AS contains_version_signal, false AS contains_risk_signal
@@ -581,16 +581,6 @@ def strategy_signals(spark, sf_dir):
     return s.select("query_id", "has_error_code", "has_version_constraint", "has_doc_number", "is_comparison", "has_precise_identifier", "need_clarify", "query_scene")
 
 
-@query("query_plans")
-def query_plans(spark, sf_dir):
-    """Signals, confidence, guardrail, clarification, follow-ups, plan, routes and budgets of all user turns."""
-    s = understand.apply_guardrail(understand.confidence(understand.strategy_signals(user_turns(spark, sf_dir))))
-    s = understand.clarify(s.withColumn("has_history", F.size("history") > 0))
-    plans = understand.query_plan(understand.resolve_followup(s))
-    routes = search.route_top_k(search.prune_routes(search.build_routes(plans.select("query_id", "question", "resolved_query", "rewritten_query", "keyword_queries", "sub_queries", "hyde_query", "top_k_profile", "preferred_retriever"))))
-    return routes
-
-
 @query("alias_matches", """
 WITH u AS (SELECT conv_id || '-' || turn AS query_id, text AS q FROM conversations WHERE role = 'user'),
 h AS (SELECT query_id, n_nationkey AS k, strpos(q, a) AS pos, length(a) AS n FROM u, (SELECT n_nationkey, unnest([lower(left(n_name, 2)), lower(left(n_name, 3))]) AS a FROM nation) WHERE contains(q, a)),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestack.operators import budget, search, understand
-from lodestack.plans.queries import FOLD, KEYWORDS, conversation_questions, query, table, user_turns
+from lodestack.operators import budget, filters, fuse, govern, search, understand
+from lodestack.plans.queries import BM25, FOLD, KEYWORDS, bench_questions, conversation_questions, doc_chunks, doc_index, query, table
 
 #: What is put before the user turns, by (3 * conv_id + turn) % 12; the last but one stands alone.
 SAID = (
@@ -17,10 +18,16 @@ VOCAB = """{"policy_keywords": ["制度", "quean"], "meeting_keywords": [" ouch
 
 
 def said_turns(spark, sf_dir):
-    """User turns with a phrase before them."""
+    """User turns with a phrase before them, and with the six messages before each, phrases included, as history."""
+    c = table(spark, sf_dir, "conversations")
     k = (3 * F.col("conv_id") + F.col("turn")) % 12
     phrase = F.element_at(F.array(*map(F.lit, SAID)), (k + 1).cast("int"))
-    return user_turns(spark, sf_dir).withColumn("question", F.when(k == 10, phrase).otherwise(F.concat(phrase, F.coalesce("question", F.lit("")))))
+    said = F.when(k == 10, phrase).otherwise(F.concat(phrase, F.coalesce("text", F.lit(""))))
+    c = c.withColumn("text", F.when(F.col("role") == "user", said).otherwise(F.col("text")))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
+    h = c.withColumn("history", F.collect_list(F.struct("role", F.col("text").alias("content"))).over(before))
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return h.filter("role = 'user'").select(key.alias("query_id"), "conv_id", "turn", F.col("text").alias("question"), "history")
 
 
 _PHRASES = "[" + ", ".join(f"'{x}'" for x in SAID) + "]"
@@ -124,3 +131,120 @@ SELECT query_id, coalesce(array_to_string(l, ','), '') AS missing_slots, coalesc
 def clarifications(spark, sf_dir):
     s = understand.clarify(signals(spark, sf_dir).withColumn("has_history", F.size("history") > 0))
     return s.select("query_id", F.array_join("missing_slots", ",").alias("missing_slots"), "need_clarify", "clarify_question")
+
+
+def _edge(x: str) -> str:
+    return f"trim({FOLD.format(x)}, ' ,.;，。；：' || chr(10) || chr(9))"
+
+
+def _ordered(values: str, limit: int) -> str:
+    """First spellings without case, folded, blanks left out."""
+    kept = f"list_filter(list_transform({values}, lambda x: {_edge('x')}), lambda x: x <> '')"
+    return f"list_filter({kept}, lambda x, i: list_position(list_transform({kept}, lambda y: lower(y)), lower(x)) = i)[1:{limit}]"
+
+
+def _take(pattern: str, text: str = "base", group: int = 1) -> str:
+    return f"nullif(regexp_extract({text}, '{pattern}', {group}), '')"
+
+
+_DEP1, _SHIFT, _LINE = f"([一-鿿A-Za-z0-9_-]{{2,30}}{_DEP})", "(白班|夜班|早班|中班|晚班)", r"(\d+号线|\d+线)"
+_ENV1, _VER1 = _ENV, r"(?i)(\b\d+\.\d+(?:\.\d+)?\b|版本|version)"
+#: A version number between characters that are no letter, digit or underscore of any script: RE2's own edges know ASCII only.
+_NUMBER = r"(?:^|[^\p{L}\p{N}_])(\d+\.\d+(?:\.\d+)?)(?:$|[^\p{L}\p{N}_])"
+_FOLLOWUP = "^(那|那么|如果是|那如果|这个|那个|它|这条|这项|这类|这种|再|然后)"
+_SPLIT = r"^(.+?)(和|与|vs\.?|VS\.?|对比|比较)(.+)"
+def _or_blank(pattern: str, text: str) -> str:
+    return f"coalesce({_take(pattern, text)}, '')"
+
+
+_SLOTS = _ordered("[" + ", ".join(_or_blank(p, "e") for p in (_DEP1, _SHIFT, _TIME, _ENV1, _VER1)) + "]", 9)
+
+FOLLOWED = f"""
+msg AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_edge("coalesce(CASE WHEN role <> 'user' THEN text WHEN (3 * conv_id + turn) % 12 = 10 THEN '这个' ELSE (" + _PHRASES + ")[(3 * conv_id + turn) % 12 + 1] || coalesce(text, '') END, '')")} AS e FROM conversations),
+slot AS (SELECT *, {_SLOTS} AS slots FROM msg),
+near AS (SELECT m.conv_id, m.turn, p.e, p.slots, p.n, row_number() OVER (PARTITION BY m.conv_id, m.turn ORDER BY p.n DESC) AS back FROM msg m JOIN slot p ON p.conv_id = m.conv_id AND p.n < m.n AND p.n >= m.n - 6 AND p.e <> '' QUALIFY back <= 4),
+hist AS (SELECT conv_id, turn, count(*) AS texts, arg_max(e, n) AS last, arg_max(slots, n) FILTER (len(slots) > 0) AS slots FROM near GROUP BY conv_id, turn),
+f AS (SELECT g.*, {_edge('raw')} AS eq, texts, last, hist.slots FROM g LEFT JOIN hist USING (conv_id, turn)),
+res AS (SELECT *, CASE WHEN eq <> '' AND texts > 0 AND ({_has(_FOLLOWUP, 'eq')} OR ({_has(_TIME, 'eq')} AND NOT {_has(_DEP1, 'eq')})) THEN CASE WHEN slots IS NOT NULL THEN CASE WHEN carried <> eq THEN carried ELSE '' END ELSE {_edge("last || ' ' || eq")} END ELSE '' END AS resolved
+  FROM (SELECT *, {_edge("array_to_string(list_filter(slots, lambda s: NOT contains(eq, s)), ' ') || ' ' || eq")} AS carried FROM f)),
+p0 AS (SELECT *, coalesce(nullif({_edge('resolved')}, ''), eq) AS base FROM res),
+p1 AS (SELECT *, {_take(_TIME)} AS f_time, nullif(trim(regexp_replace(coalesce({_take(_DEP1)}, ''), '^(今天|明天|后天|昨天|本周|下周|本月|上月|本季度|今年|去年)', '')), '') AS f_dep, {_take(_SHIFT)} AS f_shift, {_take(_ENV1)} AS f_env, {_take(_NUMBER)} AS f_ver, {_take(_LINE)} AS f_line,
+  {_take('(联系人|负责人|值班人|审批人|经理|主管|老师)' + chr(92) + 's*[:：]?' + chr(92) + 's*([一-鿿]{2,4})', 'base', 2)} AS f_person, {_edge("trim(regexp_replace(base, '^(请问|想问一下|麻烦问下|帮我看下|帮我查下|咨询一下|我想知道)', ''))")} AS plain,
+  {_ordered(r"list_concat(regexp_extract_all(base, '(?i)\b(?:ERR|ERROR|E)[-_]?\d+\b'), regexp_extract_all(base, '[" + '"' + r"“”''`【】\[\]]([^" + '"' + r"“”''`【】\[\]]{2,40})[" + '"' + r"“”''`【】\[\]]', 1), [coalesce(" + _take(_DEP1) + r", ''), coalesce(" + _take(_SHIFT) + r", ''), coalesce(" + _take(_LINE) + r", '')], list_filter(regexp_extract_all(base, '[A-Za-z0-9._/-]{2,}|[一-鿿]{2,}'), lambda t: regexp_matches(t, '[A-Za-z0-9._/-]')))", 6)} AS words FROM p0),
+p2 AS (SELECT *, CASE WHEN plain = '' THEN {_edge('base')} WHEN lookup OR pre THEN plain WHEN {_has('(原因|排查|怎么处理|如何处理|解决|异常)', 'plain')} THEN plain || ' 原因 排查 处理方法' WHEN {_has('(制度|规范|要求|流程|步骤|SOP)', 'plain')} THEN plain || ' 制度 规范 步骤' ELSE plain END AS rewritten,
+  CASE WHEN NOT boost AND len(words) <= 1 THEN [] ELSE {_ordered("list_concat(words, [coalesce(f_dep || ' ' || f_shift, ''), coalesce(f_dep || ' ' || f_time, ''), coalesce(f_line || ' ' || f_time, '')])", 4)} END AS keywords,
+  CASE WHEN NOT subs THEN [] WHEN {_has(_SPLIT, 'base')} THEN {_ordered(f"[x || ' 特点 适用场景' for x in [{_edge(_take(_SPLIT))}, {_edge(_take(_SPLIT, 'base', 3))}]] || [{_edge(_take(_SPLIT))} || ' ' || {_edge(_take(_SPLIT, 'base', 3))} || ' 区别']", 3)}
+    WHEN {_has('(原因|异常|报错|故障|失败)', 'base')} THEN {_ordered("[base || ' 原因', base || ' 排查步骤', base || ' 处理方法']", 3)} WHEN {_has('(方案|架构|设计|建设|选型|最佳实践)', 'base')} THEN {_ordered("[base || ' 方案', base || ' 适用场景', base || ' 风险 注意事项']", 3)}
+    WHEN {_has('(制度|规范|流程|步骤|SOP)', 'base')} THEN {_ordered("[base || ' 适用范围', base || ' 执行步骤', base || ' 注意事项']", 3)} ELSE [] END AS sub, CASE WHEN hyde AND NOT low THEN {_edge("'以下段落说明：' || base")} ELSE '' END AS hyd FROM p1)
+"""
+
+
+def plans(spark, sf_dir):
+    s = understand.apply_guardrail(understand.confidence(signals(spark, sf_dir)))
+    return understand.query_plan(understand.resolve_followup(s))
+
+
+@query("resolved_plans", f"""
+WITH {SIGNALS}, {CONFIDENCE}, {FOLLOWED} SELECT query_id, resolved AS resolved_query, rewritten AS rewritten_query, array_to_string(keywords, '|') AS keyword_queries, array_to_string(sub, '|') AS sub_queries, hyd AS hyde_query,
+  concat_ws(';', 'time=' || f_time, 'department=' || f_dep, 'shift=' || f_shift, 'environment=' || f_env, 'version=' || f_ver, 'line=' || f_line, 'person=' || f_person) AS filters FROM p2""")
+def resolved_plans(spark, sf_dir):
+    """Follow-ups resolved from the history, and the plan of each question."""
+    names = ("time", "department", "shift", "environment", "version", "line", "person")
+    named = [F.concat(F.lit(f"{k}="), F.try_element_at("structured_filters", F.lit(k))) for k in names]
+    return plans(spark, sf_dir).select("query_id", "resolved_query", "rewritten_query", F.array_join("keyword_queries", "|").alias("keyword_queries"), F.array_join("sub_queries", "|").alias("sub_queries"), "hyde_query", F.concat_ws(";", *named).alias("filters"))
+
+
+#: Routes of plans (query_id, raw, resolved, rewritten, sub, keywords, hyd, profile, prefer) with pruned retrievers and limits.
+ROUTES = """
+r0 AS (SELECT query_id, profile, prefer, unnest(list_concat([{'name': 'original_query', 'kind': 'original_query', 'q': trim(raw), 's': true, 'd': true}, {'name': 'resolved_query', 'kind': 'resolved_query', 'q': trim(resolved), 's': true, 'd': true}, {'name': 'rewritten_query', 'kind': 'rewritten_query', 'q': trim(rewritten), 's': true, 'd': true}],
+  list_transform(sub, lambda x, i: {'name': 'sub_query_' || i, 'kind': 'sub_query', 'q': trim(x), 's': true, 'd': true}), list_transform(keywords, lambda x, i: {'name': 'keyword_' || i, 'kind': 'keyword', 'q': trim(x), 's': true, 'd': false}), [{'name': 'hyde', 'kind': 'hyde', 'q': trim(hyd), 's': false, 'd': true}]), recursive := true), generate_subscripts(list_concat([1, 2, 3], list_transform(sub, lambda x: 1), list_transform(keywords, lambda x: 1), [1]), 1) AS n FROM PLANS),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 AS ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(q) ORDER BY n) AS k FROM r0 WHERE q <> '') WHERE k = 1),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY ord) AS nth FROM r1),
+r3 AS (SELECT *, (kind = 'hyde' AND profile <> 'broad') OR (kind = 'sub_query' AND (profile = 'precise' OR nth > CASE WHEN profile = 'broad' THEN 3 ELSE 2 END)) OR (kind = 'keyword' AND (nth > 2 OR prefer = 'dense')) AS dropped,
+  d AND NOT (prefer = 'sparse' AND (kind IN ('sub_query', 'keyword') OR (profile = 'precise' AND kind IN ('rewritten_query', 'resolved_query')))) AS ud, s AND NOT (prefer = 'dense' AND kind = 'sub_query') AS us FROM r2),
+r4 AS (SELECT *, NOT dropped AND (us OR ud) AS keep FROM r3), r5 AS (SELECT *, NOT max(keep) OVER w AND ord = min(ord) OVER w AS first_only FROM r4 WINDOW w AS (PARTITION BY query_id)),
+r6 AS (SELECT query_id, ord, name, kind, q, CASE WHEN first_only THEN s ELSE us END AS us, CASE WHEN first_only THEN d ELSE ud END AS ud, profile, prefer FROM r5 WHERE keep OR first_only),
+r7 AS (SELECT *, CASE WHEN profile = 'precise' THEN 10 WHEN profile = 'broad' THEN 30 ELSE 20 END AS s0, CASE WHEN profile = 'precise' THEN 10 WHEN profile = 'broad' THEN 30 ELSE 20 END AS d0 FROM r6),
+r8 AS (SELECT *, CASE WHEN prefer = 'dense' THEN greatest(2, least(s0, greatest(2, s0 // 2))) ELSE s0 END AS s1, CASE WHEN prefer = 'sparse' THEN greatest(2, least(d0, greatest(2, d0 // 2))) ELSE d0 END AS d1 FROM r7),
+routes AS (SELECT *, CASE WHEN kind = 'keyword' THEN greatest(3, least(s1, greatest(3, s1 // 2))) ELSE s1 END AS sk, CASE WHEN kind = 'hyde' THEN greatest(3, least(d1, greatest(3, d1 // 2))) ELSE d1 END AS dk FROM r8)
+"""
+
+
+@query("query_plans", f"""
+WITH {SIGNALS}, {CONFIDENCE}, {FOLLOWED}, pl AS (SELECT *, CASE WHEN low THEN 'balanced' ELSE profile END AS gprofile, CASE WHEN low THEN 'hybrid' ELSE retriever END AS prefer FROM p2), {ROUTES.replace('PLANS', '(SELECT query_id, raw, resolved, rewritten, sub, keywords, hyd, gprofile AS profile, prefer FROM pl)')}
+SELECT query_id, ord::INTEGER AS route_order, name AS route_name, kind AS route_kind, q AS route_query, us AS use_sparse, ud AS use_dense, profile AS top_k_profile, prefer AS preferred_retriever, sk::INTEGER AS sparse_k, dk::INTEGER AS dense_k FROM routes""")
+def query_plans(spark, sf_dir):
+    """Signals, confidence, guardrail, follow-ups, plan, routes and budgets of all user turns."""
+    return search.route_top_k(search.prune_routes(search.build_routes(plans(spark, sf_dir))))
+
+
+ROUTED = """
+bp AS (SELECT query_id, question AS raw, CASE WHEN query_id % 4 = 0 THEN upper(question) ELSE '' END AS resolved, array_to_string(string_split(question, ' ')[1:6], ' ') AS rewritten, [array_to_string(string_split(question, ' ')[1:4], ' '), array_to_string(string_split(question, ' ')[5:8], ' '), array_to_string(string_split(question, ' ')[9:12], ' ')] AS sub,
+  [string_split(question, ' ')[1], string_split(question, ' ')[2], string_split(question, ' ')[3]] AS keywords, '' AS hyd, ['precise', 'balanced', 'broad'][query_id % 3 + 1] AS profile, ['sparse', 'hybrid', 'dense', 'hybrid'][query_id % 4 + 1] AS prefer FROM q)
+"""
+
+
+@query("routed_hits", rf"""
+WITH {BM25}, {ROUTED}, {ROUTES.replace('PLANS', 'bp')}, lim AS (SELECT * FROM routes WHERE us),
+rt AS (SELECT query_id, ord, token, count(*) AS qtf FROM (SELECT query_id, ord, unnest(list_transform(regexp_extract_all(q, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x))) AS token FROM lim) GROUP BY ALL),
+rs AS (SELECT query_id, ord, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM rt JOIN term USING (token) JOIN post USING (token), tot GROUP BY ALL),
+rr AS (SELECT rs.*, name, row_number() OVER (PARTITION BY query_id, ord ORDER BY score DESC, doc_id) AS rank, sk FROM rs JOIN lim USING (query_id, ord) QUALIFY rank <= sk),
+m AS (SELECT query_id, doc_id, max(score) AS score, array_to_string(list(name ORDER BY ord), ',') AS names, count(*) AS n FROM rr JOIN documents USING (doc_id) WHERE (query_id % 2 = 1 OR lang = 'en') AND doc_id % 4 <= query_id % 4 GROUP BY query_id, doc_id)
+SELECT query_id, doc_id AS chunk_id, score, names AS matched_routes, n AS matched_route_count, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m""")
+def routed_hits(spark, sf_dir):
+    """A route table run with the limits of each route, then the question's filters and access rules, hits merged over routes."""
+    i, w = F.col("query_id"), F.split("question", " ")
+    part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    asked = bench_questions(spark, sf_dir)
+    made = asked.select(
+        "query_id", "question", F.when(i % 4 == 0, F.upper("question")).otherwise("").alias("resolved_query"), part(1, 6).alias("rewritten_query"), F.array(part(1, 4), part(5, 4), part(9, 4)).alias("sub_queries"), F.slice(w, 1, 3).alias("keyword_queries"), F.lit("").alias("hyde_query"),
+        F.element_at(F.array(*map(F.lit, ("precise", "balanced", "broad"))), (i % 3 + 1).cast("int")).alias("top_k_profile"), F.element_at(F.array(*map(F.lit, ("sparse", "hybrid", "dense", "hybrid"))), (i % 4 + 1).cast("int")).alias("preferred_retriever"),
+    )
+    routes = search.route_top_k(search.prune_routes(search.build_routes(made)))
+    hits = search.run_routes(routes, doc_index(spark, sf_dir))
+    open_ = ("allowed_departments", "allowed_roles")  # clearance alone decides here
+    rows = hits.join(doc_chunks(spark, sf_dir).withColumns({c: F.lit(None).cast("array<string>") for c in open_}), "chunk_id")
+    wanted = asked.filter("query_id % 2 = 0").select("query_id", F.lit("lang").alias("field"), F.lit("en").alias("value"))
+    kept = filters.apply_acl(filters.match_filters(rows, wanted, ["lang"]), asked, strict=False)
+    ranked = search.top_k(fuse.merge_routes(kept), 1 << 30)
+    return ranked.select("query_id", "chunk_id", "score", F.array_join("matched_routes", ",").alias("matched_routes"), "matched_route_count", "rank")
