@@ -608,27 +608,6 @@ def turn_scores(spark, sf_dir):
     return budget.score_turns(turns, conversation_questions(spark, sf_dir)).select("conv_id", "turn", "age", F.round("score", 3).alias("score"))
 
 
-@query("select_turns")
-def select_turns(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
-    picked = budget.select_turns(budget.score_turns(turns, conversation_questions(spark, sf_dir)))
-    return picked.select("conv_id", "turn", "score", "cost", "selected")
-
-
-@query("budget_prompts")
-def budget_prompts(spark, sf_dir):
-    """Turns, summary and evidence of all conversations; the evidence is found by BM25 over documents."""
-    asked = conversation_questions(spark, sf_dir).withColumn("query_id", F.col("conv_id"))
-    turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
-    picked = budget.select_turns(budget.score_turns(turns, asked))
-    chunks = doc_chunks(spark, sf_dir)
-    hits = search.bm25_search(asked, doc_index(spark, sf_dir), 6)
-    ev = hits.join(chunks, "chunk_id").select("query_id", "chunk_id", "title", "source", "section", "content", (F.col("score") / (F.col("score") + 1.5)).alias("retrieval_score"), govern.authority_rank(F.col("authority_level")).alias("authority_level"), F.lit(1).alias("freshness_level"))
-    best = budget.select_evidence(budget.score_evidence(ev, asked))
-    q = asked.withColumns({"resolved_query": F.lit(""), "governance_notice": F.lit("")})
-    return budget.budget_prompt(q, picked, best, budget.rolling_summary(picked.filter("not selected")))
-
-
 EVENTS = """
 e AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t FROM events),
 b AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)::DOUBLE AS past_24h_query_count,

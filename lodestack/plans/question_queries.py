@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.operators import budget, filters, fuse, govern, search, understand
-from lodestack.plans.queries import BM25, FOLD, KEYWORDS, bench_questions, conversation_questions, doc_chunks, doc_index, query, table
+from lodestack.plans.queries import BM25, FOLD, KEYWORDS, bench_questions, doc_chunks, doc_index, query, table
 
 #: What is put before the user turns, by (3 * conv_id + turn) % 12; the last but one stands alone.
 SAID = (
@@ -248,3 +248,103 @@ def routed_hits(spark, sf_dir):
     kept = filters.apply_acl(filters.match_filters(rows, wanted, ["lang"]), asked, strict=False)
     ranked = search.top_k(fuse.merge_routes(kept), 1 << 30)
     return ranked.select("query_id", "chunk_id", "score", F.array_join("matched_routes", ",").alias("matched_routes"), "matched_route_count", "rank")
+
+
+def _tokens(x: str) -> str:
+    return f"(len(regexp_extract_all({x}, '[一-鿿]|[A-Za-z0-9_./:-]+')) + greatest(1, length({x}) // 80))"
+
+
+def _overlap(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+def _greedy(items: str, most: int, tokens: int) -> str:
+    """Keys of an ordered list of {keys: [key], used: cost}: number and tokens are limited, the first always fits."""
+    ok = f"len(a.keys) < {most} AND (len(a.keys) = 0 OR a.used + x.used <= {tokens})"
+    return f"list_reduce(list_concat([{{'keys': []::BIGINT[], 'used': 0::BIGINT}}], {items}), lambda a, x: {{'keys': CASE WHEN {ok} THEN list_concat(a.keys, x.keys) ELSE a.keys END, 'used': CASE WHEN {ok} THEN a.used + x.used ELSE a.used END}}).keys"
+
+
+#: Words put before turns, by turn % 4, so that the memory's rules are met.
+MARKS = ("", "必须 一定要 ", "根据 流程 ", "还没 待确认 ")
+
+TURNS = f"""
+t0 AS (SELECT conv_id, turn, role, (['', '必须 一定要 ', '根据 流程 ', '还没 待确认 '])[turn % 4 + 1] || coalesce(text, '') AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS age FROM conversations),
+t1 AS (SELECT t0.*, q.question, {KEYWORDS.format('q.question')} AS qk, list_distinct(regexp_extract_all({FOLD.format('content')}, '[一-鿿]|[A-Za-z0-9_./:-]+')) AS ck, {FOLD.format('content')} AS f FROM t0 JOIN q ON q.query_id = conv_id),
+t2 AS (SELECT *, list_filter(ck, lambda w: NOT list_contains(['的', '了', '呢', '吗', '是', '在', '和', '与', '及'], w)) AS tk FROM t1),
+t3 AS (SELECT *, round(0.38 * {_overlap('qk', 'tk')} + 0.22 / (1.0::DOUBLE + age) + (CASE WHEN role = 'user' THEN 0.08 ELSE 0.03 END + CASE WHEN regexp_matches(content, '必须|优先|不要|一定要') THEN 0.12 ELSE 0.0 END + CASE WHEN regexp_matches(content, '待确认|不确定|还没|还需要') THEN 0.10 ELSE 0.0 END), 4) AS score, {_tokens("'[' || upper(role) || '] ' || f")} AS cost FROM t2),
+t4 AS (SELECT conv_id, {_greedy("list({'keys': [turn], 'used': cost} ORDER BY score DESC, turn DESC)", 4, 420)} AS keys FROM t3 GROUP BY conv_id),
+turns AS (SELECT t3.*, list_contains(keys, turn) AS selected FROM t3 JOIN t4 USING (conv_id))
+"""
+
+
+def marked_turns(spark, sf_dir):
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("turn") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(mark, F.coalesce("text", F.lit(""))).alias("content"))
+
+
+def asked_conversations(spark, sf_dir):
+    """Benchmark questions, each over the conversation of its number."""
+    return bench_questions(spark, sf_dir).select("query_id", F.col("query_id").alias("conv_id"), "question")
+
+
+@query("select_turns", f"WITH {BM25}, {TURNS} SELECT conv_id, turn, round(score, 3) AS score, cost::INTEGER AS cost, selected FROM turns")
+def select_turns(spark, sf_dir):
+    picked = budget.select_turns(budget.score_turns(marked_turns(spark, sf_dir), asked_conversations(spark, sf_dir)))
+    return picked.select("conv_id", "turn", F.round("score", 3).alias("score"), "cost", "selected")
+
+
+_MARK = "。！？!?；;"
+EVIDENCE = f"""
+e0 AS (SELECT h.query_id, h.chunk_id, h.score / (h.score + 1.5) AS r, d.source, coalesce(d.text, '') AS content, 'topic ' || (h.chunk_id % 5) AS title, 'part ' || (h.chunk_id % 2) AS section, h.chunk_id % 3 + 1 AS authority, q.question, {KEYWORDS.format('q.question')} AS qk FROM hits h JOIN documents d ON d.doc_id = h.chunk_id JOIN q USING (query_id)),
+e1 AS (SELECT *, round(0.50 * r + 0.28 * {_overlap('qk', 'ck')} + 0.06 * authority + 0.04, 4) AS escore, list_filter(list_transform(regexp_extract_all({FOLD.format('content')}, '[^{_MARK}]*[{_MARK}]|[^{_MARK}]+$'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM (SELECT *, {KEYWORDS.format("content || ' ' || title || ' ' || section")} AS ck FROM e0)),
+e2 AS (SELECT *, list_sort(list_transform(ss, lambda x, i: {{'neg': -round(0.42 * {_overlap('qk', KEYWORDS.format('x'))} + CASE WHEN i = 1 THEN 0.08 ELSE 0.0 END + CASE WHEN regexp_matches(x, '\\d') THEN 0.08 ELSE 0.0 END + CASE WHEN {_overlap('qk', KEYWORDS.format('x'))} > 0 THEN 0.10 ELSE 0.0 END, 4), 'key': i, 'cost': {_tokens('x')}}})) AS ordered FROM e1),
+e3 AS (SELECT *, CASE WHEN len(ss) = 0 THEN left(content, 160) ELSE array_to_string(list_transform({_greedy("list_transform(ordered, lambda o: {'keys': [o.key::BIGINT], 'used': o.cost::BIGINT})", 3, 245)}, lambda k: ss[k]), ' ') END AS compressed, row_number() OVER (PARTITION BY query_id ORDER BY escore DESC, chunk_id) AS n FROM e2),
+e4 AS (SELECT *, '[CHUNK_ID:' || chunk_id || '] title=' || title || ' source=' || source || ' section=' || section || chr(10) || compressed AS block FROM e3),
+e5 AS (SELECT *, {_tokens('block')} AS cost FROM e4), e6 AS (SELECT query_id, {_greedy("list({'keys': [n], 'used': cost} ORDER BY n)", 4, 980)} AS keys FROM e5 GROUP BY query_id),
+evidence AS (SELECT e5.* FROM e5 JOIN e6 USING (query_id) WHERE list_contains(keys, n))
+"""
+
+
+def chosen_evidence(spark, sf_dir):
+    asked = asked_conversations(spark, sf_dir)
+    hits = search.bm25_search(asked, doc_index(spark, sf_dir), 10).join(doc_chunks(spark, sf_dir), "chunk_id")
+    found = hits.select("query_id", "chunk_id", "title", "source", "section", "content", (F.col("score") / (F.col("score") + 1.5)).alias("retrieval_score"), govern.authority_rank(F.col("authority_level")).alias("authority_level"), F.lit(1).alias("freshness_level"))
+    return budget.select_evidence(budget.score_evidence(found, asked))
+
+
+@query("budget_evidence", f"WITH {BM25}, {EVIDENCE} SELECT query_id, chunk_id, round(escore, 3) AS evidence_score, n::INTEGER AS evidence_rank, compressed, cost::INTEGER AS cost FROM evidence")
+def budget_evidence(spark, sf_dir):
+    """Hits as evidence: scored, compressed to their best sentences, chosen under the budget."""
+    return chosen_evidence(spark, sf_dir).select("query_id", "chunk_id", F.round("evidence_score", 3).alias("evidence_score"), "evidence_rank", "compressed", "cost")
+
+
+_LIST = "list(left(f, 80) ORDER BY turn) FILTER ({})"
+MEMORY = f"""
+m0 AS (SELECT conv_id, coalesce(({_LIST.format("f <> '' AND role = 'user'")})[1], '围绕企业知识问答的持续追问') AS topic, coalesce({_LIST.format("role = 'user' AND regexp_matches(f, '必须|优先|不要|只看|一定要|需要')")}, []) AS cs, coalesce({_LIST.format("regexp_matches(f, '结论|根据|来自|入口|流程|规范|安生平台|二矿|安环部')")}, []) AS fs,
+  coalesce({_LIST.format("regexp_matches(f, '还没|还需要|待确认|没找到|不确定')")}, []) AS us FROM turns WHERE NOT selected GROUP BY conv_id),
+m1 AS (SELECT conv_id, 'ACTIVE_SESSION_MEMORY:' || chr(10) || to_json({{'topic': topic, 'user_constraints': cs[1:2], 'confirmed_facts': fs[1:2], 'unresolved_tasks': us[1:2]}})::VARCHAR AS full_, 'ACTIVE_SESSION_MEMORY: ' || to_json({{'topic': topic, 'user_constraints': cs[1:1], 'confirmed_facts': fs[1:1], 'unresolved_tasks': us[1:1]}})::VARCHAR AS compact FROM m0),
+memory AS (SELECT conv_id, CASE WHEN {_tokens('full_')} <= 260 THEN full_ WHEN {_tokens('compact')} <= 260 THEN compact ELSE left(compact, 910) END AS summary FROM m1)
+"""
+
+
+@query("rolling_summaries", f"WITH {BM25}, {TURNS}, {MEMORY} SELECT conv_id, summary FROM memory")
+def rolling_summaries(spark, sf_dir):
+    picked = budget.select_turns(budget.score_turns(marked_turns(spark, sf_dir), asked_conversations(spark, sf_dir)))
+    return budget.rolling_summary(picked.filter("not selected"))
+
+
+@query("budget_prompts", f"""
+WITH {BM25}, {TURNS}, {EVIDENCE}, {MEMORY}, said AS (SELECT conv_id, string_agg('[' || upper(role) || '] ' || f, chr(10) ORDER BY turn) FILTER (selected) AS ls, count(*) FILTER (NOT selected) AS dropped FROM turns GROUP BY conv_id),
+shown AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY n) AS ev FROM evidence GROUP BY query_id),
+b AS (SELECT q.query_id, dropped, ev, 'SYSTEM_RULES:' || chr(10) || '- 只能基于证据回答。' || chr(10) || '- 证据不足时必须拒答。' || chr(10) || '- 每个事实结论都要可追溯。' || chr(10) AS rules, 'CURRENT_TASK:' || chr(10) || '- question: ' || {FOLD.format('question')} || chr(10) || '- resolved_query: ' || chr(10) || '- answer_goal: 给出基于证据的可引用回答。' || chr(10) AS task,
+  summary || chr(10) AS mem, 'RECENT_RELEVANT_TURNS:' || chr(10) || nullif(ls, '') || chr(10) AS rec, 'RETRIEVED_EVIDENCE:' || chr(10) || chr(10) || nullif(ev, '') || chr(10) AS evi, CASE WHEN q.query_id % 2 = 0 THEN 'GOVERNANCE_NOTICE:' || chr(10) || 'n' || chr(10) END AS gov, 'OUTPUT_SCHEMA:' || chr(10) || 'ANSWER: ...' || chr(10) || 'CONFIDENCE: ...' || chr(10) || 'REASONING_SUMMARY: ...' || chr(10) || 'CITATIONS_JSON: [...]' || chr(10) AS sch
+  FROM q LEFT JOIN said ON said.conv_id = q.query_id LEFT JOIN shown ON shown.query_id = q.query_id LEFT JOIN memory ON memory.conv_id = q.query_id), p AS (SELECT *, concat_ws(chr(10), rules, task, mem, rec, evi, gov, sch) AS prompt FROM b)
+SELECT query_id, prompt, {_tokens('prompt')}::INTEGER AS total_tokens, {_tokens("coalesce(mem, '')")}::INTEGER AS memory_tokens, {_tokens("coalesce(evi, '')")}::INTEGER AS evidence_tokens, concat_ws(',', CASE WHEN dropped > 0 THEN 'dropped_turns:' || dropped END, CASE WHEN ev IS NULL THEN 'no_evidence' END) AS drop_reasons FROM p""")
+def budget_prompts(spark, sf_dir):
+    """Turns, memory and evidence of all questions as prompts with their token use."""
+    asked = asked_conversations(spark, sf_dir)
+    picked = budget.select_turns(budget.score_turns(marked_turns(spark, sf_dir), asked))
+    q = asked.withColumns({"resolved_query": F.lit(""), "governance_notice": F.when(F.col("query_id") % 2 == 0, "n").otherwise("")})
+    made = budget.budget_prompt(q, picked, chosen_evidence(spark, sf_dir), budget.rolling_summary(picked.filter("not selected")))
+    use = lambda k: F.col("token_usage")[k]
+    return made.select("query_id", "prompt", "total_tokens", use("memory").alias("memory_tokens"), use("evidence").alias("evidence_tokens"), F.array_join("drop_reasons", ",").alias("drop_reasons"))
