@@ -267,16 +267,44 @@ def page_chunks(spark, sf_dir):
     return made.select("doc_id", "chunk_id", "parent_chunk_id", "chunk_level", "chunk_idx", "section", "section_path", "section_type", "contains_table", "contains_steps", "topic_keywords", F.length("content").alias("n_chars"))
 
 
-@query("metadata_fields", rf"""
-WITH h AS (SELECT doc_id, source || chr(10) || source || chr(10) || left(text, 4000) AS t FROM documents)
-SELECT doc_id, nullif(regexp_replace(regexp_extract(t, '(?i)(\b\d+\.\d+(?:\.\d+)?\b|v\d+\.\d+(?:\.\d+)?)', 1), '^[vV]\s*', ''), '') AS version,
-  nullif(regexp_extract(t, '\b(20\d{{2}}[-/]\d{{1,2}}[-/]\d{{1,2}})\b', 1), '') AS effective_date,
-  nullif(regexp_extract(t, '(?i)(docker|k8s|kubernetes|macos|linux|windows)', 1), '') AS environment,
-  CASE WHEN regexp_matches(t, '(?i)restricted') THEN 'restricted' WHEN regexp_matches(t, '(?i)sensitive') THEN 'sensitive' WHEN regexp_matches(t, '(?i)public') THEN 'public' ELSE 'internal' END AS data_classification,
-  CASE WHEN regexp_matches(t, '(?i)SOP') THEN 'medium' ELSE 'medium' END AS authority_level, 'active' AS status, 'unknown' AS doc_type FROM h""")
+#: What stands in the documents' heads, by doc_id % 8, so that every field and class is met.
+HEADS = (
+    "文号：AB-2024-7 北方煤矿 检修车间 夜班 3号线 生产 v2.3 2024-05-06 负责人：李四 值班人：王五 制度", "失效日期：2025-01-02 发布部门：安全部 批准人：张三 责任岗位：巡检员 公开 会议纪要",
+    "设备编号：X-19 2号锅炉 系统名称：调度平台 机密 已废止", "项目名称：灯塔工程 适用区域：东区 适用场站：一站 试行 草稿", "联系人 赵六 经理：钱七 linux 1.4.2 敏感 报销 付款", "今天检修部门 采购 招标 立项", "现行 隐患排查 应急预案 验收", "",
+)
+
+
+def _field(pattern: str, text: str = "t") -> str:
+    return f"nullif(trim(regexp_replace(regexp_extract({text}, '{pattern.replace('(?iU)', '(?i)').replace('(?U)', '')}', 1), '{metadata.LEADING_TIME}', '')), '')"
+
+
+def _rule(rules: list[tuple[str, str]], default: str | None) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{v}'" for p, v in rules) + f" ELSE {'NULL' if default is None else repr(default)} END"
+
+
+_META = {name: _field(p) for name, p in metadata.FIELD_PATTERNS.items()}
+_META["version"] = f"nullif(regexp_replace(regexp_replace(coalesce({_META['version']}, ''), '^(version|VERSION)\\s*', ''), '^[vV]\\s*', ''), '')"
+_META["group_company"] = _field("(北方[一-鿿]{1,4})")
+_META["owner_department"] = _META["department"]
+_META["department"] = f"CASE WHEN doc_id % 16 = 5 THEN 'given' ELSE {_META['department']} END"
+_META["person"] = f"list_min(list_transform(regexp_extract_all(t, '{metadata.PERSON}', 1), lambda x, i: {{'p': -(MAP {{{', '.join(f'{k!r}: {v}' for k, v in metadata.PERSON_PRIORITY.items())}}})[x], 'i': i, 'name': regexp_extract_all(t, '{metadata.PERSON}', 2)[i]}})).name"
+_META |= {name: _rule(rules, default) for name, (default, rules) in metadata.CLASS_RULES.items()}
+_META["status"] = f"CASE WHEN doc_id % 16 = 9 THEN 'draft' ELSE {_META['status']} END"
+_META["doc_category"] = _rule(metadata.CATEGORY_RULES, None)
+_META["doc_type"] = "['pdf', 'markdown', 'unknown', 'csv', 'unknown'][doc_id % 5 + 1]"
+
+
+@query("metadata_fields", f"""
+WITH h AS (SELECT doc_id, 'T ' || doc_id || chr(10) || 'f' || doc_id || chr(10) || left((['{"', '".join(HEADS)}'])[doc_id % 8 + 1] || chr(10) || coalesce(text, ''), 4000) AS t FROM documents) SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _META.items())} FROM h""")
 def metadata_fields(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("source").alias("title"), F.col("text").alias("content"))
-    return metadata.enrich(d).select("doc_id", "version", "effective_date", "environment", "data_classification", "authority_level", "status", "doc_type")
+    """All fields of documents with labelled heads; some come with a department or a status of their own."""
+    i = F.col("doc_id")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("dir/f"), i.cast("string"), pick((".PDF", ".md", "", ".csv", ".xyz"))).alias("source"), F.concat(F.lit("T "), i.cast("string")).alias("title"), F.concat(pick(HEADS), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("content"),
+        F.when(i % 16 == 5, " given ").alias("department"), F.when(i % 16 == 9, " Draft ").otherwise(" ").alias("status"),
+    )
+    return metadata.enrich(d, group_company="北方[一-鿿]{1,4}").select("doc_id", *_META)
 
 
 @query("filter_chunks", "SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND lower(source) IN ('src1', 'src2', 'src3')")
@@ -415,15 +443,18 @@ def merge_routes(spark, sf_dir):
     return fuse.merge_routes(h).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.array_join("matched_routes", ",").alias("matched_routes"), "matched_route_count")
 
 
-@query("expand_parents")
+CHILD_BM25 = BM25.replace(f"SELECT doc_id, {TOKENS.format('text')} AS t FROM documents", f"SELECT chunk_id AS doc_id, {TOKENS.format('body')} AS t FROM chunks WHERE chunk_level = 'child'")
+
+
+@query("expand_parents", f"""
+WITH {CHUNKS}, {CHILD_BM25}, e AS (SELECT h.query_id, c.parent_chunk_id AS chunk_id, max(h.score) AS score, string_agg(h.chunk_id, ',' ORDER BY h.chunk_id) AS kids, count(*) AS n FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id GROUP BY 1, 2)
+SELECT query_id, e.chunk_id, score, kids AS matched_child_chunk_ids, n::INTEGER AS matched_child_count, p.doc_id, p.source, p.body AS content FROM e JOIN chunks p ON p.chunk_id = e.chunk_id AND p.chunk_level = 'parent'""")
 def expand_parents(spark, sf_dir):
     """Search over child chunks, answered by their parents."""
-    d = table(spark, sf_dir, "documents")
-    docs = d.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit("t").alias("title"), F.col("text").alias("content"), F.lit("text").alias("doc_type"), F.lit("text/plain").alias("mime_type"))
-    chunks = chunk.build_chunks(docs)
+    chunks = chunk.build_chunks(sectioned_documents(spark, sf_dir))
     hits = search.bm25_search(bench_questions(spark, sf_dir), stored_index(spark, sf_dir, "children", lambda: search.searchable(chunks)), 10)
     out = fuse.expand_parents(hits, chunks, ("source", "doc_id"))
-    return out.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "matched_child_chunk_ids", "matched_child_count", "doc_id")
+    return out.select("query_id", "chunk_id", "score", F.array_join("matched_child_chunk_ids", ",").alias("matched_child_chunk_ids"), "matched_child_count", "doc_id", "source", "content")
 
 
 @query("metadata_boost", f"""
