@@ -468,3 +468,49 @@ def test_approximate_search_answers_questions_without_neighbours(spark):
     q = spark.createDataFrame([(1, [1.0] + [0.0] * 15), (2, [-1.0] + [0.0] * 15)], "query_id long, embedding array<double>")
     got = search.dense_search_approx(q, c, 5).collect()
     assert {(r.query_id, r.chunk_id, r["rank"], r.score) for r in got} == {(i, k, k + 1, s) for i, s in ((1, 1.0), (2, -1.0)) for k in range(5)}
+
+
+def test_store_filters_reach_the_scan(spark, tmp_path):
+    d = rows(spark, [(f"c{i}", "child" if i % 2 else "parent", "en" if i % 3 else "fr", i) for i in range(20)], "chunk_id string, chunk_level string, lang string, page int")
+    d.write.parquet(str(tmp_path / "chunks"))
+    kept = files.read_chunks(spark, str(tmp_path / "chunks")).filter(filters.pushable_predicate({"lang": ["en", "de"], "page": ["5", 7.0, 9]}, ["lang", "page"])).select("chunk_id")
+    assert sorted(r.chunk_id for r in kept.collect()) == ["c5", "c7"]
+    plan = kept._jdf.queryExecution().explainString(kept.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "EqualTo(chunk_level,child)" in pushed and "In(lang" in pushed and "In(page" in pushed
+
+
+def test_routes_run_with_limits_of_their_own(spark):
+    chunks = rows(spark, [("a", "red fish swims"), ("b", "blue fish swims far"), ("c", "green bird"), ("d", "red bird flies far")], "chunk_id string, content string")
+    stored = search.bm25_index(chunks)
+    encoder = search.hashing_encoder(64)
+    vectors = search.encode(chunks, encoder).select("chunk_id", "embedding")
+    routes = rows(spark, [("q", 0, "original_query", "original_query", "red fish", True, True, 2, 1), ("q", 1, "keyword_1", "keyword", "bird", True, False, 1, 5), ("q", 2, "hyde", "hyde", "green bird", False, True, 5, 2)], "query_id string, route_order int, route_name string, route_kind string, route_query string, use_sparse boolean, use_dense boolean, sparse_k int, dense_k int")
+    hits = search.run_routes(routes, stored, vectors, encoder).collect()
+    got = {(r.route_name, r.retriever): [h.chunk_id for h in sorted(hits, key=lambda h: h["rank"]) if (h.route_name, h.retriever) == (r.route_name, r.retriever)] for r in hits}
+    assert set(got) == {("original_query", "sparse"), ("original_query", "dense"), ("keyword_1", "sparse"), ("hyde", "dense")}
+    assert got["original_query", "dense"] == ["a"] and len(got["original_query", "sparse"]) == 2 and len(got["keyword_1", "sparse"]) == 1 and got["hyde", "dense"][0] == "c" and len(got["hyde", "dense"]) == 2
+    some = search.run_routes(routes, stored, vectors, encoder, allowed=chunks.filter("chunk_id = 'd'").select("chunk_id")).collect()
+    assert {r.chunk_id for r in some} == {"d"} and {r.retriever for r in some} == {"sparse", "dense"}
+
+
+def test_passes_of_questions_give_one_result(spark, monkeypatch):
+    e = rows(spark, [(i, [float((i * k) % 7 - 3) for k in range(1, 6)]) for i in range(1, 90)], "chunk_id long, embedding array<double>")
+    q = e.filter("chunk_id % 4 = 1").withColumnRenamed("chunk_id", "query_id")
+    whole = sorted(search.dense_search(q, e, 5).collect())
+    monkeypatch.setattr(search, "QUERY_BYTES", 5 * 8 * 7)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    assert sorted(search.dense_search(q, e, 5).collect()) == whole and len(whole) == 5 * q.count()
+    assert search.dense_search(q.filter("false"), e, 5).count() == 0 and search.dense_search(q, e.filter("false"), 5).count() == 0
+
+
+def test_model_plans_keep_what_the_model_leaves_out(spark):
+    d = rows(spark, [("q", "r", "", ["k"], ["s"], {"shift": "s", "line": "l"}, '{"structured_filters": {"time": "t", "line": " "}}')], "query_id string, rewritten_query string, hyde_query string, keyword_queries array<string>, sub_queries array<string>, structured_filters map<string,string>, raw string")
+    assert understand.merge_model_plan(d, "raw").first().structured_filters == {"shift": "s", "line": "l", "time": "t"}
+
+
+def test_queries_and_their_sql_are_registered():
+    import __spark_entry__
+
+    runs, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(sql) <= set(runs) and len(sql) > 85
