@@ -40,9 +40,13 @@ def clean_text(text: Column) -> Column:
     return clean_lines(nfkc()(text))
 
 
+#: Unicode's white space. Fixed values.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end; only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def fold_ws(text: Column) -> Column:

@@ -14,7 +14,7 @@ def to_bool(value: Column) -> Column:
 
 def norm_tags(value: Column, is_text: bool = True) -> Column:
     parts = F.split(F.coalesce(value, F.lit("")), ",") if is_text else F.coalesce(value, F.array().cast("array<string>"))
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def eval_signals(answers: DataFrame, hits: DataFrame, cited: DataFrame | None = None) -> DataFrame:

@@ -311,3 +311,42 @@ def risk_levels(spark, sf_dir):
     q = q.withColumn("word_level", risk.query_risk(F.col("question")))
     decided = risk.risk_decision(q).withColumn("risk_action", F.when(k != 2, F.col("risk_action")))
     return risk.fail_open(decided, allow=False).select("query_id", F.col("word_level").alias("risk_level"), "risk_action", "risk_reason")
+
+
+@query("text_files", f"""
+WITH l AS (SELECT lang, {FOLD.format("coalesce(text, '')")} AS line FROM documents WHERE lang IS NOT NULL)
+SELECT lang, 'text/markdown' AS mime_type, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL""")
+def text_files(spark, sf_dir):
+    """Documents as lines of text files, a folder for each language, read again as whole files."""
+    folder = shared_folder(spark)
+    d = table(spark, sf_dir, "documents").filter("lang is not null")
+    d.select(T.fold_ws(F.coalesce("text", F.lit(""))).alias("value"), "lang").write.partitionBy("lang").text(folder)
+    docs = files.read_text_documents(spark, f"{folder}/lang=*/*.txt", "text/markdown")
+    lines = docs.select(F.regexp_extract("source", "lang=([^/]*)/", 1).alias("lang"), "mime_type", F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
+    return lines.groupBy("lang", "mime_type", "line").agg(F.count("*").alias("n"))
+
+
+@query("coerced_flags", """
+SELECT doc_id, doc_id % 6 IN (0, 1, 2) AS flag, CASE WHEN doc_id % 2 = 0 THEN 'a|' || lang ELSE '' END AS tags, source AS listed FROM documents""")
+def coerced_flags(spark, sf_dir):
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", choose(i % 6, " YES ", "1", "True", "no", "0", "").alias("raw"), F.when(i % 2 == 0, F.concat(F.lit(" a ,, "), "lang")).alias("tags"))
+    d = d.withColumn("raw", F.when(i % 6 != 5, F.col("raw")))
+    listed = evaluate.norm_tags(F.array(F.lit(" "), "source"), is_text=False)
+    return d.select("doc_id", evaluate.to_bool(F.col("raw")).alias("flag"), F.array_join(evaluate.norm_tags(F.col("tags")), "|").alias("tags"), F.array_join(listed, "|").alias("listed"))
+
+
+@query("page_marked_chunks", """
+WITH d AS (SELECT doc_id, left(doc_id::VARCHAR, 8) AS s, trim(left(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), 700)) AS t FROM documents),
+p AS (SELECT doc_id, s, unnest([2, 5, 9]) AS page, unnest([t, t || ' again', 'end of ' || doc_id || repeat(' and so on', 8)]) AS c FROM d),
+k AS (SELECT *, length(c) + 17 >= 80 AS long_enough FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS i FROM k WHERE c <> '' AND long_enough),
+x AS (SELECT *, 'p-' || s || '-' || i || '-' || left(sha256('p:' || doc_id || ':' || i || ':' || left(c, 200)), 16) AS pid FROM n)
+SELECT doc_id::VARCHAR AS doc_id, pid AS chunk_id, 'parent' AS chunk_level, page, '第' || page || '页' AS section, c AS content FROM x UNION ALL
+SELECT doc_id::VARCHAR, 'c-' || s || '-' || i || '-' || left(sha256('c:' || doc_id || ':' || i || ':' || left(pid || ':' || c, 200)), 16), 'child', page, '第' || page || '页', c FROM x""")
+def page_marked_chunks(spark, sf_dir):
+    """Documents of three marked pages, each short enough to be one piece."""
+    i, t = F.col("doc_id").cast("string"), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), 1, 700)
+    mark = lambda n: F.lit(f"<!-- page:{n} -->\n")
+    body = F.concat(mark(2), t, F.lit("\n"), mark(5), F.btrim(t), F.lit(" again\n"), mark(9), F.lit("end of "), i, F.lit(" and so on" * 8))
+    docs = table(spark, sf_dir, "documents").select(i.alias("doc_id"), F.lit("s.pdf").alias("source"), F.lit("t").alias("title"), body.alias("content"), F.lit("pdf").alias("doc_type"), F.lit("").alias("mime_type"))
+    return chunk.build_chunks(docs).select("doc_id", "chunk_id", "chunk_level", "page", "section", "content")
