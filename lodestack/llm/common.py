@@ -78,3 +78,16 @@ def sample_by_class(rows: DataFrame, label: str, text: str, per_class: int, max_
     chosen = drawn.withColumn("_nth", nth).filter(F.col("_nth") <= wanted).select("_label", "_hash")  # wanted rows a label, so it may be broadcast
     texts = rows.select(*pair, F.col(text).alias("_text")).join(F.broadcast(chosen), ["_label", "_hash"])
     return texts.groupBy("_label", "_hash").agg(F.min("_text").alias("_text")).select(F.col("_label").alias(label), F.col("_text").alias(text))
+
+
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` range-partitioned and sorted by ``order``, null first, with ``_part`` and ``_row``: the partition and the
+    place in it, both ascending with the order. Rows that agree in all of ``order`` are told apart by where they were read,
+    so that copies of one row spread over as many partitions as they fill. Written once, so the places stay as they are.
+    """
+    tie = fresh(rows, "_tie")
+    keys = [F.col(c).asc_nulls_first() for c in order] + [F.col(tie).asc()]
+    dealt = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id()
+    placed = dealt.withColumn("_part", F.shiftright(place, 33)).withColumn("_row", place.bitwiseAND((1 << 33) - 1))
+    return cut(placed.drop(tie))
