@@ -50,30 +50,28 @@ def chunk_profile(docs: DataFrame) -> DataFrame:
 
 
 def window_pieces(text: Column, size: Column, overlap: Column) -> Column:
-    """Windows of ``size`` characters that share ``overlap``; one piece for a text that fits."""
-    n = F.length(text)
-    step = size - overlap
-    count = F.greatest(F.lit(1), F.ceil((n - overlap) / step).cast("int"))
-    return F.when(n <= size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * step + 1, size)))
+    """Windows of ``size`` characters that share ``overlap``; one piece for a text that fits.
 
+    One pass of a pattern that looks ahead for the window and moves on by a step, as long as more than the overlap is left.
+    """
+    number = lambda c: c.cast("int").cast("string")
+    window = F.concat(F.lit("(?s)(?=(.{1,"), number(size), F.lit("}))(?=.{"), number(overlap + 1), F.lit("}).{1,"), number(size - overlap), F.lit("}"))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, window, F.lit(1)))
 
-def length_pieces(text: Column, size: Column, overlap: Column) -> Column:
-    """A trimmed text whole if it fits, else its paragraphs packed up to ``size`` with oversize ones in windows."""
-    text = strip(text)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def take(state: Column, paragraph: Column) -> Column:
-        done, open_ = state["done"], state["open"]
-        fits = F.length(open_) + F.length(paragraph) + 2 <= size
-        joined = F.when(open_ == "", paragraph).otherwise(F.concat(open_, F.lit("\n\n"), paragraph))
-        closed = F.when(open_ == "", done).otherwise(F.concat(done, window_pieces(open_, size, overlap)))
-        small = F.length(paragraph) <= size
-        flushed = F.when(small, closed).otherwise(F.concat(closed, window_pieces(paragraph, size, overlap)))
-        return F.struct(F.when(fits, done).otherwise(flushed).alias("done"), F.when(fits, joined).otherwise(F.when(small, paragraph).otherwise("")).alias("open"))
+def length_pieces(text: Column, size: Column, overlap: Column) -> Column:
+    """A trimmed text whole if it fits, else its paragraphs packed up to ``size`` with oversize ones in windows.
 
+    The trimmed paragraphs stand in one text with a blank line between them; a greedy pattern takes as many whole ones as
+    fit, or one that is too long. So a text costs what its length does, however many paragraphs it has.
+    """
+    text = strip(text)
     paragraphs = F.filter(F.transform(F.split(text, "\n\n+"), strip), lambda p: p != "")
-    packed = F.aggregate(paragraphs, start, take, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], window_pieces(s["open"], size, overlap))))
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(packed)
+    end = r"(?=\n\n|\z)"
+    packs = F.concat(F.lit("(?s)(.{1,"), size.cast("int").cast("string"), F.lit(rf"}}{end}|.+?{end})(?:\n\n|\z)"))
+    packed = F.regexp_extract_all(F.array_join(paragraphs, "\n\n"), packs, F.lit(1))
+    pieces = F.flatten(F.transform(packed, lambda p: window_pieces(p, size, overlap)))
+    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(pieces)
 
 
 #: Where a heading line begins: blanks, one to six marks, blanks, text.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import budget, chunk, context, decide, evaluate, filters, fuse, govern, index, metadata, risk, search, trainsets, understand
+from lodestack.operators import budget, chunk, context, decide, evaluate, filters, fuse, govern, index, ivf, metadata, risk, search, trainsets, understand
 from lodestack.sources import files, shared
 from lodestack.streaming import audit
 
@@ -373,10 +373,31 @@ def dense_l2_topk(spark, sf_dir):
     return search.top_k(hits.drop("rank"), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> ivf.Ivf:
+    """The inverted file of ``embeddings``, built once a session."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    key = (spark.sparkContext.applicationId, sf_dir, "vectors")
+    if key not in _STORED:
+        folder = shared_folder(spark)
+        ivf.Ivf.build(rows, folder)
+        _STORED[key] = folder
+    return ivf.Ivf.load(spark, _STORED[key], rows.schema)
+
+
+def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 @query("dense_lsh")
 def dense_lsh(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return search.dense_search_approx(e.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), e, 10)
+    return ivf.ivf_search(vector_questions(spark, sf_dir), stored_vectors(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query("ivf_all_lists", ORACLES["dense_topk"])
+def ivf_all_lists(spark, sf_dir):
+    """The stored index asked of all lists with every candidate scored: the exact ranks."""
+    index = stored_vectors(spark, sf_dir)
+    return ivf.ivf_search(vector_questions(spark, sf_dir), index, 10, share=1.0, rescored=index.codes.count()).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query("sparse_vector_topk", """

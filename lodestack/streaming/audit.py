@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,15 +48,45 @@ def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return grouped.select("user_id", w["start"].alias("session_start"), w["end"].alias("session_end"), "session_query_count")
 
 
+HOUR, DAY = 3600, 24
+
+
 def behaviour_features(events: DataFrame, risky: tuple[str, ...] = (), failed: tuple[str, ...] = ()) -> DataFrame:
-    """Per event the inputs of the risk hint: 24-hour count, 7-day risky share and failures, seconds since the last event."""
-    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    by = Window.partitionBy("user_id").orderBy("t")
-    day, week = by.rangeBetween(-86_400, 0), by.rangeBetween(-7 * 86_400, 0)
-    before = Window.partitionBy("user_id").orderBy("t", "event_id")
-    e = events.withColumn("t", t)
+    """Per event the inputs of the risk hint: 24-hour count, 7-day risky share and failures, seconds since the last event.
+
+    A user's events are dealt out by hour, so that no task sorts more than an hour of a user, however many events that user
+    has. A range that ends at an event begins inside the hour a day (or a week) before: the sums of the hours between come
+    from a table of one row for each user and hour, the rest from that first hour's events, which are told to the last hour
+    with their time moved on by the range's length. Events of equal time count for each other. Those without a time are
+    counted among themselves; the seconds since a first event, or one without a time, are 60.
+    """
     is_ = lambda kinds: F.col("event_type").isin(*kinds) if kinds else F.lit(False)
-    return e.select(
-        "event_id", "user_id", F.count("*").over(day).cast("double").alias("past_24h_query_count"), F.round(F.avg(is_(risky).cast("double")).over(week), 6).alias("high_risk_ratio_7d"),
-        F.sum(is_(failed).cast("double")).over(week).alias("failed_auth_count_7d"), F.coalesce((F.col("t") - F.lag("t").over(before)).cast("double"), F.lit(60.0)).alias("query_interval_sec"),
+    one = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    e = events.select("event_id", "user_id", t.alias("t"), F.lit(1).cast("long").alias("n"), one(is_(risky)).alias("risky"), one(is_(failed)).alias("failed"), one(is_(risky).isNotNull()).alias("typed"))
+    e = e.withColumn("hour", F.floor(F.col("t") / HOUR).cast("long"))
+    own = e.withColumns({"age": F.lit(0), "s": F.col("t")})
+    told = [e.filter("t is not null").withColumns({"age": F.lit(h), "s": F.col("t") + h * HOUR, "hour": F.col("hour") + h}) for h in (DAY, 7 * DAY)]
+    rows = own.union(told[0]).union(told[1])
+
+    by = Window.partitionBy("user_id", "hour")
+    upto, under = by.orderBy("s").rangeBetween(Window.unboundedPreceding, 0), by.orderBy("s").rangeBetween(Window.unboundedPreceding, -1)
+
+    def ranged(name: str, age: int) -> Column:
+        """Own events up to this one, and those of the range's first hour that are not older than the range."""
+        first = F.when(F.col("age") == age, F.col(name))
+        return F.coalesce(F.sum(F.when(F.col("age") == 0, F.col(name))).over(upto), F.lit(0)) + F.coalesce(F.sum(first).over(by), F.lit(0)) - F.coalesce(F.sum(first).over(under), F.lit(0))
+
+    before = F.lag("t").over(Window.partitionBy("user_id", "hour", "age").orderBy("t", "event_id"))
+    rows = rows.select("*", before.alias("last"), ranged("n", DAY).alias("day_n"), *[ranged(c, 7 * DAY).alias(f"week_{c}") for c in ("typed", "risky", "failed")]).filter("age = 0")
+
+    hours = e.groupBy("user_id", "hour").agg(*[F.sum(c).alias(c) for c in ("n", "typed", "risky", "failed")], F.max("t").alias("latest"))
+    back = Window.partitionBy("user_id").orderBy("hour")  # a user's hours
+    between = lambda c, h: F.when(F.col("hour").isNull(), 0).otherwise(F.coalesce(F.sum(c).over(back.rangeBetween(1 - h, -1)), F.lit(0)))
+    hours = hours.select(F.col("user_id").alias("_u"), F.col("hour").alias("_h"), F.lag("latest").over(back).alias("latest"), between("n", DAY).alias("day_more"), *[between(c, 7 * DAY).alias(f"more_{c}") for c in ("typed", "risky", "failed")])
+    out = rows.join(hours, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("hour").eqNullSafe(F.col("_h")))
+    total = lambda c: (F.col(f"week_{c}") + F.col(f"more_{c}")).cast("double")
+    return out.select(
+        "event_id", "user_id", (F.col("day_n") + F.col("day_more")).cast("double").alias("past_24h_query_count"), F.round(total("risky") / F.nullif(total("typed"), F.lit(0.0)), 6).alias("high_risk_ratio_7d"),
+        F.when(total("typed") > 0, total("failed")).alias("failed_auth_count_7d"), F.coalesce((F.col("t") - F.coalesce("last", "latest")).cast("double"), F.lit(60.0)).alias("query_interval_sec"),
     )
