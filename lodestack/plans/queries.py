@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import budget, chunk, context, decide, evaluate, filters, fuse, govern, index, ivf, metadata, risk, search, trainsets, understand
+from lodestack.operators import budget, chunk, context, decide, evaluate, filters, fuse, govern, index, ivf, metadata, risk, search, segments, trainsets, understand
 from lodestack.sources import files, shared
 from lodestack.streaming import audit
 
@@ -130,6 +130,25 @@ def bm25_topk(spark, sf_dir):
     return bm25_hits(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
+KEPT_BM25 = BM25.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 9)", 1)
+
+
+@query("segmented_topk", f"WITH {KEPT_BM25} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM hits")
+def segmented_topk(spark, sf_dir):
+    """An index of older texts, in which a third of the documents is replaced and a tenth removed, in two changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, "segments")
+    if key not in _STORED:
+        d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+        older = F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("former words "), F.reverse("content"))).otherwise(F.col("content"))
+        folder = shared_folder(spark)
+        made = segments.SegmentedIndex.create(spark, folder, d.filter("chunk_id % 20 <> 0").withColumn("content", older))
+        made.merge(d.filter("chunk_id % 3 = 0 and chunk_id % 2 = 0"), d.filter("chunk_id % 10 = 9"))
+        made.merge(d.filter("(chunk_id % 3 = 0 and chunk_id % 2 = 1 and chunk_id % 10 <> 9) or chunk_id % 20 = 0"))
+        _STORED[key] = folder
+    view = segments.SegmentedIndex(spark, _STORED[key]).view()
+    return search.bm25_search(bench_questions(spark, sf_dir), view, 10).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
 @query("clean_text", r"""
 SELECT doc_id, trim(array_to_string(list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
   lambda l: trim(regexp_replace(l, '[ \t]+', ' ', 'g'))), lambda l: l <> ''), chr(10))) AS content FROM documents""")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import budget, chunk, context, decide, evaluate, filters, fuse, govern, index, ivf, metadata, risk, search, trainsets, understand
+from lodestack.operators import blockmax, budget, chunk, context, decide, evaluate, filters, fuse, govern, index, ivf, metadata, risk, search, segments, trainsets, understand
 from lodestack.sources import files
 from lodestack.streaming import audit
 
@@ -525,6 +525,47 @@ def test_entry_point_has_every_oracle(spark):
     assert entry.entry(spark).columns == ["query_id", "chunk_id", "score", "rank"]
 
 
+def test_segments_equal_a_fresh_index(spark, tmp_path):
+    """Replaced, new, removed, removed and new again, empty and null texts; before and after compaction."""
+    chunks = lambda *data: rows(spark, data, "chunk_id long, content string")
+    q = rows(spark, [(1, "apple pie"), (2, "old stone"), (3, "zebra apple apple")], "query_id long, question string")
+
+    def same(made, live):
+        want = search.bm25_search(q, search.bm25_index(chunks(*live)), 5).collect()
+        assert sorted(search.bm25_search(q, made.view(), 5).collect()) == sorted(want) and len(want) > 0
+
+    first = [(i, f"apple tree {'old ' * (i % 3)} word{i}") for i in range(20)] + [(50, ""), (51, None)]
+    made = segments.SegmentedIndex.create(spark, str(tmp_path), chunks(*first))
+    same(made, first)
+    made.merge(chunks((3, "zebra pie"), (4, "old stone stone"), (90, "apple zebra")), chunks((5, ""), (50, ""), (999, "")))
+    live = [x for x in first if x[0] not in (3, 4, 5, 50)] + [(3, "zebra pie"), (4, "old stone stone"), (90, "apple zebra")]
+    same(made, live)
+    made.merge(chunks((5, "pie again"), (3, "stone")))
+    live = [x for x in live if x[0] != 3] + [(5, "pie again"), (3, "stone")]
+    same(made, live)
+    assert made.void_share() == 5 / 27
+    made.compact()
+    same(made, live)
+    assert made.void_share() == 0 and made.version() == (3, ["segment-3"])
+
+
+def test_level_search_reads_less_and_ranks_the_same(spark, tmp_path):
+    """Half of the postings at most on the given documents; ties, repeated words, questions of common words only."""
+    from lodestack.plans.queries import bench_questions, doc_chunks
+
+    for folder, chunks, q in (
+        ("docs", doc_chunks(spark, "/root/testdata/sf0.01"), bench_questions(spark, "/root/testdata/sf0.01")),
+        ("few", rows(spark, [(i, f"the {'cat ' * (i % 4)}and w{i % 7} dog" if i % 5 else "the the") for i in range(300)], "chunk_id long, content string"), rows(spark, [(1, "the cat"), (2, "the"), (3, "w1 w2 dog the the"), (4, "none"), (5, "")], "query_id long, question string")),
+    ):
+        index_ = search.bm25_index(chunks).stored(str(tmp_path / folder / "index"))
+        made = blockmax.LevelIndex.build(index_, str(tmp_path / folder / "levels"))
+        for k in (1, 10):
+            got, want = (sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in f.collect()) for f in (blockmax.level_search(q, made, k), search.bm25_search(q, index_, k)))
+            assert got == want
+        report = blockmax.reading_report(q, made, 10).agg(F.sum("postings"), F.sum("postings_read")).first()
+        assert folder == "few" or report[1] <= 0.5 * report[0]
+
+
 def vectors_of(spark, n):
     if n <= 2000:
         return spark.read.parquet(f"/root/testdata/{'sf0.01' if n == 500 else 'sf0.1'}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
