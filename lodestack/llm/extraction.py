@@ -26,12 +26,17 @@ from lodestack.llm.common import apply_struct
 
 # HTML's tag classes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math canvas textarea select option".split())
+_RAW = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas textarea select option".split())
+_TO_THE_END = frozenset("script style textarea iframe".split())  # without an end tag they hold the rest of the page
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()
+    + "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded menclose mtable mtr mtd semantics".split()
 )
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>])*+)(?:>|$)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_TELLING = frozenset("class id role itemprop aria-label hidden style".split())
+#: Parts of a class that speak of a state or of what stands elsewhere: such a class hints at nothing.
+_STATES = frozenset("no not non has have with without is can open opened closed enabled disabled".split())
 #: Words in class, id and role, and what they hint at. Fixed values.
 _HINTS = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager tabs toc skip",
@@ -151,11 +156,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
                 if end is not None:
                     at = end.end()
-                elif tag not in ("head", "option", "select"):
+                elif tag in _TO_THE_END:
                     at = len(page)
                 else:
                     unclosed.add(tag)
-            if tag not in ("option", "svg", "math", "object"):
+            if tag not in ("option", "svg", "object", "annotation", "annotation-xml"):
                 parts.append(" ")
             continue
         if tag == "br":
@@ -175,13 +180,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if (depth := open_.last(*_ENDS.get(tag, ()))) > open_.last(*_BOUNDS):
             open_.close(depth)
         hints = set()
-        for name, value in _ATTR.findall(m[3]):
+        for name, value in _ATTR.findall(m[3] if tag not in ("html", "body") else ""):  # these stand around all blocks
             name, value = name.lower(), value.strip("\"'").lower()
+            if name not in _TELLING:
+                continue
             if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
                 hints.add("hidden")
-            for token in re.split(r"[\s_-]+", value) + value.split():
-                if token in _HINT_OF:
-                    hints.add(_HINT_OF[token])
+            for word in value.split():
+                parts_of = re.split("[_-]+", word)
+                if not _STATES.intersection(parts_of):
+                    hints.update(_HINT_OF[x] for x in (word, *parts_of) if x in _HINT_OF)
         if not m[3].rstrip().endswith("/"):
             open_.push(tag, frozenset(hints))
     say(page[at:])
@@ -191,7 +199,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
 FEATURES: dict[str, int] = {}
 for _name in (
-    ["bias", "first", "last", "link0", "link1", "link2", "ends", "comma", "heading", "hidden"]
+    ["bias", "first", "last", "few", "link0", "link1", "link2", "ends", "comma", "heading", "hidden"]
     + [f"tag={t}" for t in sorted(_TAGS)] + [f"leaf={t}" for t in sorted(_TAGS)] + [f"hint={h}" for h in sorted(_HINTS)]
     + [f"words{i}" for i in range(7)] + [f"says={p}" for p in sorted(_PHRASES)]
 ):
@@ -209,7 +217,7 @@ def features(blocks: list[Block]) -> list[list[int]]:
         names += [f"says={k}" for k, s in _PHRASES.items() if s in low]
         if b.leaf in _TAGS:
             names.append(f"leaf={b.leaf}")
-        for name, holds in (("first", i == 0), ("last", i == len(blocks) - 1), ("ends", b.text[-1] in ".!?。"), ("comma", "," in b.text), ("hidden", "hidden" in b.hints), ("heading", re.fullmatch(r"h[1-6]", b.leaf))):
+        for name, holds in (("first", i == 0), ("last", i == len(blocks) - 1), ("few", len(blocks) < 5), ("ends", b.text[-1] in ".!?。"), ("comma", "," in b.text), ("hidden", "hidden" in b.hints), ("heading", re.fullmatch(r"h[1-6]", b.leaf))):
             if holds:
                 names.append(name)
         out.append([FEATURES[x] for x in names])
@@ -377,7 +385,14 @@ def sample_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
         foot = pick(lambda: box("footer", "", f"&copy; {words(1)}.example &middot; {sentence()}"), lambda: box("footer", pick("", "site-footer"), f"<p>{sentence()}</p>" + (links(3) if chance(0.5) else "")), lambda: box("div", "footer", f"<p>&copy; 2020 {words(2)}</p>"), lambda: "")()
         before = "".join(boiler() for _ in range(int(rng.integers(0, 4))))
         after = ("" if inside else talk) + "".join(boiler() for _ in range(int(rng.integers(0, 3))))
-        yield f"<!DOCTYPE html><html><head><title>{words(3)}</title></head><body>{head}{before}{story}{after}{foot}</body></html>", main
+        if chance(0.2):  # a short page: its article, and at most a notice
+            main.clear()
+            story = shape.replace("{}", (title() if chance(0.3) else "") + "".join(f"<p>{keep(prose(3))}</p>" for _ in range(int(rng.integers(1, 4))))).replace("{k}", "text")
+            head = before = foot = ""
+            after = f"<div><p>{notice()}</p></div>" if chance(0.4) else ""
+        state = pick("", "", ' class="has-sidebar single-post"', ' class="no-comments"', ' class="comments-open page"', ' class="menu-open cookie-bar"')
+        story = story.replace("<article", f'<article class="{pick("post no-comments", "hentry", "has-sidebar")}"', 1) if chance(0.2) and "<article>" in story else story
+        yield f"<!DOCTYPE html><html><head><title>{words(3)}</title></head><body{state}>{head}{before}{story}{after}{foot}</body></html>", main
 
 
 def labelled(page: str, main: list[str]) -> tuple[list[list[int]], list[int]]:
@@ -391,7 +406,7 @@ def labelled(page: str, main: list[str]) -> tuple[list[list[int]], list[int]]:
 
 
 @lru_cache(2)
-def default_model(pages: int = 500, seed: int = 11) -> Crf:
+def default_model(pages: int = 600, seed: int = 11) -> Crf:
     """Trained on that many generated pages: a bound that doesn't grow with the table."""
     return train([labelled(*p) for p in sample_pages(pages, seed)])
 
