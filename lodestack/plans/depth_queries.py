@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as T
 from lodestack.operators import blockmax, decide, fuse, index, search, understand
 from lodestack.plans.queries import _STORED, BM25, FOLD, TOKENS, TWO, bench_questions, bm25_hits, doc_chunks, doc_index, faq_table, query, shared_folder, table, two_lists
-from lodestack.streaming import audit
+from lodestack.streaming import audit, tables
 
 
 @query("level_topk", f"WITH {BM25} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM hits")
@@ -204,3 +204,44 @@ def session_windows(spark, sf_dir):
     """Sessions of the same stream."""
     out = drained(spark, deliveries(spark, sf_dir), audit.session_stream)
     return out.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "session_query_count")
+
+
+def kept_up(spark: SparkSession, parts: list[DataFrame], stream, key: str) -> DataFrame:
+    """A table of ``tables.start_table`` after all of ``parts`` were delivered, each in its turn."""
+    folder = shared_folder(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        tables.start_table(stream(source), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return tables.read_table(spark, f"{folder}/out", key)
+
+
+@query("streamed_hits", f"WITH {ARRIVALS} SELECT user_id AS entry_id, count(*) AS hit_count, max(t) AS last_hit_at FROM e JOIN w ON w.k = e.step WHERE mark IS NULL OR t > mark GROUP BY user_id")
+def streamed_hits(spark, sf_dir):
+    """FAQ hits as a stream in which a third of each delivery comes again with the next one."""
+    rows = [p.select(F.col("event_id").alias("hit_id"), F.col("user_id").alias("entry_id"), F.col("ts").alias("hit_at")) for p in deliveries(spark, sf_dir)]
+    parts = [rows[0], *[now.union(before.filter("hit_id % 3 = 0")) for before, now in zip(rows, rows[1:])]]
+    return kept_up(spark, parts, tables.hit_counts, "entry_id").select("entry_id", "hit_count", F.unix_micros("last_hit_at").alias("last_hit_at"))
+
+
+@query("streamed_cache", f"""
+WITH {ARRIVALS}, n AS (SELECT lower(event_type) || ' ' || user_id AS q, max(t) AS t, max_by(event_id, t) AS event_id, any_value(user_id % 20 + 1) AS days FROM e GROUP BY 1)
+SELECT 'answer:' || left(sha256(q), 24) AS key, 'answer ' || event_id AS answer, t AS written_at FROM n WHERE (t // 1000 + days * 86400000) > (SELECT mark // 1000 FROM w WHERE k = 4)""")
+def streamed_cache(spark, sf_dir):
+    """Answers written by a stream: the newest of each folded question, as long as its time isn't over."""
+    rows = [p.select(F.concat(F.lit(" "), F.upper("event_type"), F.lit("  "), F.col("user_id")).alias("question"), F.concat(F.lit("answer "), F.col("event_id")).alias("answer"), F.lit(0.9).alias("confidence"), F.col("ts").alias("written_at"), ((F.col("user_id") % 20 + 1) * 86_400).alias("ttl_sec")) for p in deliveries(spark, sf_dir)]
+    return kept_up(spark, rows, tables.cache_entries, "key").filter("live").select("key", "answer", F.unix_micros("written_at").alias("written_at"))
+
+
+LONG_WORDS = "SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS alias FROM benchmark"
+
+
+@query("document_aliases", f"""
+WITH a AS ({LONG_WORDS}), h AS (SELECT doc_id, alias[1:4] AS canonical, strpos(text, alias) AS pos, length(alias) AS n FROM documents JOIN a ON contains(text, alias)),
+g AS (SELECT doc_id, canonical, count(*) AS c, min(pos) AS pos, max(n) AS n FROM h GROUP BY 1, 2)
+SELECT doc_id AS query_id, canonical FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, pos, n DESC, canonical DESC) = 1""")
+def document_aliases(spark, sf_dir):
+    """Every whole document against all long words of the benchmark, named by their first four letters."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("alias")).distinct()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    return understand.match_alias_table(docs, words.select(F.substring("alias", 1, 4).alias("canonical"), "alias"))

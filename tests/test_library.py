@@ -388,6 +388,26 @@ def test_aliases_agree(spark):
     assert a == {1: "设备管理部", 2: None, 3: "财务部"} and b == {k: v for k, v in a.items() if v}
 
 
+def test_a_hundred_thousand_aliases(spark):
+    """One pass over each text whatever the number of aliases; several passes of aliases give the same."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefg", k=draw.randint(4, 9))) for _ in range(100_000)]
+    aliases = [(f"c{i % 500}", w) for i, w in enumerate(words)] + [("none", ""), ("c0", None), ("c1", words[1])]
+    texts = [(i, "".join(draw.choices("abcdefg ", k=300))) for i in range(60)] + [(60, None), (61, "")]
+    q, a = rows(spark, texts, "query_id int, question string"), rows(spark, aliases, "canonical string, alias string")
+    want = {}
+    for i, text in texts:
+        found = {}
+        for name, w in aliases:
+            if w and w in (text or ""):
+                n, early, longest = found.get(name, (0, 1 << 30, 0))
+                found[name] = (n + 1, min(early, text.index(w)), max(longest, len(w)))
+        if found:
+            want[i] = max(found, key=lambda c: (found[c][0], -found[c][1], found[c][2], c))
+    for part in (2_000_000, 200_000):
+        assert {r.query_id: r.canonical for r in understand.match_alias_table(q, a, part).collect()} == want
+
+
 def test_model_json(spark):
     d = rows(spark, [('noise {"a": 1} tail',), ("[1]",), (None,), ('{"query_scene": "x"}',)], "raw string")
     assert [r.j for r in d.select(understand.extract_json()("raw").alias("j")).collect()][:3] == ['{"a": 1}', None, None]
@@ -476,6 +496,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/alerts")).count() == 7
 
 
+def test_tables_that_streams_keep_up(spark, tmp_path):
+    """Replays and late hits; answers that are replaced, come late, or whose time is over; a run without new rows."""
+    from lodestack.streaming import tables
+
+    def run(name, parts, schema, stream, key):
+        for n, part in enumerate(parts):
+            rows(spark, part, schema).withColumn("at", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            source = spark.readStream.schema(rows(spark, part, schema).withColumn("at", F.timestamp_seconds("t")).drop("t").schema).parquet(str(tmp_path / name / "in"))
+            for _ in range(2 if n == 0 else 1):
+                tables.start_table(stream(source), str(tmp_path / name / "out"), str(tmp_path / name / "state")).awaitTermination()
+        return {r[0]: tuple(r)[1:] for r in tables.read_table(spark, str(tmp_path / name / "out"), key).collect()}
+
+    hits = [[(1, 7, 10_000), (2, 7, 10_100), (1, 7, 10_000)], [(2, 7, 10_100), (3, 8, 12_000), (4, 7, 9_000)], [(5, 8, 30_000)], [(6, 7, 20_000), (7, 7, 27_000)]]
+    got = run("hits", hits, "hit_id long, entry_id long, t long", lambda s: tables.hit_counts(s.withColumnRenamed("at", "hit_at")), "entry_id")
+    assert {k: (n, at.timestamp()) for k, (n, at) in got.items()} == {7: (4, 27_000), 8: (2, 30_000)}  # hit 6 is too late
+    answers = [[("Q a", "old", 10_000, 90_000), ("q  A", "new", 10_500, 90_000), ("q b", "short", 10_000, 60)], [("q a", "late", 10_200, 90_000), ("q c", "c", 40_000, 90_000)], [("q c", "c2", 40_001, 90_000)]]
+    got = run("cache", answers, "question string, answer string, t long, ttl_sec long", lambda s: tables.cache_entries(s.withColumnRenamed("at", "written_at").withColumn("confidence", F.lit(0.5))), "key")
+    assert sorted((v[0], v[-1]) for v in got.values()) == [("c2", True), ("new", True), ("short", False)]
+
+
 def test_behaviour_features_equal_a_loop(spark):
     draw = random.Random(9)
     e = [(i, draw.choice([None, 1, 2]), draw.choice([None, *range(0, 2_000_000, 37)]) if i % 9 else 1_000_000 + draw.randint(0, 90_000), draw.choice(["view", "error", "login", None])) for i in range(600)]
