@@ -122,8 +122,8 @@ def faq_seeded(spark, sf_dir):
 @query("pushed_filters", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2') AND doc_id % 40 IN (2, 3, 5)")
 def pushed_filters(spark, sf_dir):
     """The store-side predicate over written chunks: the scan itself tests it."""
-    folder = shared_folder(spark)
-    doc_chunks(spark, sf_dir).withColumn("page", (F.col("doc_id") % 40).cast("int")).write.parquet(folder)
+    folder, paged = shared_folder(spark), doc_chunks(spark, sf_dir).withColumn("page", (F.col("doc_id") % 40).cast("int"))
+    files.write_clustered(paged, folder, ["lang", "source", "page"], rows_per_file=paged.count() // 64 + 1)
     chunks = files.read_chunks(spark, folder)
     wanted = {"lang": ["en", " de "], "source": ["src1", "src2"], "page": ["2", 3, "5.0"], "unpromoted": ["x"]}
     return chunks.filter(filters.pushable_predicate(wanted, ["lang", "source", "page"])).select("doc_id")

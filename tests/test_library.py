@@ -606,6 +606,36 @@ def test_level_search_reads_less_and_ranks_the_same(spark, tmp_path):
         assert folder == "few" or report[1] <= 0.5 * report[0]
 
 
+def test_clustered_files_are_skipped(spark, tmp_path):
+    """A predicate on promoted fields reads under a quarter of the row groups, a point lookup one bloom filter's worth."""
+    import pyarrow.parquet as pq
+
+    n = 20_000
+    chunks = spark.range(n).select(F.col("id").alias("doc_id"), F.xxhash64("id").cast("string").alias("chunk_id"), F.concat(F.lit("l"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5)).alias("lang"), F.concat(F.lit("src"), F.col("id") % 20).alias("source"), (F.col("id") % 40).cast("int").alias("page"), F.lit("child").alias("chunk_level"))
+    files.write_clustered(chunks, str(tmp_path), ["lang", "source"], rows_per_file=500)
+    groups = [pq.ParquetFile(f).metadata.row_group(g) for f in tmp_path.glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    names = [groups[0].column(j).path_in_schema for j in range(groups[0].num_columns)]
+    span = lambda g, c: (g.column(names.index(c)).statistics.min, g.column(names.index(c)).statistics.max)
+    met = [g for g in groups if any(span(g, "lang")[0] <= v <= span(g, "lang")[1] for v in ("l0", "l2")) and any(span(g, "source")[0] <= v <= span(g, "source")[1] for v in ("src1", "src2"))]
+    assert len(groups) >= 40 and len(met) < len(groups) / 4
+
+    def rows_read(df):
+        df.collect()
+        plan, todo = df._jdf.queryExecution().executedPlan(), []
+        todo = [plan]
+        while todo:
+            p = todo.pop()
+            if p.nodeName().startswith("Scan parquet"):
+                return p.metrics().apply("numOutputRows").value()
+            todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.children().apply(i) for i in range(p.children().size())]
+
+    found = files.read_chunks(spark, str(tmp_path)).filter(filters.pushable_predicate({"lang": ["l0", "l2"], "source": ["src1", "src2"]}, ["lang", "source"]))
+    assert found.count() == chunks.filter("lang in ('l0', 'l2') and source in ('src1', 'src2')").count() > 0
+    assert rows_read(found.select("doc_id")) < n / 4
+    one = files.read_chunks(spark, str(tmp_path)).filter(F.col("chunk_id") == chunks.filter("doc_id = 77").first().chunk_id).select("doc_id")
+    assert rows_read(one) < n / 10 and [r.doc_id for r in one.collect()] == [77]
+
+
 def vectors_of(spark, n):
     if n <= 2000:
         return spark.read.parquet(f"/root/testdata/{'sf0.01' if n == 500 else 'sf0.1'}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
