@@ -26,8 +26,9 @@ from lodestack.llm.common import apply_struct
 
 EQUAL, LIKE, RUN = 32, 256, 3
 _WORD_LIMIT = 100_000
-#: Characters of a block of neighbouring documents (in the mean), blocks of a task, and rows of a result batch.
-BLOCK_CHARS, BLOCKS_PER_TASK, OUT_ROWS = 1 << 21, 8, 1024
+#: Characters of a block of neighbouring documents (in the mean, at least), most blocks (in the mean), blocks of a task, and rows
+#: of a result batch.
+BLOCK_CHARS, MOST_BLOCKS, BLOCKS_PER_TASK, OUT_ROWS = 1 << 21, 1 << 16, 8, 1024
 
 
 class _Hashes(dict):
@@ -152,22 +153,24 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", keep: list[Column
     return docs.select(*(keep or [F.col("doc_id")]), fingerprints()(F.col(text)).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """doc_id, text (null: empty) and next_text, the text of the next document by ascending id; the first follows the last.
 
     Null ids come first, rows of one id in the order of a hash of their text. A row begins a block with a probability of its
     length over ``block_chars``, drawn from a hash of its place in that order: blocks hold about as many characters
     whatever the ids are (clustered, far apart, null, repeated), and rows of one id may lie in several. Only copies
     of one row, id and text, stay together. The driver keeps the places of the blocks' first rows, three numbers for each
-    ``block_chars`` characters of text; each row finds its block by binary search. A copy of each first row closes the
-    block before, so that a window inside blocks gives every row its next text.
+    block; blocks grow once a corpus has more than ``most_blocks`` of them, so these numbers stay under some 2 MB whatever
+    the corpus. A block is sorted on disk and streamed, so its size costs no memory. Each row finds its block by binary
+    search. A copy of each first row closes the block before, so that a window inside blocks gives every row its next text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     known = F.col("doc_id").isNotNull().cast("int").alias("known")
     rows = rows.withColumn("place", F.struct(known, F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")))
     drawn = F.pmod(F.xxhash64("place", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
-    begins = drawn < F.length("text") / float(block_chars)
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    begins = drawn < F.length("text") / float(max(block_chars, total / most_blocks))
     ends = rows.agg(F.min("place").alias("first"), F.array_sort(F.collect_set(F.when(begins, F.col("place")))).alias("begins")).first()
     bounds = [tuple(b) for b in ends["begins"]]
     place = "struct<known:int,id:bigint,hash:bigint>"
