@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import blockmax, decide, fuse, index, search, understand
+from lodestack.operators import blockmax, chunk, decide, fuse, index, search, trainsets, understand
 from lodestack.plans.queries import _STORED, BM25, FOLD, TOKENS, TWO, bench_questions, bm25_hits, doc_chunks, doc_index, faq_table, query, shared_folder, table, two_lists
 from lodestack.streaming import audit, tables
 
@@ -245,3 +245,94 @@ def document_aliases(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("alias")).distinct()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     return understand.match_alias_table(docs, words.select(F.substring("alias", 1, 4).alias("canonical"), "alias"))
+
+
+# Rules of chunks, training rows and requests, each met and not met.
+
+SECTIONS = ("适用范围", "岗位职责", "处置流程", "例外", "附录一", "术语", "Notes", "")
+SAID = ("plain", "联系人 Li", "version: 2", "存在隐患", "现行 电话", "")
+
+
+@query("chunk_rules", f"""
+WITH c AS (SELECT doc_id, {list(SECTIONS)}[doc_id % 8 + 1] AS section, {list(SAID)}[doc_id % 6 + 1] || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '- step' || chr(10) ELSE '' END || coalesce(text, '') AS content, CASE WHEN doc_id % 9 = 0 THEN '风险 / ' || lang ELSE lang END AS path, CASE WHEN doc_id % 10 = 0 THEN '邮箱' ELSE '' END AS title FROM documents),
+n AS (SELECT *, section || chr(10) || left(content, 200) AS head, path || chr(10) || title || chr(10) || left(content, 500) || chr(10) || 'version: effective_date: expiry_date: status: version_status:' AS near FROM c)
+SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(head, '{p}') THEN '{v}'" for p, v in chunk.SECTION_RULES)} ELSE 'general' END AS section_type, contains(content, '|') OR contains(content, chr(9)) AS contains_table,
+  regexp_matches(content, '{chunk.STEPS}') AS contains_steps, regexp_matches(near, '{chunk.CONTACT}') AS contains_contact, regexp_matches(near, '{chunk.RISK_SIGNAL}') AS contains_risk_signal FROM n""")
+def chunk_rules(spark, sf_dir):
+    """Documents under sections of all six kinds and others, with and without each sign."""
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", choose(i % 8, *SECTIONS).alias("section"), F.concat(choose(i % 6, *SAID), F.lit("\n"), F.when(i % 5 == 0, "- step\n").otherwise(""), F.coalesce("text", F.lit(""))).alias("content"),
+        F.when(i % 9 == 0, F.concat(F.lit("风险 / "), "lang")).otherwise(F.col("lang")).alias("section_path"), F.when(i % 10 == 0, "邮箱").otherwise("").alias("title"),
+    )
+    return chunk.chunk_flags(rows).select("doc_id", "section_type", "contains_table", "contains_steps", "contains_contact", "contains_risk_signal")
+
+
+FLAWED = """
+t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'q  ' || doc_id % 50 END AS query, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang || ' ' || doc_id % 13 END AS positive, CASE WHEN doc_id % 10 <> 0 THEN source END AS negative,
+  CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 6 = 0 THEN [lang || ' ' || doc_id % 13, ' ', lang] ELSE [lang || ' n', NULL] END END AS negatives, lang FROM documents),
+r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'q ' || doc_id % 50 END AS q, coalesce(positive, '') AS p, list_filter([negative] || coalesce(negatives, []), lambda x: trim(coalesce(x, '')) <> '') AS n, lang FROM t),
+v AS (SELECT *, q <> '' AND p <> '' AND len(n) > 0 AS ok FROM r)
+"""
+
+
+def flawed_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triplets of which some lack a question, a positive or all negatives, and some have their positive among these."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    positive = F.concat_ws(" ", "lang", (i % 13).cast("string"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(i % 7 == 0, " ").otherwise(F.concat(F.lit("q  "), i % 50)).alias("query"), F.when(i % 11 != 0, positive).alias("positive"), F.when(i % 10 != 0, F.col("source")).alias("negative"),
+        F.when(i % 5 != 0, F.when(i % 6 == 0, F.array(positive, F.lit(" "), "lang")).otherwise(F.array(F.concat("lang", F.lit(" n")), none))).alias("negatives"),
+        F.when(i % 3 == 0, F.col("lang")).alias("scenario"), F.when(i % 4 == 0, F.array("lang")).alias("tags"), F.when(i % 2 == 0, "report").otherwise(" ").alias("source"),
+    )
+
+
+@query("flawed_report", f"""
+WITH {FLAWED} SELECT count(*) AS total_rows, count(*) FILTER (ok) AS valid_rows, count(*) FILTER (NOT ok) AS invalid_rows, count(*) FILTER (ok AND list_contains(n, p)) AS positive_is_negative_rows,
+  count(*) FILTER (ok) - count(DISTINCT q || chr(1) || p || chr(1) || array_to_string(list_sort(list_distinct(n)), chr(2))) FILTER (ok) AS duplicate_triplet_rows, count(DISTINCT q) FILTER (ok) AS unique_queries,
+  count(*) FILTER (ok AND doc_id % 3 = 0) AS rows_with_scenario, count(*) FILTER (ok AND doc_id % 4 = 0) AS rows_with_tags, count(*) FILTER (ok AND doc_id % 2 = 0) AS rows_with_source FROM v""")
+def flawed_report(spark, sf_dir):
+    return trainsets.triplet_report(flawed_triplets(spark, sf_dir)).drop("avg_query_chars", "avg_positive_chars", "avg_negative_chars")
+
+
+@query("rejected_rows", f"WITH {FLAWED} SELECT doc_id, 'rejected' AS verdict, NULL::BIGINT AS label, NULL::VARCHAR AS text FROM v WHERE NOT ok UNION ALL SELECT NULL, 'pair', 1, p FROM v WHERE ok UNION ALL SELECT NULL, 'pair', 0, x FROM (SELECT unnest(n) AS x FROM v WHERE ok)")
+def rejected_rows(spark, sf_dir):
+    """Both sides of the pairwise expansion: the pairs, and the rows that make none."""
+    pairs, rejected = trainsets.pairwise(flawed_triplets(spark, sf_dir))
+    label = lambda v, kind: F.lit(v).cast(kind)
+    bad = rejected.select("doc_id", F.lit("rejected").alias("verdict"), label(None, "long").alias("label"), label(None, "string").alias("text"))
+    return bad.union(pairs.select(label(None, "long").alias("doc_id"), F.lit("pair").alias("verdict"), F.col("label").cast("long").alias("label"), "text"))
+
+
+@query("grounded_shares", """
+WITH m AS (SELECT doc_id, lang, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 3 = 0 THEN '已检索证据 ' || lang ELSE 'asked ' || doc_id % 20 END AS u, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE 'said ' || doc_id % 6 END AS a FROM documents),
+v AS (SELECT *, u <> '' AND a <> ' ' AS ok FROM m)
+SELECT count(*) AS total_rows, count(*) FILTER (ok) AS valid_rows, count(*) FILTER (ok) - count(DISTINCT u || chr(1) || a) FILTER (ok) AS duplicate_rows, round(count(*) FILTER (ok AND contains(u, '已检索证据'))::DOUBLE / nullif(count(*) FILTER (ok), 0), 4) AS grounded_ratio,
+  round(count(*) FILTER (ok AND doc_id % 5 = 0)::DOUBLE / nullif(count(*) FILTER (ok), 0), 4) AS refusal_ratio FROM v""")
+def grounded_shares(spark, sf_dir):
+    """Chat rows of which some have no question, no answer or no evidence."""
+    i = F.col("doc_id")
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    user = F.when(i % 9 == 0, "").when(i % 3 == 0, F.concat(F.lit("已检索证据  "), "lang")).otherwise(F.concat(F.lit("asked "), i % 20))
+    rows = table(spark, sf_dir, "documents").select(F.array(said("system", F.lit("s")), said("user", user), said("assistant", F.when(i % 8 == 0, " ").otherwise(F.concat(F.lit("said "), i % 6)))).alias("messages"), (i % 5 == 0).alias("refusal"), F.lit(None).cast("boolean").alias("conflict_detected"))
+    return trainsets.sft_report(rows).select("total_rows", "valid_rows", "duplicate_rows", "grounded_ratio", "refusal_ratio")
+
+
+@query("page_window_chunks", r"""
+WITH d AS (SELECT doc_id, left(doc_id::VARCHAR, 8) AS s, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+p AS (SELECT doc_id, s, unnest([2, 5]) AS page, '<!-- page:' || unnest([2, 5]) || ' -->' || chr(10) || unnest([t, t || ' again']) AS b FROM d),
+w AS (SELECT doc_id, s, page, unnest(CASE WHEN length(b) <= 1800 THEN [b] ELSE list_transform(range(ceil((length(b) - 180) / 1620.0)::BIGINT), lambda i: b[i * 1620 + 1 : i * 1620 + 1800]) END) AS raw, generate_subscripts(CASE WHEN length(b) <= 1800 THEN [b] ELSE range(ceil((length(b) - 180) / 1620.0)::BIGINT)::VARCHAR[] END, 1) AS n FROM p),
+k AS (SELECT doc_id, s, page, n, trim(CASE WHEN n = 1 THEN regexp_replace(raw, '^<!-- page:\d -->\s', '') ELSE raw END) AS c, trim(raw) AS r FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) - 1 AS i FROM k WHERE r <> '' AND length(r) >= 80),
+x AS (SELECT *, 'p-' || s || '-' || i || '-' || left(sha256('p:' || doc_id || ':' || i || ':' || left(c, 200)), 16) AS pid FROM o),
+y AS (SELECT doc_id, s, page, i, pid, c, list_filter(list_transform(CASE WHEN length(c) <= 900 THEN [c] ELSE list_transform(range(ceil((length(c) - 120) / 780.0)::BIGINT), lambda j: c[j * 780 + 1 : j * 780 + 900]) END, lambda z: trim(z)), lambda z: z <> '' AND NOT (length(z) < 80 AND length(c) > 80)) AS ks FROM x),
+z AS (SELECT doc_id, s, page, i, pid, unnest(CASE WHEN len(ks) > 0 THEN ks ELSE [c] END) AS c, generate_subscripts(CASE WHEN len(ks) > 0 THEN ks ELSE [c] END, 1) AS m FROM y),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, m) - 1 AS j FROM z)
+SELECT doc_id::VARCHAR AS doc_id, pid AS chunk_id, 'parent' AS chunk_level, page, c AS content FROM x UNION ALL
+SELECT doc_id::VARCHAR, 'c-' || s || '-' || j || '-' || left(sha256('c:' || doc_id || ':' || j || ':' || left(pid || ':' || c, 200)), 16), 'child', page, c FROM q""")
+def page_window_chunks(spark, sf_dir):
+    """Whole documents as two marked pages each: many windows of a page, which all carry its number."""
+    i, t = F.col("doc_id").cast("string"), F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    body = F.concat(F.lit("<!-- page:2 -->\n"), t, F.lit("\n<!-- page:5 -->\n"), t, F.lit(" again"))
+    docs = table(spark, sf_dir, "documents").select(i.alias("doc_id"), F.lit("s.pdf").alias("source"), F.lit("t").alias("title"), body.alias("content"), F.lit("pdf").alias("doc_type"), F.lit("").alias("mime_type"))
+    return chunk.build_chunks(docs).select("doc_id", "chunk_id", "chunk_level", "page", "content")
