@@ -82,13 +82,21 @@ def format_contexts(hits: DataFrame) -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n").alias("context_text"))
 
 
+#: Heads of the prompt's parts.
+QUESTION_HEAD, NOTICE_HEAD, CONTEXT_HEAD = "Question:\n", "Notice:\n", "Contexts:\n"
+
+
 def build_prompt(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    notice = F.when(F.coalesce("conflict_summary", F.lit("")) != "", F.concat(F.lit("治理提示：\n"), F.col("conflict_summary"), F.lit("\n\n"))).otherwise("")
+    notice = F.when(F.coalesce("conflict_summary", F.lit("")) != "", F.concat(F.lit(NOTICE_HEAD), F.col("conflict_summary"), F.lit("\n\n"))).otherwise("")
     joined = queries.join(format_contexts(hits), "query_id", "left")
-    text = F.concat(F.lit("问题：\n"), F.col("question"), F.lit("\n\n"), notice, F.lit("上下文：\n"), F.coalesce("context_text", F.lit("")))
+    text = F.concat(F.lit(QUESTION_HEAD), F.col("question"), F.lit("\n\n"), notice, F.lit(CONTEXT_HEAD), F.coalesce("context_text", F.lit("")))
     return joined.withColumn("prompt", text).drop("context_text")
 
 
+#: What an extractive answer says around its sentences.
+LOCAL = {"lead": "The texts open to you say", "notice": ", with this notice: ", "why": "First sentences of the best contexts.", "nothing": "No context may be used here."}
+
+
 def local_answer(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Per question the extractive answer in the model's output layout, from its two first contexts."""
     sentence = first_sentence(F.col("content"))
@@ -97,11 +105,12 @@ def local_answer(queries: DataFrame, hits: DataFrame) -> DataFrame:
     two = hits.withColumn("_n", nth).filter("_n <= 2").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_n", part.alias("p"), "chunk_id"))).alias("cs"))
     q = queries.join(two, "query_id", "left")
     summary = F.coalesce("conflict_summary", F.lit("")) if "conflict_summary" in queries.columns else F.lit("")
-    preface = F.concat(F.lit("根据当前已授权的本地受限上下文"), F.when(summary != "", F.concat(F.lit("，并结合治理提示“"), truncate_text(fold_ws(summary), 60), F.lit("”"))).otherwise(""))
-    answer = F.concat(preface, F.lit("，"), F.array_join(F.transform("cs", lambda c: c["p"]), "；"))
+    preface = F.concat(F.lit(LOCAL["lead"]), F.when(summary != "", F.concat(F.lit(LOCAL["notice"]), truncate_text(fold_ws(summary), 60))).otherwise(""))
+    answer = F.concat(preface, F.lit(": "), F.array_join(F.transform("cs", lambda c: c["p"]), "; "))
     ids = F.concat(F.lit("["), F.array_join(F.transform("cs", lambda c: F.concat(F.lit('{"chunk_id": "'), c["chunk_id"], F.lit('"}'))), ", "), F.lit("]"))
-    full = F.concat(F.lit("ANSWER: "), answer, F.lit(f"\nCONFIDENCE: {LOCAL_CONFIDENCE}\nREASONING_SUMMARY: 使用本地受限模式，根据已授权上下文直接生成答案。\nCITATIONS_JSON: "), ids)
-    none = "ANSWER: 当前没有可用于本地受限模式的上下文。\nCONFIDENCE: 0.0\nREASONING_SUMMARY: 本地受限模式没有可用证据。\nCITATIONS_JSON: []"
+    layout = lambda said, confidence, why: [F.lit("ANSWER: "), said, F.lit(f"\nCONFIDENCE: {confidence}\nREASONING_SUMMARY: {why}\nCITATIONS_JSON: ")]
+    full = F.concat(*layout(answer, LOCAL_CONFIDENCE, LOCAL["why"]), ids)
+    none = F.concat(*layout(F.lit(LOCAL["nothing"]), 0.0, LOCAL["nothing"]), F.lit("[]"))
     return q.withColumn("raw", F.when(F.col("cs").isNull(), none).otherwise(full)).drop("cs")
 
 
@@ -124,7 +133,11 @@ def parse_answers(raw: DataFrame, hits: DataFrame) -> DataFrame:
     return out.select("query_id", answer.alias("answer"), confidence.alias("confidence"), strip(found(r"REASONING_SUMMARY:\s*(.+)")).alias("reasoning_summary"), cited.alias("cited_chunk_ids"))
 
 
-def selection_reason(hits: DataFrame) -> Column:
+#: What a citation says of its choice.
+REASONS = {"routes": "found by ", "boosts": "metadata agrees on ", "governance": "moved up by its standing", "section": "stands in "}
+
+
+def selection_reason(hits: DataFrame, say: dict[str, str] = REASONS) -> Column:
     """One sentence from matched_routes, metadata_boost_reasons, governance_bonus and section_path; null if none says anything."""
     have = set(hits.columns)
     array = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in have else F.array().cast("array<string>")
@@ -133,13 +146,13 @@ def selection_reason(hits: DataFrame) -> Column:
     bonus = F.coalesce(F.col("governance_bonus") > 0, F.lit(False)) if "governance_bonus" in have else F.lit(False)
     parts = F.array_compact(
         F.array(
-            F.when(F.size(routes) > 0, F.concat(F.lit("命中了 "), F.array_join(routes, " / "), F.lit(" 检索路线"))),
-            F.when(F.size(boosts) > 0, F.concat(F.lit("metadata 匹配增强："), F.array_join(F.slice(boosts, 1, 3), "、"))),
-            F.when(bonus, "治理排序提升"),
-            F.when(path != "", F.concat(F.lit("定位章节："), path)),
+            F.when(F.size(routes) > 0, F.concat(F.lit(say["routes"]), F.array_join(routes, ", "))),
+            F.when(F.size(boosts) > 0, F.concat(F.lit(say["boosts"]), F.array_join(F.slice(boosts, 1, 3), ", "))),
+            F.when(bonus, say["governance"]),
+            F.when(path != "", F.concat(F.lit(say["section"]), path)),
         )
     )
-    return F.when(F.size(parts) > 0, F.array_join(parts, "；"))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "; "))
 
 
 CITATION_FIELDS = (

@@ -89,17 +89,17 @@ def detect_conflicts(hits: DataFrame, questions: DataFrame, top: int = CONFLICT_
     """
     h = hits.filter(F.col("rank") <= max(2, top)).withColumn("topic", topic_key(F.col("title"), F.col("source"), F.col("doc_id")))
     text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    fields = {"version": "版本", "effective_date": "生效日期", "authority_level": "权威级别"}
+    fields = {"version": "version", "effective_date": "from", "authority_level": "standing"}
     seen = [F.array_sort(F.collect_list(F.when(text(c).isNotNull(), F.struct("rank", text(c).alias("v"))))).alias(f"_{c}") for c in fields]
     shown = F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("title", "source", "doc_id")])
     first = [F.min_by(F.coalesce(text(c), F.lit("")), "rank").alias(f"p_{c}") for c in fields]
     g = h.groupBy("query_id", "topic").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"), F.min_by("chunk_id", "rank").alias("preferred_chunk_id"), F.min_by(shown, "rank").alias("shown"), *seen, *first)
     distinct = {c: F.array_distinct(F.transform(f"_{c}", lambda s: s["v"])) for c in fields}
-    says = {"version": "版本不一致（", "effective_date": "生效日期不一致（", "authority_level": "权威级别不同（"}
-    reasons = F.array_compact(F.array(*[F.when(F.size(d) > 1, F.concat(F.lit(says[c]), F.array_join(d, ", "), F.lit("）"))) for c, d in distinct.items()]))
+    says = {"version": "versions (", "effective_date": "dates (", "authority_level": "standing ("}
+    reasons = F.array_compact(F.array(*[F.when(F.size(d) > 1, F.concat(F.lit(says[c]), F.array_join(d, ", "), F.lit(")"))) for c, d in distinct.items()]))
     details = F.array_compact(F.array(*[F.when(F.col(f"p_{c}") != "", F.concat(F.lit(f"{label} "), F.col(f"p_{c}"))) for c, label in fields.items()]))
-    described = F.when(F.size(details) > 0, F.concat(F.col("shown"), F.lit("（"), F.array_join(details, "，"), F.lit("）"))).otherwise(F.col("shown"))
-    summary = F.concat(F.lit("命中多份同主题证据，"), F.array_join(reasons, "；"), F.lit("；当前已优先采用 "), described, F.lit("。"))
+    described = F.when(F.size(details) > 0, F.concat(F.col("shown"), F.lit(" ("), F.array_join(details, ", "), F.lit(")"))).otherwise(F.col("shown"))
+    summary = F.concat(F.lit("Texts on this topic differ in "), F.array_join(reasons, "; "), F.lit(". Used first: "), described, F.lit("."))
     bad = g.filter((F.col("n") >= 2) & (F.size(reasons) > 0)).select("query_id", F.struct("first_rank", F.col("topic").alias("conflict_topic"), "preferred_chunk_id", summary.alias("conflict_summary")).alias("c"))
     found = bad.groupBy("query_id").agg(F.min("c").alias("c")).select("query_id", "c.*").drop("first_rank")
     out = questions.select("query_id").join(found, "query_id", "left").withColumn("conflict_detected", F.col("conflict_topic").isNotNull())

@@ -12,6 +12,9 @@ from lodestack.functions.text import fold_ws
 REFUSED = "这条问题没有可用的依据，因此不作回答。"
 
 
+#: Heads of a training row's parts; rows that hold the first one count as grounded.
+EVIDENCE_HEAD, TEXT_MARK, NOTICE_MARK, QUESTION_MARK = "Evidence found:", "[text ", "Note: ", "Asked: "
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -102,9 +105,9 @@ def build_sft(report: DataFrame, dataset: DataFrame, system_prompt: str, include
         contexts = F.when(F.size(contexts) > 0, contexts).otherwise(folded(F.col("ref_contexts")))
     refused = F.when(text("refusal_reason") != "", F.concat(F.lit(f"{REFUSED} ("), text("refusal_reason"), F.lit(")"))).otherwise(REFUSED)
     answer = F.when(text("answer") != "", text("answer")).when(text("ref_ground_truth") != "", text("ref_ground_truth")).when(refusal, refused).otherwise("")
-    lines = F.concat(F.array(F.lit("已检索证据：")), F.transform(contexts, lambda t, i: F.concat(F.lit("[文档"), (i + 1).cast("string"), F.lit("] "), t)), F.array(F.lit("")))
-    notice = F.when(conflict & (text("conflict_summary") != ""), F.array(F.concat(F.lit("治理提示："), F.col("conflict_summary") if "conflict_summary" in have else F.lit("")), F.lit(""))).otherwise(_none())
-    user = F.array_join(F.concat(F.when(F.size(contexts) > 0, lines).otherwise(_none()), notice, F.array(F.concat(F.lit("用户问题："), text("question")))), "\n")
+    lines = F.concat(F.array(F.lit(EVIDENCE_HEAD)), F.transform(contexts, lambda t, i: F.concat(F.lit(TEXT_MARK), (i + 1).cast("string"), F.lit("] "), t)), F.array(F.lit("")))
+    notice = F.when(conflict & (text("conflict_summary") != ""), F.array(F.concat(F.lit(NOTICE_MARK), F.col("conflict_summary") if "conflict_summary" in have else F.lit("")), F.lit(""))).otherwise(_none())
+    user = F.array_join(F.concat(F.when(F.size(contexts) > 0, lines).otherwise(_none()), notice, F.array(F.concat(F.lit(QUESTION_MARK), text("question")))), "\n")
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     kept = rows.filter((text("question") != "") & (answer != ""))
     if not include_refusal:
@@ -173,7 +176,7 @@ def sft_report(sft: DataFrame) -> DataFrame:
     share = lambda t: F.round(F.coalesce(F.count_if(F.col("ok") & t) / F.nullif(valid, F.lit(0)), F.lit(0.0)), 4)
     mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("ok"), F.length(c))), F.lit(0.0)), 2)
     return r.agg(
-        F.count("*").alias("total_rows"), valid.alias("valid_rows"), (valid - F.countDistinct(F.when(F.col("ok"), F.struct("_u", "_a")))).alias("duplicate_rows"), share(F.col("_u").contains("已检索证据")).alias("grounded_ratio"),
+        F.count("*").alias("total_rows"), valid.alias("valid_rows"), (valid - F.countDistinct(F.when(F.col("ok"), F.struct("_u", "_a")))).alias("duplicate_rows"), share(F.col("_u").contains(EVIDENCE_HEAD)).alias("grounded_ratio"),
         share(flag("refusal")).alias("refusal_ratio"), share(flag("conflict_detected")).alias("conflict_ratio"), mean("_u").alias("avg_user_chars"), mean("_a").alias("avg_assistant_chars"),
     )
 

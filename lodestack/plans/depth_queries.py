@@ -305,15 +305,15 @@ def rejected_rows(spark, sf_dir):
 
 
 @query("grounded_shares", """
-WITH m AS (SELECT doc_id, lang, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 3 = 0 THEN '已检索证据 ' || lang ELSE 'asked ' || doc_id % 20 END AS u, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE 'said ' || doc_id % 6 END AS a FROM documents),
+WITH m AS (SELECT doc_id, lang, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'Evidence found: ' || lang ELSE 'asked ' || doc_id % 20 END AS u, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE 'said ' || doc_id % 6 END AS a FROM documents),
 v AS (SELECT *, u <> '' AND a <> ' ' AS ok FROM m)
-SELECT count(*) AS total_rows, count(*) FILTER (ok) AS valid_rows, count(*) FILTER (ok) - count(DISTINCT u || chr(1) || a) FILTER (ok) AS duplicate_rows, round(count(*) FILTER (ok AND contains(u, '已检索证据'))::DOUBLE / nullif(count(*) FILTER (ok), 0), 4) AS grounded_ratio,
+SELECT count(*) AS total_rows, count(*) FILTER (ok) AS valid_rows, count(*) FILTER (ok) - count(DISTINCT u || chr(1) || a) FILTER (ok) AS duplicate_rows, round(count(*) FILTER (ok AND contains(u, 'Evidence found:'))::DOUBLE / nullif(count(*) FILTER (ok), 0), 4) AS grounded_ratio,
   round(count(*) FILTER (ok AND doc_id % 5 = 0)::DOUBLE / nullif(count(*) FILTER (ok), 0), 4) AS refusal_ratio FROM v""")
 def grounded_shares(spark, sf_dir):
     """Chat rows of which some have no question, no answer or no evidence."""
     i = F.col("doc_id")
     said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    user = F.when(i % 9 == 0, "").when(i % 3 == 0, F.concat(F.lit("已检索证据  "), "lang")).otherwise(F.concat(F.lit("asked "), i % 20))
+    user = F.when(i % 9 == 0, "").when(i % 3 == 0, F.concat(F.lit("Evidence found:  "), "lang")).otherwise(F.concat(F.lit("asked "), i % 20))
     rows = table(spark, sf_dir, "documents").select(F.array(said("system", F.lit("s")), said("user", user), said("assistant", F.when(i % 8 == 0, " ").otherwise(F.concat(F.lit("said "), i % 6)))).alias("messages"), (i % 5 == 0).alias("refusal"), F.lit(None).cast("boolean").alias("conflict_detected"))
     return trainsets.sft_report(rows).select("total_rows", "valid_rows", "duplicate_rows", "grounded_ratio", "refusal_ratio")
 

@@ -598,7 +598,7 @@ def local_answers(spark, sf_dir):
 
 @query("citations", f"""
 WITH {GOV} SELECT query_id, rank, chunk_id, title, {LEVEL} AS data_classification, round(score, 4) AS retrieval_score, round(score + bonus, 6) AS governance_rank_score, NULL::VARCHAR AS owner_department,
-  CASE WHEN chunk_id % 2 = 0 THEN '命中了 bm25 / title 检索路线；' ELSE '' END || CASE WHEN round(bonus, 6) > 0 THEN '治理排序提升；' ELSE '' END || '定位章节：part ' || (chunk_id % 2) AS selection_reason FROM gov""")
+  CASE WHEN chunk_id % 2 = 0 THEN 'found by bm25, title; ' ELSE '' END || CASE WHEN round(bonus, 6) > 0 THEN 'moved up by its standing; ' ELSE '' END || 'stands in part ' || (chunk_id % 2) AS selection_reason FROM gov""")
 def citations(spark, sf_dir):
     """Every hit cited twice, each chunk kept once."""
     routes = F.when(F.col("chunk_id") % 2 == 0, F.array(F.lit("bm25"), F.lit("title")))
@@ -611,7 +611,7 @@ def citations(spark, sf_dir):
 @query("prompts", f"""
 WITH RECURSIVE {BM25}, {PACKED.format(doc='doc_id', sec="'part ' || (doc_id % 2)", most=3200)},
 b AS (SELECT query_id, string_agg('[CHUNK_ID:' || chunk_id || '] title=topic ' || (chunk_id % 5) || ' source=' || source || ' page= section=' || s || chr(10) || text || chr(10), chr(10) || chr(10) ORDER BY rank) AS c FROM packed JOIN documents ON doc_id = chunk_id GROUP BY query_id)
-SELECT q.query_id, '问题：' || chr(10) || question || chr(10) || chr(10) || CASE WHEN q.query_id % 2 = 1 THEN '治理提示：' || chr(10) || 'note ' || q.query_id || chr(10) || chr(10) ELSE '' END || '上下文：' || chr(10) || coalesce(c, '') AS prompt FROM q LEFT JOIN b USING (query_id)""")
+SELECT q.query_id, 'Question:' || chr(10) || question || chr(10) || chr(10) || CASE WHEN q.query_id % 2 = 1 THEN 'Notice:' || chr(10) || 'note ' || q.query_id || chr(10) || chr(10) ELSE '' END || 'Contexts:' || chr(10) || coalesce(c, '') AS prompt FROM q LEFT JOIN b USING (query_id)""")
 def prompts(spark, sf_dir):
     packed = context.pack_contexts(rich_hits(spark, sf_dir))
     q = bench_questions(spark, sf_dir).withColumn("conflict_summary", F.when(F.col("query_id") % 2 == 1, F.concat(F.lit("note "), F.col("query_id"))).otherwise(""))
@@ -943,7 +943,7 @@ SFT = f"""
 ctx AS (SELECT query_id AS i, list(text ORDER BY rank) AS cs FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY query_id),
 s0 AS (SELECT item_id AS i, {FOLD.format('question')} AS question, {FOLD.format('text')} AS truth, list_filter(list_transform(coalesce(cs, []), lambda t: {FOLD.format('t')}), lambda t: t <> '') AS cs FROM benchmark JOIN q ON q.query_id = item_id LEFT JOIN ctx ON ctx.i = item_id),
 s1 AS (SELECT s0.* EXCLUDE (cs), CASE WHEN len(cs) = 0 THEN [truth] ELSE (SELECT list(c ORDER BY n) FROM (SELECT c, min(n) AS n FROM (SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS n) GROUP BY c)) END AS cs FROM s0),
-sft AS (SELECT i, question, CASE WHEN i % 4 = 1 THEN 'answer ' || i ELSE truth END AS answer, '已检索证据：' || chr(10) || array_to_string(list_transform(cs, lambda t, n: '[文档' || n || '] ' || t), chr(10)) || chr(10) || chr(10) || CASE WHEN i % 5 = 0 THEN '治理提示：two  versions of ' || i || chr(10) || chr(10) ELSE '' END || '用户问题：' || question AS said FROM s1)
+sft AS (SELECT i, question, CASE WHEN i % 4 = 1 THEN 'answer ' || i ELSE truth END AS answer, 'Evidence found:' || chr(10) || array_to_string(list_transform(cs, lambda t, n: '[text ' || n || '] ' || t), chr(10)) || chr(10) || chr(10) || CASE WHEN i % 5 = 0 THEN 'Note: two  versions of ' || i || chr(10) || chr(10) ELSE '' END || 'Asked: ' || question AS said FROM s1)
 """
 
 

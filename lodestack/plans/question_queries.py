@@ -336,7 +336,7 @@ def rolling_summaries(spark, sf_dir):
 @query("budget_prompts", f"""
 WITH {BM25}, {TURNS}, {EVIDENCE}, {MEMORY}, said AS (SELECT conv_id, string_agg('[' || upper(role) || '] ' || f, chr(10) ORDER BY turn) FILTER (selected) AS ls, count(*) FILTER (NOT selected) AS dropped FROM turns GROUP BY conv_id),
 shown AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY n) AS ev FROM evidence GROUP BY query_id),
-b AS (SELECT q.query_id, dropped, ev, 'SYSTEM_RULES:' || chr(10) || '- 只能基于证据回答。' || chr(10) || '- 证据不足时必须拒答。' || chr(10) || '- 每个事实结论都要可追溯。' || chr(10) AS rules, 'CURRENT_TASK:' || chr(10) || '- question: ' || {FOLD.format('question')} || chr(10) || '- resolved_query: ' || chr(10) || '- answer_goal: 给出基于证据的可引用回答。' || chr(10) AS task,
+b AS (SELECT q.query_id, dropped, ev, 'SYSTEM_RULES:' || chr(10) || '- Use nothing but the evidence below.' || chr(10) || '- If it does not settle the question, decline.' || chr(10) || '- Give the chunk behind each statement.' || chr(10) AS rules, 'CURRENT_TASK:' || chr(10) || '- question: ' || {FOLD.format('question')} || chr(10) || '- resolved_query: ' || chr(10) || '- answer_goal: An answer whose statements can be looked up.' || chr(10) AS task,
   summary || chr(10) AS mem, 'RECENT_RELEVANT_TURNS:' || chr(10) || nullif(ls, '') || chr(10) AS rec, 'RETRIEVED_EVIDENCE:' || chr(10) || chr(10) || nullif(ev, '') || chr(10) AS evi, CASE WHEN q.query_id % 2 = 0 THEN 'GOVERNANCE_NOTICE:' || chr(10) || 'n' || chr(10) END AS gov, 'OUTPUT_SCHEMA:' || chr(10) || 'ANSWER: ...' || chr(10) || 'CONFIDENCE: ...' || chr(10) || 'REASONING_SUMMARY: ...' || chr(10) || 'CITATIONS_JSON: [...]' || chr(10) AS sch
   FROM q LEFT JOIN said ON said.conv_id = q.query_id LEFT JOIN shown ON shown.query_id = q.query_id LEFT JOIN memory ON memory.conv_id = q.query_id), p AS (SELECT *, concat_ws(chr(10), rules, task, mem, rec, evi, gov, sch) AS prompt FROM b)
 SELECT query_id, prompt, {_tokens('prompt')}::INTEGER AS total_tokens, {_tokens("coalesce(mem, '')")}::INTEGER AS memory_tokens, {_tokens("coalesce(evi, '')")}::INTEGER AS evidence_tokens, concat_ws(',', CASE WHEN dropped > 0 THEN 'dropped_turns:' || dropped END, CASE WHEN ev IS NULL THEN 'no_evidence' END) AS drop_reasons FROM p""")

@@ -312,7 +312,7 @@ def test_governance_and_conflicts(spark):
     first = ranked.filter("rank = 1").first()
     assert (first.chunk_id, first.semantic_score) == ("new", 0.79)
     c = govern.detect_conflicts(ranked, rows(spark, [(1,), (2,)], "query_id int")).orderBy("query_id").collect()
-    assert c[0].conflict_detected and c[0].preferred_chunk_id == "new" and "版本不一致（2.10, 1.0）" in c[0].conflict_summary and not c[1].conflict_detected
+    assert c[0].conflict_detected and c[0].preferred_chunk_id == "new" and "versions (2.10, 1.0)" in c[0].conflict_summary and not c[1].conflict_detected
 
 
 def test_rerank_limits(spark):
@@ -466,7 +466,7 @@ def test_training_sets(spark):
     rep = trainsets.triplet_report(trainsets.build_triplets(report, dataset)).first()
     assert (rep.total_rows, rep.invalid_rows, rep.duplicate_triplet_rows, rep.unique_queries) == (2, 0, 0, 1)
     sft = {x.question: x for x in trainsets.build_sft(report, dataset, "sys").collect()}
-    assert sft["q one"].messages[2].content == "truth" and "[文档1] neg 1" in sft["q one"].messages[1].content
+    assert sft["q one"].messages[2].content == "truth" and "[text 1] neg 1" in sft["q one"].messages[1].content
     assert trainsets.build_sft(report, dataset, "sys", include_refusal=False).count() == 1
     pairs, bad = trainsets.pairwise(trainsets.build_triplets(report, dataset))
     assert sorted(p.label for p in pairs.collect()) == [0, 0, 1, 1] and bad.count() == 0
