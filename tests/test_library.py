@@ -337,7 +337,7 @@ def test_answers_and_grounding(spark):
     assert got[2].cited_chunk_ids == ["a"] and got[2].confidence == 0.5 and got[3].cited_chunk_ids == []
     local = context.local_answer(rows(spark, [(1, "q"), (9, "q")], "query_id int, question string"), h)
     back = {r.query_id: r for r in context.parse_answers(local.select("query_id", "raw"), h).collect()}
-    assert back[1].cited_chunk_ids == ["a", "b"] and "First one. [CHUNK_ID:a]；Other text [CHUNK_ID:b]" in back[1].answer and back[9].confidence == 0.0
+    assert back[1].cited_chunk_ids == ["a", "b"] and "First one. [CHUNK_ID:a]; Other text [CHUNK_ID:b]" in back[1].answer and back[9].confidence == 0.0
     a = rows(spark, [(1, False, 0.9, "", ["a"], ["a", "b"]), (2, False, 0.9, "", [], ["a"]), (3, False, 0.9, "", ["z"], ["a"]), (4, False, 0.3, "", ["a"], ["a"]), (5, True, 0.0, "access_denied", [], [])], "query_id int, refusal boolean, confidence double, refusal_reason string, cited_chunk_ids array<string>, retrieved_chunk_ids array<string>")
     v = {r.query_id: (r.grounding_ok, r.confidence, r.refusal, r.refusal_reason) for r in decide.validate_grounding(a).collect()}
     assert v == {1: (True, 0.9, False, ""), 2: (False, 0.25, True, "low_confidence"), 3: (False, 0.2, True, "low_confidence"), 4: (False, 0.3, True, "low_confidence"), 5: (True, 0.0, True, "access_denied")}
