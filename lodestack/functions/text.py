@@ -112,15 +112,32 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: Up to so many kept values a search of the list for each value is cheaper than sorting.
+SHORT_LIST = 64
+
+
 def first_of_key(values: Column, key: Callable[[Column], Column], kind: str = "string", limit: int = 1 << 30) -> Column:
     """The first value of each key, in order, ``limit`` at most; values without a key are left out.
 
-    Values are sorted by (key, place), each key's first is kept, and these are put in order again: n log n, not one search of
-    the list for each value. ``kind``, the values' type, must be one that can be ordered.
+    With a small limit the kept keys are searched for each value. Without one, values are sorted by (key, place), each key's
+    first is kept, and these are put in order again, so that long lists cost n log n; ``kind``, the values' type, must then be
+    one that can be ordered.
     """
+    if limit <= SHORT_LIST:
+        start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast(f"array<{kind}>").alias("values"))
+
+        def take(s: Column, v: Column) -> Column:
+            new = ~F.array_contains(s["keys"], key(v)) & (F.size(s["keys"]) < limit)
+            more = F.struct(F.array_append(s["keys"], key(v)).alias("keys"), F.array_append(s["values"], v).alias("values"))
+            return F.when(new, more).otherwise(s)
+
+        return F.aggregate(values, start, take, lambda s: s["values"])
+
     keyed = F.array_sort(F.filter(F.transform(values, lambda v, i: F.struct(key(v).alias("key"), i.alias("at"), v.alias("value"))), lambda e: e["key"].isNotNull()))
-    before = F.concat(F.array(F.lit(None).cast(f"struct<key:string,at:int,value:{kind}>")), keyed)
-    firsts = F.zip_with(keyed, before, lambda e, b: F.when(b.isNull() | (e["key"] != b["key"]), F.struct(e["at"].alias("at"), e["value"].alias("value"))))
+    none = F.array(F.lit(None).cast(f"struct<key:string,at:int,value:{kind}>"))
+    first = lambda e, b: F.when(b.isNull() | (e["key"] != b["key"]), F.struct(e["at"].alias("at"), e["value"].alias("value")))
+    # the lambda's variable holds the sorted list, which would else be made twice
+    firsts = F.flatten(F.transform(F.array(keyed), lambda k: F.zip_with(k, F.concat(none, k), first)))
     kept = F.array_sort(F.filter(firsts, lambda e: e.isNotNull()))
     return F.transform(F.slice(kept, 1, limit), lambda e: e["value"])
 

@@ -196,19 +196,21 @@ def build_chunks(docs: DataFrame) -> DataFrame:
     pieces = pieces.filter(F.col("content") != "").filter(~((F.length("content") < F.col("min_chars")) & (F.col("section") != "")))
     pieces = carry_page(pieces)
     ordered = Window.partitionBy("doc_id").orderBy("section_no", "parent_no")
-    parents = pieces.withColumn("chunk_idx", F.row_number().over(ordered) - 1)
-    parents = parents.withColumn("chunk_id", chunk_id("p", F.col("doc_id"), F.col("chunk_idx"), F.col("content")))
+    parents = pieces.withColumn("parent_idx", F.row_number().over(ordered) - 1)
+    parents = parents.withColumn("parent_chunk_id", chunk_id("p", F.col("doc_id"), F.col("parent_idx"), F.col("content")))
     cut = F.transform(length_pieces(F.col("content"), F.col("child_max"), F.col("child_overlap")), strip)
     long_enough = F.filter(cut, lambda p: (p != "") & ~((F.length(p) < F.col("min_chars")) & (F.length("content") > F.col("min_chars"))))
-    kids = F.when(F.size(long_enough) > 0, long_enough).otherwise(F.array("content"))
-    children = parents.withColumn("parent_chunk_id", F.col("chunk_id")).withColumn("parent_idx", F.col("chunk_idx"))
-    children = children.select("*", F.posexplode(kids).alias("child_no", "_child")).withColumn("content", F.col("_child"))
-    inside = Window.partitionBy("doc_id").orderBy("parent_idx", "child_no")
-    children = children.withColumn("chunk_idx", F.row_number().over(inside) - 1)
-    children = children.withColumn("chunk_id", chunk_id("c", F.col("doc_id"), F.col("chunk_idx"), F.concat_ws(":", "parent_chunk_id", "content")))
-    children = children.drop("_child", "child_no", "parent_idx").withColumn("chunk_level", F.lit("child"))
-    parents = parents.withColumn("parent_chunk_id", F.col("chunk_id")).withColumn("chunk_level", F.lit("parent"))
-    both = parents.unionByName(children).drop("section_no", "parent_no", "by_page", "child_max", "child_overlap", "parent_max", "parent_overlap", "min_chars")
+    # the lambda's variable holds the pieces, which would else be cut twice
+    kids = F.flatten(F.transform(F.array(long_enough), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array("content"))))
+    part = lambda level, content: F.struct(F.lit(level).alias("level"), content.alias("content"))
+    family = F.concat(F.array(part("parent", F.col("content"))), F.transform(kids, lambda k: part("child", k)))
+    # a parent and its children come of one row, so a document is cut once
+    both = parents.select("*", F.posexplode(family).alias("child_no", "_part")).withColumns({"chunk_level": F.col("_part.level"), "content": F.col("_part.content")})
+    inside = Window.partitionBy("doc_id", "chunk_level").orderBy("parent_idx", "child_no")
+    both = both.withColumn("chunk_idx", F.row_number().over(inside) - 1)
+    child_id = chunk_id("c", F.col("doc_id"), F.col("chunk_idx"), F.concat_ws(":", "parent_chunk_id", "content"))
+    both = both.withColumn("chunk_id", F.when(F.col("chunk_level") == "parent", F.col("parent_chunk_id")).otherwise(child_id))
+    both = both.drop("_part", "child_no", "parent_idx", "section_no", "parent_no", "by_page", "child_max", "child_overlap", "parent_max", "parent_overlap", "min_chars")
     path = F.when(F.col("section_path") != "", F.col("section_path")).otherwise(F.col("section"))
     return chunk_flags(both.withColumns({"section_path": path, "section": F.nullif("section", F.lit(""))}))
 
