@@ -212,7 +212,7 @@ def _searcher(k: int, same: bool, low: int, high: int, scale: int):
 
 def _each_tree(anchors: DataFrame, trees: DataFrame, run) -> DataFrame:
     """``run`` over every block of at most about ``ANCHORS`` anchors and every tree. Anchors travel, not trees, as long as one block holds them."""
-    n, blocks = anchors.count(), 1
+    n = anchors.count()
     blocks = max(1, -(-n // ANCHORS))
     names = trees.select("tree").withColumn("_one", F.lit(1))
     every = names.groupBy("_one").agg(F.array_sort(F.collect_list("tree")).alias("_trees"))  # a number for each TREE rows
