@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import apply_struct, fresh, sample_by_class
+from lodestack.llm.common import apply_struct, cut, fresh, sample_by_class
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -67,28 +67,34 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate((mix(two, 2654435761), mix(three, 2246822519))).astype(np.int32)
 
 
-def train(texts: list[str], languages: list[str]) -> LanguageModel:
-    """One naive-Bayes n-gram classifier for each bit, its scale fitted by logistic regression on the same rows."""
-    names = sorted(set(languages))
+def text_counts(texts: list[str]) -> np.ndarray:
+    """n-gram counts of a language: a thousand parts for each text, no n-gram more than fifty of them."""
+    counts = np.zeros(BUCKETS)
+    for text in sorted(texts):
+        g = ngrams(text)
+        counts += np.minimum(np.bincount(g, minlength=BUCKETS) / max(1, len(g)), 0.05) * 1000
+    return counts
+
+
+def bit_weights(names: list[str], counts: np.ndarray) -> LanguageModel:
+    """One naive-Bayes n-gram classifier for each bit, from one row of counts for each of the sorted ``names``."""
     codes = codewords(max(1, len(names)))
     if not names:
         return LanguageModel([], codes, np.zeros((BUCKETS, 1), np.float32), np.ones(1), np.zeros(1))
-    at = {x: i for i, x in enumerate(names)}
-    y = np.array([at[x] for x in languages])
-    counts = np.zeros((len(names), BUCKETS))
-    for text, k in zip(texts, y):
-        g = ngrams(text)
-        counts[k] += np.minimum(np.bincount(g, minlength=BUCKETS) / max(1, len(g)), 0.05) * 1000
     rate = counts + 0.05
     rate /= rate.sum(1, keepdims=True)
     weights = np.zeros((BUCKETS, codes.shape[1]), np.float32)
     for bit in range(codes.shape[1]):
         yes, no = codes[:, bit] > 0, codes[:, bit] < 0
         weights[:, bit] = np.log(rate[yes].mean(0)) - np.log(rate[no].mean(0)) if no.any() else 1.0
-    model = LanguageModel(names, codes, weights, np.ones(codes.shape[1]), np.zeros(codes.shape[1]))
-    raw = np.array([margins(model, t) for t in texts])
-    a, b = np.ones(codes.shape[1]), np.zeros(codes.shape[1])
-    sign = codes[y]
+    return LanguageModel(names, codes, weights, np.ones(codes.shape[1]), np.zeros(codes.shape[1]))
+
+
+def fit_scales(model: LanguageModel, languages: list[str], raw: np.ndarray) -> LanguageModel:
+    """``model`` with each bit's scale and bias fitted by logistic regression on the ``raw`` margins of taught texts."""
+    at = {x: i for i, x in enumerate(model.languages)}
+    sign = model.codes[np.array([at[x] for x in languages])]
+    a, b = np.ones(model.codes.shape[1]), np.zeros(model.codes.shape[1])
     for _ in range(200):  # two numbers a bit, by gradient ascent on the log likelihood
         wrong = sign / (1 + np.exp(np.clip(sign * (raw * a + b), -30, 30)))
         a += 2.0 * (wrong * raw).mean(0)
@@ -97,6 +103,14 @@ def train(texts: list[str], languages: list[str]) -> LanguageModel:
     return model
 
 
+def train(texts: list[str], languages: list[str]) -> LanguageModel:
+    """The model of texts in memory, in the order of (language, text)."""
+    rows = sorted(zip(languages, texts))
+    names = sorted(set(languages))
+    model = bit_weights(names, np.array([text_counts([t for k, t in rows if k == name]) for name in names]))
+    return fit_scales(model, [k for k, _ in rows], np.array([margins(model, t) for _, t in rows])) if rows else model
+
+
 def margins(model: LanguageModel, text: str) -> np.ndarray:
     """Mean log odds of each bit, damped for texts of a few n-grams."""
     g = ngrams(text)
@@ -139,10 +153,27 @@ def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang", per_l
     first ``max_chars`` characters. Rows without text or language teach nothing; without any usable row the model knows no
     language and calls every text ``und``.
     """
+    # The texts stay in the tasks: one row of counts for each language comes to the driver, then one number a bit for each text.
     usable = rows.select(F.substring(F.col(text), 1, max_chars).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and length(text) > 0")
-    got = sample_by_class(usable, "lang", "text", per_language, max_rows).collect()
-    got.sort(key=lambda r: (r["lang"], r["text"]))
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    sample = cut(sample_by_class(usable, "lang", "text", per_language, max_rows).withColumn("text_hash", F.sha2("text", 256)))
+
+    def counted(group: pd.DataFrame) -> pd.DataFrame:  # at most per_language texts of max_chars
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "counts": [text_counts(list(group["text"]))]})
+
+    counts = {r["lang"]: r["counts"] for r in sample.groupBy("lang").applyInPandas(counted, "lang string, counts array<double>").collect()}
+    names = sorted(counts)
+    model = bit_weights(names, np.array([counts[k] for k in names]))
+    if not names:
+        return model
+    known = sample.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def raw_margins(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: margins(known.value, t))
+
+    got = sample.select("lang", "text_hash", raw_margins("text").alias("raw")).collect()
+    got.sort(key=lambda r: (r["lang"], r["text_hash"]))
+    return fit_scales(model, [r["lang"] for r in got], np.array([r["raw"] for r in got]))
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
