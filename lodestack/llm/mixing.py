@@ -7,7 +7,8 @@ sum to chance, so ``p_i`` is ``rest`` tilted by ``size ** -tilt``. Documents who
 what they don't use is spread over the others, so that the expected words are the rest exactly. Documents are ranked by
 their random odds divided by their inclusion odds, ``u / (1 - u) * (1 - p) / p`` (0 for certain ones), and taken in that
 order until the words are reached. What a pass leaves open is filled from the documents further down the order that still
-fit, until none does: a source ends within the words of its smallest document left.
+fit, until none does. Then a source may exchange the taken document for the one left out that brings it nearest to its target,
+once in each of ``swaps`` passes; this moves one document a pass, whatever the number of documents.
 
 No source is sorted as a whole. Ranks fall in ``SLOTS`` slots of known sums; only the documents of the one slot in which the
 target is reached are put in order.
@@ -108,7 +109,54 @@ def _levels(base: DataFrame, goals: DataFrame, tilt: float) -> DataFrame:
     return found.select("source", F.coalesce("c", "all").alias("c"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", factor: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, tilt: float = 0.25) -> DataFrame:
+def _gaps(chosen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source, goal: the words of ``wanted`` that ``chosen`` doesn't give; below 0 where it gives more."""
+    got = chosen.groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "g")
+    gaps = wanted.join(got, _same(F.col("source"), F.col("g")), "left")
+    return gaps.select("source", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal"))
+
+
+def _untaken(pool: DataFrame, chosen: DataFrame) -> DataFrame:
+    have = chosen.select(F.col("doc_id").alias("i"), F.col("source").alias("o"))
+    return pool.join(have, _same(F.col("doc_id"), F.col("i")) & _same(F.col("source"), F.col("o")), "left_anti")
+
+
+def _exchange(pool: DataFrame, chosen: DataFrame, gaps: DataFrame, few: bool) -> DataFrame | None:
+    """``chosen`` after each source's best exchange of one document for another; None if no source comes nearer.
+
+    To close a gap g, a taken document of size s must go for one of size s + g. So the sizes left out are laid between the
+    taken sizes plus g, and each looks at its neighbour on either side. Size 0 stands for no document, so that taking one more
+    or one less is an exchange, too. Only distinct sizes are ordered. Of equal sizes, the document that goes is the last in
+    the sampling order, and the one that comes is the first.
+    """
+    left = _untaken(pool, chosen)
+    nothing = gaps.select("source", F.lit(0).cast("long").alias("size"))
+    room = gaps.select(F.col("source").alias("s"), "goal")
+    taken = chosen.select("source", "size").union(nothing).distinct().join(_small(room, few), _same(F.col("source"), F.col("s")))
+    free = left.select("source", "size").union(nothing).distinct()
+    # a point has the size of a taken document in ``out`` or that of one left out in ``in``
+    points = taken.select("source", (F.col("size") + F.col("goal")).alias("at"), F.col("size").alias("out"), F.lit(None).cast("long").alias("in"), F.abs("goal").alias("now"))
+    points = points.union(free.select("source", F.col("size").cast("double"), F.lit(None).cast("long"), F.col("size"), F.lit(None).cast("double")))
+    line = Window.partitionBy("source").orderBy("at", "out", "in")
+    under = F.last("in", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    over = F.first("in", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    beside = points.withColumn("beside", F.array(under, over)).filter("out is not null")
+    pairs = beside.select("source", "at", "out", "now", F.explode("beside").alias("come")).filter("come is not null")
+    pairs = pairs.withColumn("off", F.abs(F.col("at") - F.col("come"))).filter("off <= now - 1")
+    best = cut(pairs.groupBy("source").agg(F.min(F.struct("off", "out", "come")).alias("b")).select(F.col("source").alias("s"), F.col("b.out").alias("out"), F.col("b.come").alias("come")))
+    if best.isEmpty():
+        return None
+    same = lambda size: _same(F.col("source"), F.col("s")) & (F.col("size") == F.col(size))
+    place = F.struct("key", "doc_id", "size")
+    come = left.join(_small(best, few), same("come")).groupBy("source").agg(F.min(place).alias("d"))
+    come = come.select(F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").alias("size"))
+    keyed = pool.join(_small(best, few), same("out")).select("doc_id", "source", "size", "key")
+    keyed = keyed.join(chosen.select(F.col("doc_id").alias("i"), F.col("source").alias("o")), _same(F.col("doc_id"), F.col("i")) & _same(F.col("source"), F.col("o")), "left_semi")
+    go = keyed.groupBy("source").agg(F.max(place).alias("d")).select(F.col("d.doc_id").alias("doc_id"), "source")
+    return cut(_untaken(chosen, go).union(come))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", factor: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, tilt: float = 0.25, swaps: int = 2) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (copies times size).
 
     Null texts have size 0, and so have empty ones; they are in the mix when all documents of their source are. Rows that
@@ -130,18 +178,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     wanted = goals.filter("rest > 0").select("source", F.col("rest").alias("goal"))
     chosen = cut(_first_words(pool, wanted, few))
     while True:
-        got = chosen.groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "g")
-        gaps = wanted.join(got, _same(F.col("source"), F.col("g")), "left").select("source", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal"))
-        gaps = cut(gaps.filter("goal >= 1"))
+        gaps = cut(_gaps(chosen, wanted).filter("goal >= 1"))
         if gaps.isEmpty():
             break
-        have = chosen.select(F.col("doc_id").alias("i"), F.col("source").alias("o"))
-        left = pool.join(have, _same(F.col("doc_id"), F.col("i")) & _same(F.col("source"), F.col("o")), "left_anti")
-        left = left.join(_small(gaps.select(F.col("source").alias("f"), F.col("goal").alias("room")), few), _same(F.col("source"), F.col("f"))).filter("size <= room")
+        left = _untaken(pool, chosen).join(_small(gaps.select(F.col("source").alias("f"), F.col("goal").alias("room")), few), _same(F.col("source"), F.col("f"))).filter("size <= room")
         more = cut(_first_words(left.select("doc_id", "source", "size", "key"), gaps, few))
         if more.isEmpty():
             break
         chosen = chosen.union(more)
+    for _ in range(swaps):
+        gaps = cut(_gaps(chosen, wanted).filter("abs(goal) >= 1"))
+        nearer = None if gaps.isEmpty() else _exchange(pool, chosen, gaps, few)
+        if nearer is None:
+            break
+        chosen = nearer
 
     extra = chosen.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.lit(1).alias("extra"))
     known = goals.select(F.col("source").alias("s"), "source_size", "target", "whole")

@@ -108,6 +108,15 @@ def test_language_id(spark, odd, none):
     assert langid.reject_unreadable(docs, model).count() == len(rows)
 
 
+def test_counts_made_in_tasks_teach_what_texts_in_memory_teach(spark):
+    rng = np.random.default_rng(1)
+    rows = sorted({(k, " ".join(rng.choice(list(k * 3), 20))) for k in ("abcde", "defgh", "ghijk") for _ in range(40)})
+    there = langid.fit_languages(spark.createDataFrame(rows, "lang string, text string").repartition(5))
+    here = langid.train([t for _, t in rows], [k for k, _ in rows])
+    assert there.languages == here.languages and np.array_equal(there.weights, here.weights)
+    assert np.allclose(there.scale, here.scale) and np.allclose(there.bias, here.bias)
+
+
 def test_languages_of_few_texts_and_many_copies_are_learnt(spark):
     """No language is missed for its copies or for the number of languages, and copies don't pass the bound."""
     few = [(f"l{k}", f"text {k} {j} {'abcdefghijkl'[k] * 9}") for k in range(12) for j in range(3)]
@@ -339,6 +348,28 @@ def test_mixing_meets_targets(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mix(odd).count() == odd.count()
 
 
+def test_an_exchange_is_the_best_one_of_all(spark):
+    """One pass against a search of all pairs, no document and all documents among them; two passes come nearer still."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(3, 90)), f"s{i % 5}") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before, after, twice = ([r for r in mixing.mix(docs, swaps=n).collect()] for n in (0, 1, 2))
+    off = lambda got, s: abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s))
+    moved = 0
+    for s in {r.source for r in before}:
+        own = [r for r in before if r.source == s]
+        gap, least = own[0].target - sum(r.taken for r in own), min(r.copies for r in own)
+        if own[0].target >= 2 * own[0].source_size:
+            continue
+        whole = int(own[0].target // own[0].source_size)
+        taken, free = [[r["size"] for r in own if r.copies == n] + [0] for n in (whole + 1, whole)]
+        best = min(abs(gap + a - b) for a in taken for b in free)
+        assert least >= whole and abs(off(after, s) - (best if abs(gap) >= 1 and best <= abs(gap) - 1 else abs(gap))) < 1e-6
+        assert off(twice, s) <= off(after, s) and off(twice, s) <= max(1.0, 0.005 * own[0].target)
+        moved += off(after, s) < abs(gap)
+    assert moved and all(r.copies <= 2 for r in twice)
+
+
 def test_inclusion_probabilities_expect_the_rest():
     """Certain documents and the level of the others, against a solution by bisection."""
     from pyspark.sql import SparkSession
