@@ -32,7 +32,7 @@ def nfkc():
 def clean_lines(text: Column) -> Column:
     """Unix line ends, blanks and tabs as one blank, lines trimmed, empty lines dropped; null is empty."""
     unix = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    lines = F.transform(F.split(unix, "\n"), lambda line: strip(F.regexp_replace(line, "[ \t]+", " ")))
+    lines = F.transform(F.split(F.regexp_replace(unix, r"[ \t]{2,}+|\t", " "), "\n"), strip)
     return strip(F.array_join(F.filter(lines, lambda line: line != ""), "\n"))
 
 
@@ -49,6 +49,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
+def beyond_ascii(text: Column) -> Column:
+    """Whether any character takes more than a byte. Patterns that need a Han word skip a text without one at next to no cost."""
+    return F.octet_length(text) > F.length(text)
+
+
 def fold_ws(text: Column) -> Column:
     """White-space runs as one blank, trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -75,8 +80,18 @@ def truncate_text(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
+def folded_head(text: Column, limit: int) -> Column:
+    """``truncate_text(fold_ws(text), limit)`` that folds no more of the text than it shows.
+
+    The pattern takes ``limit`` + 2 characters of the folded text. No two of them in a row are blanks, so if the folded text
+    is longer than ``limit``, what is taken still is when its last blank is trimmed.
+    """
+    units = rf"(?U)\A\s*+((?:\S|\s++){{0,{limit + 2}}}+)"
+    return truncate_text(fold_ws(F.regexp_extract(text, units, 1)), limit)
+
+
 def chunk_summary(text: Column) -> Column:
-    return truncate_text(fold_ws(text), CHUNK_SUMMARY_CHARS)
+    return folded_head(text, CHUNK_SUMMARY_CHARS)
 
 
 def split_sentences(text: Column) -> Column:

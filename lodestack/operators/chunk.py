@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import chunk_summary, first_of_key, norm_scalar, strip
+from lodestack.functions.text import beyond_ascii, chunk_summary, first_of_key, norm_scalar, strip
 
 # Sizes by document type (child size and overlap, parent size and overlap, least size) and rule words.
 PROFILES = {
@@ -65,13 +65,17 @@ def length_pieces(text: Column, size: Column, overlap: Column) -> Column:
     The trimmed paragraphs stand in one text with a blank line between them; a greedy pattern takes as many whole ones as
     fit, or one that is too long. So a text costs what its length does, however many paragraphs it has.
     """
-    text = strip(text)
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n+"), strip), lambda p: p != "")
     end = r"(?=\n\n|\z)"
     packs = F.concat(F.lit("(?s)(.{1,"), size.cast("int").cast("string"), F.lit(rf"}}{end}|.+?{end})(?:\n\n|\z)"))
-    packed = F.regexp_extract_all(F.array_join(paragraphs, "\n\n"), packs, F.lit(1))
-    pieces = F.flatten(F.transform(packed, lambda p: window_pieces(p, size, overlap)))
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(pieces)
+
+    def made(trimmed: Column) -> Column:
+        paragraphs = F.filter(F.transform(F.split(trimmed, "\n\n+"), strip), lambda p: p != "")
+        packed = F.regexp_extract_all(F.array_join(paragraphs, "\n\n"), packs, F.lit(1))
+        pieces = F.flatten(F.transform(packed, lambda p: window_pieces(p, size, overlap)))
+        return F.when(trimmed == "", F.array().cast("array<string>")).when(F.length(trimmed) <= size, F.array(trimmed)).otherwise(pieces)
+
+    # the lambda's variable holds the trimmed text, which would else be trimmed for each use
+    return F.flatten(F.transform(F.array(strip(text)), made))
 
 
 #: Where a heading line begins: blanks, one to six marks, blanks, text.
@@ -137,7 +141,8 @@ def chunk_id(prefix: str, doc_id: Column, idx: Column, content: Column) -> Colum
 
 def carry_page(pieces: DataFrame, doc_id: str = "doc_id", order: tuple[str, ...] = ("section_no", "parent_no")) -> DataFrame:
     """``page``: the piece's own mark, else the last one before it in the document; marks are cut from the content."""
-    own = F.nullif(F.regexp_extract("content", PAGE_MARK, 1), F.lit("")).cast("int")
+    # most pieces have no comment at all, which a search for its first bytes tells without a pattern
+    own = F.when(F.col("content").contains("<!--"), F.nullif(F.regexp_extract("content", PAGE_MARK, 1), F.lit("")).cast("int"))
     upto = Window.partitionBy(doc_id).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(own.isNotNull(), strip(F.regexp_replace("content", PAGE_MARK, ""))).otherwise(F.col("content"))
     return pieces.withColumn("page", F.last(own, ignorenulls=True).over(upto)).withColumn("content", cut)
@@ -148,7 +153,7 @@ def section_type(section: Column, content: Column) -> Column:
     out = F.lit("general")
     for pattern, label in reversed(SECTION_RULES):
         out = F.when(text.rlike(pattern), label).otherwise(out)
-    return out
+    return F.when(beyond_ascii(text), out).otherwise("general")
 
 
 def topic_keywords(seeds: list[Column], path: Column, content: Column) -> Column:
@@ -167,7 +172,8 @@ def chunk_flags(chunks: DataFrame) -> DataFrame:
     has = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
     empty = F.lit("")
     states = [F.concat(F.lit(f"{k}:"), F.coalesce(has(k), empty)) for k in ("version", "effective_date", "expiry_date", "status", "version_status")]
-    near = F.concat_ws("\n", F.coalesce("section_path", empty), F.coalesce("title", empty), F.substring("content", 1, 500), F.concat_ws(" ", *states))
+    # the states come first, where the labels of the version signal always stand; no pattern spans two of these lines
+    near = F.concat_ws("\n", F.concat_ws(" ", *states), F.coalesce("section_path", empty), F.coalesce("title", empty), F.substring("content", 1, 500))
     seeds = [norm_scalar(F.col(c)) for c in KEYWORD_SEEDS if c in chunks.columns]
     return chunks.withColumns(
         {
@@ -175,9 +181,9 @@ def chunk_flags(chunks: DataFrame) -> DataFrame:
             "chunk_summary": chunk_summary(F.col("content")),
             "contains_table": F.col("content").contains("|") | F.col("content").contains("\t"),
             "contains_steps": F.col("content").rlike(STEPS),
-            "contains_contact": near.rlike(CONTACT),
+            "contains_contact": beyond_ascii(near) & near.rlike(CONTACT),
             "contains_version_signal": near.rlike(VERSION_SIGNAL),
-            "contains_risk_signal": near.rlike(RISK_SIGNAL),
+            "contains_risk_signal": beyond_ascii(near) & near.rlike(RISK_SIGNAL),
             "topic_keywords": topic_keywords(seeds, F.col("section_path"), F.col("content")),
         }
     )
@@ -191,10 +197,9 @@ def build_chunks(docs: DataFrame) -> DataFrame:
     """
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.col("source"), 256))
     sections = split_sections(chunk_profile(docs.withColumn("doc_id", doc_id)))
-    pieces = sections.select("*", F.posexplode(length_pieces(F.col("body"), F.col("parent_max"), F.col("parent_overlap"))).alias("parent_no", "content")).drop("body")
-    pieces = pieces.withColumn("content", strip(F.col("content")))
-    pieces = pieces.filter(F.col("content") != "").filter(~((F.length("content") < F.col("min_chars")) & (F.col("section") != "")))
-    pieces = carry_page(pieces)
+    cut = F.transform(length_pieces(F.col("body"), F.col("parent_max"), F.col("parent_overlap")), strip)
+    kept = F.filter(cut, lambda p: (p != "") & ~((F.length(p) < F.col("min_chars")) & (F.col("section") != "")))
+    pieces = carry_page(sections.select("*", F.posexplode(kept).alias("parent_no", "content")).drop("body"))
     ordered = Window.partitionBy("doc_id").orderBy("section_no", "parent_no")
     parents = pieces.withColumn("parent_idx", F.row_number().over(ordered) - 1)
     parents = parents.withColumn("parent_chunk_id", chunk_id("p", F.col("doc_id"), F.col("parent_idx"), F.col("content")))

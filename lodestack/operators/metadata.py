@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import norm_list, norm_scalar, strip
+from lodestack.functions.text import beyond_ascii, norm_list, norm_scalar, strip
 
 HEAD_CHARS = 4000
 _HAN = "一-鿿"
@@ -69,6 +69,8 @@ CLASS_RULES = {
     ),
     "project_phase": (None, [("(立项|可研)", "initiation"), ("(设计|方案)", "design"), ("(实施|建设|上线|部署)", "implementation"), ("(验收|试运行|试运)", "acceptance"), ("(复盘|总结|收尾)", "closure")]),
 }
+#: Fields that a text without any Han character can match, too.
+PLAIN_TOO = {"environment", "version", "time", "effective_date", "data_classification", "authority_level"}
 CATEGORY_RULES = [("(值班|排班|安排表)", "schedule"), ("(制度|规范|要求|办法)", "policy"), ("(流程|步骤|SOP|作业指导书)", "procedure"), ("(会议纪要|复盘|记录)", "meeting")]
 
 
@@ -128,11 +130,12 @@ def enrich(docs: DataFrame, group_company: str | None = None) -> DataFrame:
     ``group_company`` is a pattern of the parent company's names; without it that field stays null.
     """
     text = head_text(F.col("title"), F.col("source"), F.col("content"))
-    made = {name: first_match(text, p) for name, p in FIELD_PATTERNS.items()}
+    han = beyond_ascii(text)
+    made = {name: first_match(text, p) if name in PLAIN_TOO else F.when(han, first_match(text, p)) for name, p in FIELD_PATTERNS.items()}
     made["group_company"] = first_match(text, f"({group_company})") if group_company else F.lit(None).cast("string")
     made["version"] = normalize_version(made["version"])
-    made |= {"owner_department": made["department"], "person": extract_person(text), "doc_type": doc_type(F.col("source")), "source_system": F.lit("local_file"), "doc_category": doc_category(text)}
-    made |= {name: first_rule(text, rules, default) for name, (default, rules) in CLASS_RULES.items()}
+    made |= {"owner_department": made["department"], "person": F.when(han, extract_person(text)), "doc_type": doc_type(F.col("source")), "source_system": F.lit("local_file"), "doc_category": doc_category(text)}
+    made |= {name: first_rule(text, rules, default) if name in PLAIN_TOO else F.when(han, first_rule(text, rules, default)).otherwise(default) for name, (default, rules) in CLASS_RULES.items()}
     lowered = set(CLASS_RULES)
     have = {c: norm_scalar(F.col(c)) for c in made if c in docs.columns}
     return docs.withColumns({c: F.coalesce(F.lower(have[c]) if c in lowered else have[c], v) if c in have else v for c, v in made.items()})

@@ -41,6 +41,24 @@ def test_text_columns(spark):
     assert one(spark, " a , ,b，a", lambda c: T.norm_list(c, True)) == ["a", "b"]
 
 
+def test_a_folded_head_is_the_head_of_the_folded_text(spark):
+    rng = np.random.default_rng(4)
+    texts = ["", "   ", "x" * 12, "x" * 13, " a\u3000 \n b" * 9] + ["".join(rng.choice(list("ab汉 \t\n\u00a0"), int(n))) for n in rng.integers(1, 60, 300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.folded_head(F.col("t"), 12).alias("head"), T.truncate_text(T.fold_ws(F.col("t")), 12).alias("whole"), T.clean_lines(F.col("t")).alias("lines"), "t").collect()
+    assert all(r.head == r.whole for r in got)
+    lines = lambda t: [re.sub("[ \t]+", " ", x).strip() for x in t.split("\n")]
+    assert all(r.lines == "\n".join(x for x in lines(r.t) if x) for r in got)
+
+
+def test_rules_of_han_words_skip_plain_text_only(spark):
+    rows = [("plain", "linux 1.4.2 public SOP"), ("mixed", "linux 1.4.2 public SOP 联系人：李四 已废止 应急预案")]
+    docs = spark.createDataFrame([(k, k, t) for k, t in rows], "source string, title string, content string")
+    plain, mixed = sorted(metadata.enrich(docs).collect(), key=lambda r: r.source != "plain")
+    assert (plain.environment, plain.version, plain.data_classification, plain.authority_level) == (mixed.environment, mixed.version, mixed.data_classification, mixed.authority_level)
+    assert (plain.person, plain.version_status, plain.business_domain) == (None, "active", "general_ops")
+    assert (mixed.person, mixed.version_status, mixed.business_domain) == ("李四", "obsolete", "safety_production")
+
+
 def test_redaction_order(spark):
     got = one(spark, "mail a.b@c.com tel 13800138000 id 123456789012345678 card 6222020200112233445 ip 10.0.0.1", T.redact)
     assert got == "mail [REDACTED_EMAIL] tel [REDACTED_PHONE] id [REDACTED_ID] card [REDACTED_ACCOUNT] ip [REDACTED_IP]"
