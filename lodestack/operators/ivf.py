@@ -136,8 +136,12 @@ def ivf_search(questions: DataFrame, index: Ivf, k: int = 20, share: float = 0.6
     """Approximate (query_id, chunk_id, score, rank) by cosine; every score is exact.
 
     ``rescored`` candidates of each question (by default six for each hit, 64 at least) are scored by their vectors.
-    Questions that find fewer than ``k`` in their lists are answered by the exact search over all vectors.
+    Questions that find fewer than ``k`` in their lists are answered by the exact search over all vectors. Where all lists are
+    asked and every vector is a candidate, codes can leave none out: the tasks then score the stored vectors and pass on their
+    best only, instead of a row for each question and vector.
     """
+    if share >= 1 and rescored is not None and rescored >= index.codes.count():
+        return dense_search(questions, index.vectors.select("chunk_id", "embedding"), k)
     best = cut(candidates(questions, index, rescored or max(64, 6 * k), share))
     full = best.filter(F.col("rank") == k).select("query_id")
     asked = questions.select("query_id", F.col("embedding").alias("_q"))
