@@ -28,7 +28,9 @@ def route_by_suffix(files: DataFrame, path: str = "path") -> tuple[DataFrame, Da
 def read_text_documents(spark: SparkSession, path: str, mime_type: str = "text/plain") -> DataFrame:
     """Whole files as documents: source, title (the file's stem), content (cleaned; undecodable bytes dropped), mime_type."""
     files = spark.read.format("binaryFile").load(path)
-    text = _decode()(F.col("content"))
+    # only bytes that are no UTF-8 go to Python; a file's bytes don't wait in one batch with those of its neighbours
+    plain = F.is_valid_utf8(F.col("content"))
+    text = F.when(plain, F.col("content").cast("string")).otherwise(_decode()(F.when(~plain, F.col("content"))))
     return files.select(F.col("path").alias("source"), file_stem(F.col("path")).alias("title"), clean_text(text).alias("content"), F.lit(mime_type).alias("mime_type"))
 
 

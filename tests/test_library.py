@@ -750,3 +750,13 @@ def test_all_lists_and_all_candidates_keep_no_pairs(spark, tmp_path, monkeypatch
     q = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
     monkeypatch.setattr(ivf, "candidates", lambda *a: pytest.fail("a row for each question and vector"))
     assert sorted(ivf.ivf_search(q, made, 5, share=1.0, rescored=200).collect()) == sorted(search.dense_search(q, v, 5).collect())
+
+
+def test_text_files_stay_small(spark, tmp_path, monkeypatch):
+    from lodestack.plans import store_queries
+
+    rows(spark, [(i, f"line {i}", "en") for i in range(2500)], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(store_queries, "shared_folder", lambda spark: f"{tmp_path}/out")
+    assert store_queries.text_files(spark, str(tmp_path)).count() == 2500
+    sizes = [len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("lang=en/*.txt")]
+    assert sum(sizes) == 2500 and max(sizes) <= 1000
