@@ -760,3 +760,11 @@ def test_text_files_stay_small(spark, tmp_path, monkeypatch):
     assert store_queries.text_files(spark, str(tmp_path)).count() == 2500
     sizes = [len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("lang=en/*.txt")]
     assert sum(sizes) == 2500 and max(sizes) <= 1000
+
+
+def test_short_marked_pages_stay(spark, tmp_path):
+    from lodestack.plans import store_queries
+
+    rows(spark, [(1, "x" * 63, "en", "s"), (2, "x" * 62, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = store_queries.page_marked_chunks(spark, str(tmp_path)).filter("chunk_level = 'parent'").collect()
+    assert sorted((r.doc_id, r.page) for r in got) == [("1", 2), ("1", 5), ("1", 9), ("2", 5), ("2", 9)]
