@@ -768,3 +768,8 @@ def test_short_marked_pages_stay(spark, tmp_path):
     rows(spark, [(1, "x" * 63, "en", "s"), (2, "x" * 62, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = store_queries.page_marked_chunks(spark, str(tmp_path)).filter("chunk_level = 'parent'").collect()
     assert sorted((r.doc_id, r.page) for r in got) == [("1", 2), ("1", 5), ("1", 9), ("2", 5), ("2", 9)]
+
+
+def test_routes_that_differ_in_case_only(spark):
+    p = rows(spark, [(1, "straße ΟΔΟΣ", "STRASSE ΟΔΟΣ", "", [], [], "")], "query_id int, question string, resolved_query string, rewritten_query string, keyword_queries array<string>, sub_queries array<string>, hyde_query string")
+    assert [r.route_kind for r in search.build_routes(p).collect()] == ["original_query"]
