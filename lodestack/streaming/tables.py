@@ -39,7 +39,9 @@ def _keep_newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -
         state.remove()
         yield pd.DataFrame([(key[0], *held, False)], columns=["key", *names, "live"])
         return
-    rows = [tuple(r) for part in parts for r in part[names].itertuples(index=False)]
+    rows = [tuple(r) for part in parts for r in part.loc[part["clock"].isna(), names].itertuples(index=False)]
+    if not rows:
+        return
     best = max(rows + ([held] if held else []), key=lambda r: (pd.Timestamp(r[2]), r[0] or ""))
     ends = int((pd.Timestamp(best[2]) + pd.Timedelta(seconds=int(best[3]))).timestamp() * 1000)
     live = ends > state.getCurrentWatermarkMs()
@@ -55,8 +57,12 @@ def _keep_newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -
 def cache_entries(answers: DataFrame, late: str = "1 hour") -> DataFrame:
     """(key, answer, confidence, written_at, ttl_sec, live) of a stream of answers (question, answer, confidence, written_at, ttl_sec),
     for update mode: a row when a key's newest answer changes, and one that isn't live when its time is over.
+
+    The watermark ends entries; it drops no answer, as one that comes late may still be its key's newest.
     """
-    keyed = answers.withWatermark("written_at", late).select(cache_key(F.col("question")).alias("key"), "answer", F.col("confidence").cast("double").alias("confidence"), "written_at", F.col("ttl_sec").cast("long").alias("ttl_sec"))
+    # each answer comes twice: as a time that moves the watermark, and without one, so that it can't be late
+    timed = answers.select("*", F.explode(F.array(F.col("written_at").cast("timestamp"), F.lit(None).cast("timestamp"))).alias("clock")).withWatermark("clock", late)
+    keyed = timed.select(cache_key(F.col("question")).alias("key"), "clock", F.when(F.col("clock").isNull(), F.col("answer")).alias("answer"), F.col("confidence").cast("double").alias("confidence"), "written_at", F.col("ttl_sec").cast("long").alias("ttl_sec"))
     return keyed.groupBy("key").applyInPandasWithState(_keep_newest, f"key string, {_ENTRY}, live boolean", _ENTRY, "update", GroupStateTimeout.EventTimeTimeout)
 
 

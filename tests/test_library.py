@@ -773,3 +773,14 @@ def test_short_marked_pages_stay(spark, tmp_path):
 def test_routes_that_differ_in_case_only(spark):
     p = rows(spark, [(1, "straße ΟΔΟΣ", "STRASSE ΟΔΟΣ", "", [], [], "")], "query_id int, question string, resolved_query string, rewritten_query string, keyword_queries array<string>, sub_queries array<string>, hyde_query string")
     assert [r.route_kind for r in search.build_routes(p).collect()] == ["original_query"]
+
+
+def test_late_answer_may_be_the_newest(spark):
+    from lodestack.plans.depth_queries import kept_up
+    from lodestack.streaming import tables
+
+    kind = "question string, answer string, confidence double, written_at timestamp, ttl_sec long"
+    at = lambda day: datetime.datetime(2024, 1, day)
+    first = rows(spark, [("q", "old", 0.9, at(1), 86400 * 90), ("other", "o", 0.9, at(20), 86400 * 90)], kind)
+    late = rows(spark, [("q", "new", 0.9, at(5), 86400 * 90), ("other", "before", 0.9, at(2), 86400 * 90)], kind)
+    assert sorted(r.answer for r in kept_up(spark, [first, late], tables.cache_entries, "key").filter("live").collect()) == ["new", "o"]
