@@ -1,8 +1,8 @@
 """A lexical index that is kept up: segments, tombstones, document frequencies as deltas, and compaction.
 
-Each change writes one segment (never an old file): the new chunks' postings, their terms by chunk, and the ids that void rows
+Each change writes one segment (never an old file): the new chunks' terms by chunk, and the ids that void rows
 of older segments. Document frequencies change by what the segment adds less what it voids, so a change reads the terms of
-the chunks that it replaces and nothing else of the old postings. A version, written last, names the segments that count;
+the chunks that it replaces and nothing else of the old ones. A version, written last, names the segments that count;
 until it is there, readers see the one before, so a job that is lost halfway leaves the index as it was.
 """
 
@@ -13,8 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import tokenize
-from lodestack.operators.search import Bm25Index
+from lodestack.operators.search import Bm25Index, chunk_terms
 
 #: Ids that are sent to all tasks instead of being joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -57,18 +56,14 @@ class SegmentedIndex:
         number = self.version()[0] + 1 if segments else 0
         name = f"segment-{number}"
         out = lambda df, table: df.write.mode("overwrite").parquet(f"{self.path}/{name}/{table}")
-        tokens = chunks.select(F.col(key).alias("chunk_id"), tokenize(F.col(text)).alias("tokens"))
-        pairs = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("token")).groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-        terms = pairs.groupBy("chunk_id", "dl").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "tf"))).alias("terms"))
+        terms = chunk_terms(chunks, key, text)
         out(terms.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "terms")  # a chunk's distinct terms
         terms = self._read(name, "terms")
-        postings = terms.select("chunk_id", "dl", F.explode("terms").alias("t")).select("t.token", "chunk_id", "t.tf", "dl")
-        out(postings.repartition("token").sortWithinPartitions("token"), "postings")
         ids = terms.select("chunk_id") if removed is None else terms.select("chunk_id").union(removed.select("chunk_id")).distinct()
         old = self._live(segments, "terms").join(ids, "chunk_id", "left_semi") if segments else terms.limit(0)
         out(old.select("chunk_id"), "void")
         void = old.select(F.explode("terms.token").alias("token"), F.lit(-1).alias("by"))
-        added = self._read(name, "postings").select("token", F.lit(1).alias("by"))
+        added = terms.select(F.explode("terms.token").alias("token"), F.lit(1).alias("by"))
         out(added.union(void).groupBy("token").agg(F.sum("by").alias("df")), "df_changes")
         sizes = terms.select("dl", F.lit(1).alias("by")).union(old.select("dl", F.lit(-1).alias("by")))
         out(sizes.agg(F.coalesce(F.sum("by"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("by") * F.col("dl")), F.lit(0)).alias("tokens")), "size_changes")
@@ -88,9 +83,8 @@ class SegmentedIndex:
         name = f"segment-{number + 1}"
         out = lambda df, table: df.write.mode("overwrite").parquet(f"{self.path}/{name}/{table}")
         out(self._live(segments, "terms").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "terms")
-        out(self._live(segments, "postings").repartition("token").sortWithinPartitions("token"), "postings")
         out(self._read(name, "terms").select("chunk_id").limit(0), "void")
-        out(self._read(name, "postings").groupBy("token").agg(F.count("*").alias("df")), "df_changes")
+        out(self._read(name, "terms").select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "df_changes")
         out(self._read(name, "terms").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens")), "size_changes")
         self._publish(number + 1, [name])
 
@@ -102,9 +96,9 @@ class SegmentedIndex:
         return void / max(1, stored)
 
     def view(self) -> Bm25Index:
-        """What a fresh index of the live chunks would be. Term statistics come from the deltas, not from the postings."""
+        """What a fresh index of the live chunks would be. Term statistics come from the deltas, not from the chunks."""
         _, segments = self.version()
         every = lambda table: reduce(DataFrame.unionByName, [self._read(s, table) for s in segments])
         totals = every("size_changes").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
         df = every("df_changes").groupBy("token").agg(F.sum("df").alias("df")).filter("df > 0")
-        return Bm25Index.of(self._live(segments, "postings"), totals, df)
+        return Bm25Index.of(self._live(segments, "terms"), totals, df)

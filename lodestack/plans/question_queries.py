@@ -243,7 +243,7 @@ def routed_hits(spark, sf_dir):
     routes = search.route_top_k(search.prune_routes(search.build_routes(made)))
     hits = search.run_routes(routes, doc_index(spark, sf_dir))
     open_ = ("allowed_departments", "allowed_roles")  # clearance alone decides here
-    rows = hits.join(doc_chunks(spark, sf_dir).withColumns({c: F.lit(None).cast("array<string>") for c in open_}), "chunk_id")
+    rows = search.with_chunks(hits, doc_chunks(spark, sf_dir).withColumns({c: F.lit(None).cast("array<string>") for c in open_}))
     wanted = asked.filter("query_id % 2 = 0").select("query_id", F.lit("lang").alias("field"), F.lit("en").alias("value"))
     kept = filters.apply_acl(filters.match_filters(rows, wanted, ["lang"]), asked, strict=False)
     ranked = search.top_k(fuse.merge_routes(kept), 1 << 30)
@@ -307,7 +307,7 @@ evidence AS (SELECT e5.* FROM e5 JOIN e6 USING (query_id) WHERE list_contains(ke
 
 def chosen_evidence(spark, sf_dir):
     asked = asked_conversations(spark, sf_dir)
-    hits = search.bm25_search(asked, doc_index(spark, sf_dir), 10).join(doc_chunks(spark, sf_dir), "chunk_id")
+    hits = search.with_chunks(search.bm25_search(asked, doc_index(spark, sf_dir), 10), doc_chunks(spark, sf_dir))
     found = hits.select("query_id", "chunk_id", "title", "source", "section", "content", (F.col("score") / (F.col("score") + 1.5)).alias("retrieval_score"), govern.authority_rank(F.col("authority_level")).alias("authority_level"), F.lit(1).alias("freshness_level"))
     return budget.select_evidence(budget.score_evidence(found, asked))
 

@@ -784,3 +784,42 @@ def test_late_answer_may_be_the_newest(spark):
     first = rows(spark, [("q", "old", 0.9, at(1), 86400 * 90), ("other", "o", 0.9, at(20), 86400 * 90)], kind)
     late = rows(spark, [("q", "new", 0.9, at(5), 86400 * 90), ("other", "before", 0.9, at(2), 86400 * 90)], kind)
     assert sorted(r.answer for r in kept_up(spark, [first, late], tables.cache_entries, "key").filter("live").collect()) == ["new", "o"]
+
+
+def test_lexical_tasks_pass_on_their_best_only(spark, monkeypatch):
+    from lodestack.operators.search import B, K1
+
+    texts = {i: " ".join(["common"] + ["rare"] * (i % 5 == 0) + [f"w{i % 11}"] * (i % 3)) for i in range(300)}
+    c = rows(spark, list(texts.items()), "chunk_id long, content string").repartition(7)
+    asked = {f"q{j}": f"common rare w{j} w{j} nowhere" for j in range(12)}
+    q = rows(spark, list(asked.items()), "query_id string, question string")
+    index = search.bm25_index(c)
+    idf = {r.token: r.idf for r in index.terms.collect()}
+    avg = sum(len(t.split()) for t in texts.values()) / len(texts)
+    want = set()
+    for name, question in asked.items():
+        scores = []
+        for i, t in texts.items():
+            words = t.split()
+            tf = {w: words.count(w) for w in words}
+            s = [idf[w] * tf[w] * (K1 + 1) / (tf[w] + K1 * (1 - B + B * len(words) / avg)) for w in question.split() if w in tf]
+            scores += [(-round(sum(s), 6), i)] if s else []
+        want |= {(name, i, n + 1) for n, (_, i) in enumerate(sorted(scores)[:4])}
+    for rows_, cells in ((1 << 20, 1 << 21), (9, 40)):
+        monkeypatch.setattr(search, "ASKED_ROWS", rows_)
+        monkeypatch.setattr(search, "LEXICAL_CELLS", cells)
+        hits = search.bm25_search(q, index, 4)
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in hits.collect()} == want
+    monkeypatch.undo()
+    plan = search.bm25_search(q, index, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(query_id") >= 1 and plan.count("Exchange hashpartitioning(chunk_id") == 0
+    v = rows(spark, [(i, {1: float(i), 2: 0.5}) for i in range(50)] + [(99, None)], "chunk_id long, sparse map<int,float>")
+    s = search.sparse_vector_search(v.filter("chunk_id = 2").withColumnRenamed("chunk_id", "query_id"), v, 3)
+    assert [(r.chunk_id, r.score) for r in s.orderBy("rank").collect()] == [(49, 98.25), (48, 96.25), (47, 94.25)] and "Join" not in s._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_hits_go_to_their_chunks(spark):
+    h = rows(spark, [(1, 2, 1), (1, 3, 2)], "query_id int, chunk_id long, rank int")
+    c = rows(spark, [(i, f"t{i}") for i in range(9)], "chunk_id long, content string")
+    met = search.with_chunks(h, c)
+    assert sorted(r.content for r in met.collect()) == ["t2", "t3"] and "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()
