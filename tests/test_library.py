@@ -823,3 +823,16 @@ def test_few_hits_go_to_their_chunks(spark):
     c = rows(spark, [(i, f"t{i}") for i in range(9)], "chunk_id long, content string")
     met = search.with_chunks(h, c)
     assert sorted(r.content for r in met.collect()) == ["t2", "t3"] and "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parents_of_hits_need_their_documents_only(spark, tmp_path, monkeypatch):
+    from lodestack.plans import queries as plans
+
+    text = lambda i: "\n".join(f"word{i} line {n} of the text that is long enough to stay" for n in range(40))
+    rows(spark, [(i, text(i), "en", "s") for i in (3, 12345678901, 12345678902, -7)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows(spark, [(0, "word3 line"), (1, "word12345678902"), (2, "word-7")], "item_id long, text string").filter("item_id < 2").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made, build = [], chunk.build_chunks
+    monkeypatch.setattr(chunk, "build_chunks", lambda docs: made.append(docs) or build(docs))
+    got = plans.expand_parents(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got if r.query_id == 1} == {"12345678902"} and all(r.content for r in got)
+    assert len(made) == 2 and made[0].count() == 4 and made[1].count() < 5 and "LeftSemi" in made[1]._jdf.queryExecution().executedPlan().toString()
