@@ -175,9 +175,9 @@ def deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [rows.filter(F.col("step") == k).drop("step") for k in range(4)]
 
 
-def drained(spark: SparkSession, parts: list[DataFrame], stream) -> DataFrame:
+def drained(spark: SparkSession, parts: list[DataFrame], stream, folder: str | None = None) -> DataFrame:
     """What a stream has put out after each of ``parts`` was delivered and worked off, state and watermark kept between them."""
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
     for part in parts:
         part.write.mode("append").parquet(f"{folder}/in")
         source = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
@@ -201,8 +201,10 @@ WITH {ARRIVALS}, x AS (SELECT user_id, t FROM e JOIN w ON w.k = e.step WHERE mar
 n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 1800000000 THEN 0 ELSE 1 END AS new FROM x), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS no FROM n)
 SELECT user_id, min(t) AS session_start, max(t) + 1800000000 AS session_end, count(*) AS session_query_count FROM s GROUP BY user_id, no HAVING max(t) + 1800000000 <= (SELECT mark FROM w WHERE k = 4)""")
 def session_windows(spark, sf_dir):
-    """Sessions of the same stream."""
-    out = drained(spark, deliveries(spark, sf_dir), audit.session_stream)
+    """Sessions of the same stream; those that a late row has joined are made one, and aren't over while a part is still open."""
+    folder = shared_folder(spark)
+    out = drained(spark, deliveries(spark, sf_dir), audit.session_stream, folder)
+    out = audit.joined_sessions(out, audit.open_sessions(spark, f"{folder}/state"))
     return out.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "session_query_count")
 
 

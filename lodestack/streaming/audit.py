@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,13 +41,35 @@ def behaviour_stream(events: DataFrame, late: str = "1 hour", window: str = "24
 
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions per user: event count and length in seconds."""
+    """Sessions per user with their event counts. A late row that the watermark still lets in may touch a session that was put
+    out before; it then begins one of its own, and :func:`joined_sessions` makes one of both."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     grouped = timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("session_query_count"))
     w = F.col("session_window")
     return grouped.select("user_id", w["start"].alias("session_start"), w["end"].alias("session_end"), "session_query_count")
 
 
+def joined_sessions(pieces: DataFrame, still_open: DataFrame | None = None) -> DataFrame:
+    """Sessions of which the next begins before (or when) one ends are one. ``still_open`` (columns as ``pieces``) are those that a
+    stream hasn't put out yet: what they touch isn't over, so neither is part of the result."""
+    rows = pieces.withColumn("_open", F.lit(False))
+    if still_open is not None:
+        rows = rows.unionByName(still_open.withColumn("_open", F.lit(True)))
+    by = Window.partitionBy("user_id").orderBy("session_start", "session_end")
+    ended = F.max("session_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(F.col("session_start") <= ended, 0).otherwise(1))
+    rows = rows.withColumn("_no", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = rows.groupBy("user_id", "_no").agg(F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), F.sum("session_query_count").alias("session_query_count"), F.bool_or("_open").alias("_open"))
+    return whole.filter("not _open").select("user_id", "session_start", "session_end", "session_query_count")
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that a stopped stream of :func:`session_stream` still holds, read from the state below its checkpoint."""
+    w = F.col("value.session_window")
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("value.user_id", w["start"].alias("session_start"), w["end"].alias("session_end"), F.col("value.count").alias("session_query_count"))
+
+
 HOUR, DAY = 3600, 24
 
 

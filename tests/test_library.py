@@ -577,6 +577,24 @@ def test_behaviour_windows_in_stream(spark, tmp_path):
     assert audit.session_stream(e).count() == 3
 
 
+def test_late_row_joins_a_session_put_out_before(spark):
+    """A row behind the watermark but inside the gap makes one session of two; what touches an open session isn't over."""
+    from lodestack.plans import depth_queries, queries
+    from lodestack.streaming import audit
+
+    at = lambda *data: rows(spark, data, "user_id long, minute long").select("user_id", F.timestamp_seconds(F.col("minute") * 60).alias("ts"))
+    folder = queries.shared_folder(spark)
+    out = depth_queries.drained(spark, [at((1, 0), (3, 5), (2, 100)), at((1, 20), (2, 600), (1, 590))], audit.session_stream, folder)
+    minutes = lambda c: (F.unix_micros(c) / 60_000_000).cast("int")
+    read = lambda df: sorted(tuple(r) for r in df.select("user_id", minutes("session_start"), minutes("session_end"), "session_query_count").collect())
+    assert read(out) == [(1, 0, 30, 1), (1, 20, 50, 1), (2, 100, 130, 1), (3, 5, 35, 1)]
+    held = audit.open_sessions(spark, f"{folder}/state")
+    assert read(held) == [(1, 590, 620, 1), (2, 600, 630, 1)]
+    assert read(audit.joined_sessions(out, held)) == [(1, 0, 50, 2), (2, 100, 130, 1), (3, 5, 35, 1)]
+    touching = held.filter("user_id = 1").withColumn("session_start", F.timestamp_seconds(F.lit(50 * 60)))
+    assert read(audit.joined_sessions(out, touching)) == [(2, 100, 130, 1), (3, 5, 35, 1)]
+
+
 def test_entry_point_has_every_oracle(spark):
     import __spark_entry__ as entry
 
