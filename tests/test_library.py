@@ -60,6 +60,25 @@ def test_rules_of_han_words_skip_plain_text_only(spark):
     assert (mixed.person, mixed.version_status, mixed.business_domain) == ("李四", "obsolete", "safety_production")
 
 
+def test_fields_found_near_han_words_are_those_of_the_whole_text(spark):
+    """Every pattern is looked for once, and gives what it gives on the whole head."""
+    rng = np.random.default_rng(11)
+    words = ["北方", "煤矿", "车间", "检修", "3号线", "中心", "锅炉", "分公司", "设备编号：", "适用范围 \n: ", "文号", "系统名称", "值班人：", "李四", "x" * 45, "A-1", "v2.3", "1.4.2", "2024-05-06", "x2024-05-06", "今天", "Linux", "é", " ", "\n", "\t ", "。", "SOP", "公开", "Sensitive", "已废止", "招标", "流程", "plain words follow here "]
+    texts = ["", "é", *["".join(rng.choice(words, int(n))) for n in rng.integers(1, 40, 300)]]
+    docs = spark.createDataFrame([(f"{i}", "", t) for i, t in enumerate(texts)], "source string, title string, content string")
+    made = metadata.enrich(docs)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{2,30}(?:车间") == 1
+    text = metadata.head_text(F.col("title"), F.col("source"), F.col("content"))
+    whole = {name: metadata.first_match(text, p) for name, p in metadata.FIELD_PATTERNS.items() if name != "version"}
+    for name, (default, rules) in metadata.CLASS_RULES.items():
+        whole[name] = F.lit(default)
+        for pattern, value in reversed(rules):
+            whole[name] = F.when(text.rlike(pattern), value).otherwise(whole[name])
+    want = docs.select("source", *[v.alias(k) for k, v in whole.items()])
+    assert made.select("source", *whole).exceptAll(want).count() == 0
+
+
 def test_redaction_order(spark):
     got = one(spark, "mail a.b@c.com tel 13800138000 id 123456789012345678 card 6222020200112233445 ip 10.0.0.1", T.redact)
     assert got == "mail [REDACTED_EMAIL] tel [REDACTED_PHONE] id [REDACTED_ID] card [REDACTED_ACCOUNT] ip [REDACTED_IP]"
