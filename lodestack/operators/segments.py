@@ -13,10 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators.search import Bm25Index, chunk_terms
-
-#: Ids that are sent to all tasks instead of being joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+from lodestack.operators.search import Bm25Index, chunk_terms, sent
 
 
 class SegmentedIndex:
@@ -47,8 +44,7 @@ class SegmentedIndex:
             rows = self._read(s, table)
             if later := [self._read(x, "void") for x in segments[i + 1 :]]:
                 void = reduce(DataFrame.union, later).distinct()
-                small = void.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-                rows = rows.join(F.broadcast(void) if small else void, "chunk_id", "left_anti")
+                rows = rows.join(sent(void), "chunk_id", "left_anti")
             parts.append(rows)
         return reduce(DataFrame.unionByName, parts)
 
@@ -56,12 +52,12 @@ class SegmentedIndex:
         number = self.version()[0] + 1 if segments else 0
         name = f"segment-{number}"
         out = lambda df, table: df.write.mode("overwrite").parquet(f"{self.path}/{name}/{table}")
-        terms = chunk_terms(chunks, key, text)
-        out(terms.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "terms")  # a chunk's distinct terms
+        out(chunk_terms(chunks, key, text), "terms")  # a chunk's distinct terms, written where the chunk is
         terms = self._read(name, "terms")
         ids = terms.select("chunk_id") if removed is None else terms.select("chunk_id").union(removed.select("chunk_id")).distinct()
-        old = self._live(segments, "terms").join(ids, "chunk_id", "left_semi") if segments else terms.limit(0)
-        out(old.select("chunk_id"), "void")
+        old = self._live(segments, "terms") if segments else terms.limit(0)
+        out(old.select("chunk_id").join(sent(ids), "chunk_id", "left_semi"), "void")
+        old = old.join(sent(self._read(name, "void")), "chunk_id", "left_semi")
         void = old.select(F.explode("terms.token").alias("token"), F.lit(-1).alias("by"))
         added = terms.select(F.explode("terms.token").alias("token"), F.lit(1).alias("by"))
         out(added.union(void).groupBy("token").agg(F.sum("by").alias("df")), "df_changes")

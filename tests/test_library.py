@@ -645,6 +645,28 @@ def test_segments_equal_a_fresh_index(spark, tmp_path):
     assert made.void_share() == 0 and made.version() == (3, ["segment-3"])
 
 
+def test_terms_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Neither a change of segments nor permitted chunks move the chunks' terms; too many ids are joined, with the same hits."""
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 40)).alias("content"))
+    q = rows(spark, [(1, "40 41 2040"), (2, "7 2900")], "query_id long, question string")
+    made = segments.SegmentedIndex.create(spark, str(tmp_path / "s"), chunks.filter("chunk_id < 2500"))
+    stored = search.bm25_index(chunks).stored(str(tmp_path / "i"))
+    made.merge(chunks.filter("chunk_id % 3 = 0"), chunks.filter("chunk_id % 10 = 9").select("chunk_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = []
+        for most in (10_000, 5):
+            monkeypatch.setattr(search, "BROADCAST_IDS", most)
+            found = search.bm25_search(q, stored, 5, stored.docs.filter("chunk_id % 2 = 0").select("chunk_id"))
+            live = made.view().docs
+            plans = [f._jdf.queryExecution().executedPlan().toString() for f in (found, live)]
+            assert [bool(re.search("SortMergeJoin|ShuffledHashJoin", p)) for p in plans] == [most == 5] * 2
+            hits.append((sorted(found.collect()), sorted(r.chunk_id for r in live.select("chunk_id").collect())))
+        assert hits[0] == hits[1] and len(hits[0][0]) > 0 and hits[0][1] == sorted(i for i in range(3000) if i % 3 == 0 or (i < 2500 and i % 10 != 9))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_level_search_reads_less_and_ranks_the_same(spark, tmp_path):
     """Half of the postings at most on the given documents; ties, repeated words, questions of common words only."""
     from lodestack.plans.queries import bench_questions, doc_chunks
