@@ -1,8 +1,8 @@
 """A lexical index that is kept up: segments, tombstones, document frequencies as deltas, and compaction.
 
 Each change writes one segment (never an old file): the new chunks' terms by chunk, and the ids that void rows
-of older segments. Document frequencies change by what the segment adds less what it voids, so a change reads the terms of
-the chunks that it replaces and nothing else of the old ones. A version, written last, names the segments that count;
+of older segments. Document frequencies change by what the segment adds less what it voids, so a change counts the terms of
+the chunks that it replaces and of no other old ones. A version, written last, names the segments that count;
 until it is there, readers see the one before, so a job that is lost halfway leaves the index as it was.
 """
 
