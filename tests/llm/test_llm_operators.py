@@ -564,6 +564,23 @@ def test_toxicity_learns_words(spark, odd, none):
     assert len(tie) == 1
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """3,000 others, each word in nine of them, and toxic texts of over 30,000 characters: all teach, in several shards."""
+    monkeypatch.setattr(toxicity, "SHARD", 1000)
+    rows = [(i, f"seldom{i // 9} filler{i % 7} common{i % 5}", "en") for i in range(2997)]
+    rows += [(5000 + i, "badone " + f"long{i % 3} text{i % 4} " * 3000, "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i >= 5000)) for i, _, _ in rows], "doc_id long, toxic int")
+    stored = toxicity.labelled(docs, labels)
+    assert stored.count() == len(rows) and stored.rdd.getNumPartitions() == 4
+    model = toxicity.fit_toxicity(docs, labels)
+    known = spark.createDataFrame([(f"seldom{i}",) for i in range(333)] + [("badone",), ("long1",)], "t string").select(toxicity.words(F.col("t")).alias("w")).collect()
+    assert all(model.row[toxicity.split(r.w)[:, 0]].all() for r in known)
+    assert model.langs == ["de", "en"]
+    got = toxicity.toxicity(docs, model).collect()
+    assert all(r.predicted == int(r.doc_id >= 5000) for r in got)
+
+
 def small_net(seed):
     rng = np.random.default_rng(seed)
     row = np.arange(2 * toxicity.SPACE, dtype=np.int32) % 30
