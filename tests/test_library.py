@@ -895,3 +895,16 @@ def test_parents_of_hits_need_their_documents_only(spark, tmp_path, monkeypatch)
     got = plans.expand_parents(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got if r.query_id == 1} == {"12345678902"} and all(r.content for r in got)
     assert len(made) == 2 and made[0].count() == 4 and made[1].count() < 5 and "LeftSemi" in made[1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_metrics_shuffles_no_texts(spark):
+    """Ids of documents that may hold an item go to the texts, which stay where they are, also where Spark wouldn't broadcast by itself."""
+    from lodestack.plans import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES["rank_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(chunk_id" not in plan
