@@ -41,6 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_clean(df: DataFrame) -> DataFrame:
+    """As ``cut``, and the shuffle files of the step go as soon as it is written; else they stay until the driver happens to
+    collect its garbage, so that a job of many steps holds the files of all of them.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut(df.select("*"))  # planned anew, so under the setting
+    finally:
+        conf.set(key, before)
+
+
 def apply_struct(df: DataFrame, udf, inputs: list[Column], keep: list[Column]) -> DataFrame:
     """``keep`` columns, then the fields of the struct that the vectorised ``udf`` makes of ``inputs``.
 

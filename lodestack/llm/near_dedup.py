@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import apply_struct, cut, fresh
+from lodestack.llm.common import apply_struct, fresh
+from lodestack.llm.common import cut_clean as cut
 
 ROWS = 6
 #: Minima of the finer signatures, members of a block of a bucket, and members from which a bucket gets finer keys.
