@@ -16,12 +16,12 @@ from lodestack.streaming import audit, tables
 @query("level_topk", f"WITH {BM25} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM hits")
 def level_topk(spark, sf_dir):
     """The ranks of the full search from the levels that can matter."""
-    key = (spark.sparkContext.applicationId, sf_dir, "levels")
+    key, plain = (spark.sparkContext.applicationId, sf_dir, "levels"), doc_index(spark, sf_dir)
     if key not in _STORED:
         folder = shared_folder(spark)
-        blockmax.LevelIndex.build(doc_index(spark, sf_dir), folder)
+        blockmax.LevelIndex.build(plain, folder)
         _STORED[key] = folder
-    stored = blockmax.LevelIndex.load(spark, _STORED[key])
+    stored = blockmax.LevelIndex.load(plain, _STORED[key])
     return blockmax.level_search(bench_questions(spark, sf_dir), stored, 10).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

@@ -908,3 +908,36 @@ def test_rank_metrics_shuffles_no_texts(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(chunk_id" not in plan
+
+
+def test_level_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    """Every step of building and searching, counted in rows that were shuffled; blocks of few chunks, and few questions at a time."""
+    from lodestack.operators import blockmax as levels
+
+    status, array, no = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array, spark._jvm.java.util.ArrayList
+
+    def shuffled():
+        stages = status.stageList(None, False, False, array(spark._jvm.double, 0), no())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    draw = random.Random(7)
+    texts = [(i, " ".join(f"w{int(draw.random() ** 3 * 30)}" for _ in range(draw.randint(20, 90)))) for i in range(6000)]
+    q = rows(spark, [(j, " ".join(f"w{int(draw.random() ** 2 * 30)}" for _ in range(6))) for j in range(12)], "query_id long, question string")
+    plain = search.bm25_index(rows(spark, texts, "chunk_id long, content string").repartition(3)).stored(str(tmp_path / "plain"))
+    postings = sum(len(set(t.split())) for _, t in texts)
+    before = shuffled()
+    made = levels.LevelIndex.build(plain, str(tmp_path / "levels"))
+    got = levels.level_search(q, made, 10).collect()
+    moved = sum(n for s, n in shuffled().items() if s not in before)
+    want = {(r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in search.bm25_search(q, plain, 10).collect()}
+    assert {(r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in got} == want and len(want) == 120
+    assert moved < postings / 4, (moved, postings)
+    monkeypatch.setattr(search, "LEXICAL_CELLS", 100)
+    monkeypatch.setattr(search, "ASKED_ROWS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        small = levels.LevelIndex.build(plain, str(tmp_path / "small"))
+        assert small.postings.select("block").distinct().count() >= 12
+        assert {(r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in levels.level_search(q, small, 10).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
