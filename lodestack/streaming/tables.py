@@ -8,6 +8,7 @@ is the table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,42 +29,54 @@ def hit_counts(hits: DataFrame, late: str = "1 hour") -> DataFrame:
     return once.groupBy("entry_id").agg(F.count("*").alias("hit_count"), F.max("hit_at").alias("last_hit_at"))
 
 
-_ENTRY = "answer string, confidence double, written_at timestamp, ttl_sec long"
+#: Groups of keys that the cache's state is kept by: what a batch hands over and stores again costs by group, not by key.
+GROUPS = 256
+_ENTRY = "key string, answer string, confidence double, t long, ttl_sec long"
+
+
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    """The newest row of each key; of one time the greatest answer, then the last row."""
+    by = rows.assign(said=rows["answer"].fillna("")).sort_values(["t", "said"])
+    return by.drop_duplicates("key", keep="last").drop(columns="said")
 
 
 def _keep_newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest answer of a key until its time is over; older ones that come later change nothing."""
+    """The newest answer of each of a group's keys until its time is over; older ones that come later change nothing."""
     names = [x.split()[0] for x in _ENTRY.split(", ")]
-    held = tuple(state.get) if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], *held, False)], columns=["key", *names, "live"])
-        return
-    rows = [tuple(r) for part in parts for r in part.loc[part["clock"].isna(), names].itertuples(index=False)]
-    if not rows:
+    best = pd.read_feather(BytesIO(state.get[0])).assign(new=False) if state.exists else None
+    for part in parts:
+        rows = part[names]
+        if rows[["t", "ttl_sec"]].isna().any(axis=None):
+            raise ValueError("an answer needs its written_at and ttl_sec")
+        if len(rows):
+            best = _newest(rows.assign(new=True) if best is None else pd.concat([rows.assign(new=True), best]))
+    if best is None:
         return
-    best = max(rows + ([held] if held else []), key=lambda r: (pd.Timestamp(r[2]), r[0] or ""))
-    ends = int((pd.Timestamp(best[2]) + pd.Timedelta(seconds=int(best[3]))).timestamp() * 1000)
-    live = ends > state.getCurrentWatermarkMs()
-    if live:
-        state.update(best)
-        state.setTimeoutTimestamp(ends)
+    ends = best["t"] // 1000 + best["ttl_sec"] * 1000
+    best = best.assign(live=ends > state.getCurrentWatermarkMs())
+    if best["live"].any():
+        kept = BytesIO()
+        best.loc[best["live"], names].reset_index(drop=True).to_feather(kept)
+        state.update((kept.getvalue(),))
+        state.setTimeoutTimestamp(int(ends[best["live"]].min()) - 1)  # Spark waits until the watermark is beyond it
     elif state.exists:
         state.remove()
-    if not live or best != held:
-        yield pd.DataFrame([(key[0], *best, live)], columns=["key", *names, "live"])
+    yield best.loc[best["new"] | ~best["live"], [*names, "live"]]
 
 
-def cache_entries(answers: DataFrame, late: str = "1 hour") -> DataFrame:
+def cache_entries(answers: DataFrame, late: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """(key, answer, confidence, written_at, ttl_sec, live) of a stream of answers (question, answer, confidence, written_at, ttl_sec),
     for update mode: a row when a key's newest answer changes, and one that isn't live when its time is over.
 
-    The watermark ends entries; it drops no answer, as one that comes late may still be its key's newest.
+    The watermark ends entries; it drops no answer, as one that comes late may still be its key's newest. A checkpoint belongs to
+    its number of ``groups``.
     """
-    # each answer comes twice: as a time that moves the watermark, and without one, so that it can't be late
+    # each answer comes twice: as a time that moves the watermark and goes no further, and without one, so that it can't be late
     timed = answers.select("*", F.explode(F.array(F.col("written_at").cast("timestamp"), F.lit(None).cast("timestamp"))).alias("clock")).withWatermark("clock", late)
-    keyed = timed.select(cache_key(F.col("question")).alias("key"), "clock", F.when(F.col("clock").isNull(), F.col("answer")).alias("answer"), F.col("confidence").cast("double").alias("confidence"), "written_at", F.col("ttl_sec").cast("long").alias("ttl_sec"))
-    return keyed.groupBy("key").applyInPandasWithState(_keep_newest, f"key string, {_ENTRY}, live boolean", _ENTRY, "update", GroupStateTimeout.EventTimeTimeout)
+    keyed = timed.filter("clock is null").select("clock", cache_key(F.col("question")).alias("key"), "answer", F.col("confidence").cast("double").alias("confidence"), F.unix_micros(F.col("written_at").cast("timestamp")).alias("t"), F.col("ttl_sec").cast("long").alias("ttl_sec"))
+    slots = keyed.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("slot")
+    kept = slots.applyInPandasWithState(_keep_newest, f"{_ENTRY}, live boolean", "entries binary", "update", GroupStateTimeout.EventTimeTimeout)
+    return kept.select("key", "answer", "confidence", F.timestamp_micros("t").alias("written_at"), "ttl_sec", "live")
 
 
 def start_table(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -941,3 +941,28 @@ def test_level_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
         assert {(r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in levels.level_search(q, small, 10).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cache_state_is_kept_by_groups(spark, tmp_path):
+    """Many keys in few groups, replaced, late, replayed and over; one's time ends in the very millisecond of the watermark, one's a millisecond later."""
+    from lodestack.streaming import tables
+
+    kind = "question string, answer string, confidence double, t long, ttl_sec long"
+    draw, mark = random.Random(3), 500_000_000
+    first = [(f"Q {i % 3000}", f"a{n}", 0.5, draw.randrange(1, 400_000_000), draw.choice([50, 150, 900])) for n, i in enumerate(range(4500))]
+    first += [("edge", "e", 0.5, mark - 60_000_000, 60), ("edge 2", "f", 0.5, mark - 59_999_000, 60), ("tie", "b", 0.5, 1_000, 900), ("tie", "c", 0.5, 1_000, 900)]
+    second = [(f"q  {i}", f"b{i}", 0.5, draw.randrange(1, 400_000_000), 900) for i in range(0, 6000, 7)] + first[:50] + [("clock", "k", 0.5, mark + 3_600_000_000, 900)]
+    for n, part in enumerate((first, second)):
+        rows(spark, part, kind).withColumn("written_at", F.timestamp_micros("t")).drop("t").write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+        made = tables.start_table(tables.cache_entries(source), str(tmp_path / "out"), str(tmp_path / "state"))
+        made.awaitTermination()
+        assert 0 < made.lastProgress["stateOperators"][0]["numRowsTotal"] <= tables.GROUPS
+    newest = {}
+    for question, answer, _, t, ttl in first + second:
+        name = " ".join(question.lower().split())
+        newest[name] = max(newest.get(name, (-1, "", 0)), (t, answer, ttl))
+    want = {answer for t, answer, ttl in newest.values() if t // 1000 + ttl * 1000 > mark // 1000}
+    got = tables.read_table(spark, str(tmp_path / "out"), "key").collect()
+    assert len(got) == len(newest) and {r.answer for r in got} == {v[1] for v in newest.values()}
+    assert {r.answer for r in got if r.live} == want and {"f", "c", "k"} <= want and "e" not in want
